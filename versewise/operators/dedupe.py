@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 
 def _order(order_cols) -> Column:
+    """Order value as a struct: never NULL itself, so ``min_by``/``max_by`` do
+    not skip a row whose order field is NULL (NULL fields sort first)."""
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    return cols[0] if len(cols) == 1 else F.struct(*cols)
+    return F.struct(*cols)
 
 
 def keep_first(df: DataFrame, keys: list[str], order_cols: list) -> DataFrame:

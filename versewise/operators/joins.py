@@ -212,7 +212,8 @@ def enrich_rows(songs: DataFrame, info: DataFrame) -> DataFrame:
     flagged = songs.withColumn("_need", needs_enrichment(songs))
     need = with_track_key(flagged.filter("_need"))
     keep = flagged.filter(~F.col("_need"))
-    inf = keep_first(info, ["artist_key", "title_key"], ["info_spotify_id"])
+    inf = keep_first(info, ["artist_key", "title_key"],
+                     [F.col("info_spotify_id").isNull(), "info_spotify_id"])
     merged = overlay(need.join(inf, ["artist_key", "title_key"], "left")).drop("artist_key", "title_key")
     return merged.unionByName(keep, allowMissingColumns=True).drop("_need")
 

@@ -234,11 +234,22 @@ def mood_buckets(spark, sf):
                     L.valence_bucket(L.clip01("pred_valence")).alias("pred_valence_label"))
 
 
+QUERY_MODULES = ["queries_joins"]
+
+
+def _load():
+    import importlib
+    for m in QUERY_MODULES:
+        importlib.import_module(f"versewise.plans.{m}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: sql for k, (_, sql) in REGISTRY.items() if sql}
 
 
