@@ -75,8 +75,10 @@ def class_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     rows = F.array(
         F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1"), F.col("n").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"), F.col("n")))
+        F.struct(F.lit("macro avg").alias("label"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
+                 F.col("mf").alias("f1"), F.col("n").alias("support")),
+        F.struct(F.lit("weighted avg").alias("label"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
+                 F.col("wf").alias("f1"), F.col("n").alias("support")))
     tail = summary.select(F.inline(rows))
     return per.drop("tp").unionByName(tail)
 
