@@ -234,7 +234,7 @@ def mood_buckets(spark, sf):
                     L.valence_bucket(L.clip01("pred_valence")).alias("pred_valence_label"))
 
 
-QUERY_MODULES = ["queries_joins", "queries_labels"]
+QUERY_MODULES = ["queries_joins", "queries_labels", "queries_misc"]
 
 
 def _load():

@@ -128,3 +128,23 @@ def pair_lists(artists: Column, titles: Column) -> Column:
     return F.when(F.size(artists) != F.size(titles),
                   F.raise_error(F.lit("artist and title lists differ in length"))) \
         .otherwise(F.arrays_zip(artists.alias("artist"), titles.alias("title")))
+
+
+def dataset_rows(df: DataFrame) -> DataFrame:
+    """a song struct flattened to a table row: missing strings -> "",
+    tag and source lists ``|``-joined, vibe from both labels (J8) or ""."""
+    from versewise.functions.labels import nearest_anchor
+    out = {}
+    for f in df.schema.fields:
+        if isinstance(f.dataType, T.StringType) and f.name != "vibe":
+            out[f.name] = F.coalesce(F.col(f.name), F.lit(""))
+        elif isinstance(f.dataType, T.ArrayType):
+            out[f.name] = F.array_join(F.coalesce(F.col(f.name), F.array().cast("array<string>")), "|")
+    both = F.col("valence").isNotNull() & F.col("energy").isNotNull()
+    out["vibe"] = F.when(both, nearest_anchor("valence", "energy")).otherwise(F.lit(""))
+    return df.withColumns(out)
+
+
+def drop_unlabelled(df: DataFrame, cols=("valence", "energy", "vibe")) -> DataFrame:
+    """rows with every label present."""
+    return df.dropna(subset=list(cols))
