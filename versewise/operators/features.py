@@ -54,7 +54,8 @@ def sentiment(toks: Column, lexicon: dict[str, float], negators=DEFAULT_NEGATORS
     total = pos + F.abs(neg) + neu
     nz = total > 0
     return {
-        "vader_compound": F.round(s / F.sqrt(s * s + NORMALIZE_ALPHA), 4),
+        # + 0.0 turns a rounded -0.0 into 0.0
+        "vader_compound": F.round(s / F.sqrt(s * s + NORMALIZE_ALPHA), 4) + F.lit(0.0),
         "vader_pos": F.when(nz, F.round(F.abs(pos / total), 3)).otherwise(F.lit(0.0)),
         "vader_neg": F.when(nz, F.round(F.abs(neg / total), 3)).otherwise(F.lit(0.0)),
         "vader_neu": F.when(nz, F.round(F.abs(neu / total), 3)).otherwise(F.lit(0.0)),
@@ -114,8 +115,7 @@ def chunk_rule_scores(df: DataFrame, text_col: str, id_col: str, stride: int) ->
     out = {"n_chunks": n.cast("long")}
     per_label = {}
     for label, words in EMOTION_RULES:
-        per_label[label] = F.transform("_chunks", lambda c, w=words: F.least(
-            X.count_in(c, w) / F.lit(10.0), F.lit(1.0)))
+        per_label[label] = F.transform("_chunks", _chunk_scorer(words))
     neutral = F.transform("_chunks", lambda c: F.greatest(F.lit(0.0), F.lit(1.0) - _rule_total(c)))
     per_label["neutral"] = neutral
     for label in EMOTION_LABELS:
@@ -124,6 +124,12 @@ def chunk_rule_scores(df: DataFrame, text_col: str, id_col: str, stride: int) ->
     return d.select(id_col, *[v.alias(k) for k, v in out.items()])
 
 
+def _chunk_scorer(words):
+    def score(chunk: Column) -> Column:
+        return F.least(X.count_in(chunk, words) / F.lit(10.0), F.lit(1.0))
+    return score
+
+
 def _rule_total(chunk: Column) -> Column:
     total = None
     for _, words in EMOTION_RULES:
