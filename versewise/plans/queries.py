@@ -234,7 +234,7 @@ def mood_buckets(spark, sf):
                     L.valence_bucket(L.clip01("pred_valence")).alias("pred_valence_label"))
 
 
-QUERY_MODULES = ["queries_joins", "queries_labels", "queries_misc", "queries_features", "queries_signal"]
+QUERY_MODULES = ["queries_joins", "queries_labels", "queries_misc", "queries_features", "queries_signal", "queries_models"]
 
 
 def _load():
