@@ -64,6 +64,30 @@ def word_runs(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(WORD_RUN_RE), 0)
 
 
+TOKEN_CLASS = "[a-z']"
+WORD_CLASS = r"[\p{L}\p{N}_]"
+
+
+def word_pattern(words, cls: str) -> str:
+    """Whole-word alternation: a match is a maximal run of ``cls`` characters
+    equal to one of the words, so counting matches equals counting tokens
+    in the word set (duplicates counted)."""
+    import re as _re
+    alts = "|".join(_re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    return f"(?<!{cls})(?:{alts})(?!{cls})"
+
+
+def count_words(lower_text: Column, words, cls: str = TOKEN_CLASS) -> Column:
+    """Occurrences of whole words in lower-cased text: one compiled regex
+    scan, no per-token lambda (higher-order functions run interpreted)."""
+    return F.size(F.regexp_extract_all(lower_text, F.lit(word_pattern(words, cls)), 0))
+
+
+def token_chars(lower_text: Column) -> Column:
+    """Total length of the ``[a-z']+`` tokens (their characters, joined)."""
+    return F.length(F.regexp_replace(lower_text, "[^a-z']", ""))
+
+
 def word_count(toks: Column) -> Column:
     return F.size(toks).cast("double")
 
@@ -73,9 +97,13 @@ def unique_word_ratio(toks: Column) -> Column:
     return F.size(F.array_distinct(toks)) / F.greatest(F.size(toks), F.lit(1))
 
 
-def avg_word_len(toks: Column) -> Column:
-    """Mean token length, 0.0 without tokens."""
-    total = F.aggregate(toks, F.lit(0).cast("bigint"), lambda acc, t: acc + F.length(t))
+def avg_word_len(toks: Column, lower_text: Column | None = None) -> Column:
+    """Mean token length, 0.0 without tokens. With the lower-cased text
+    the total length comes from one regex pass instead of a lambda."""
+    if lower_text is not None:
+        total = token_chars(lower_text)
+    else:
+        total = F.aggregate(toks, F.lit(0).cast("bigint"), lambda acc, t: acc + F.length(t))
     return F.when(F.size(toks) > 0, total / F.size(toks)).otherwise(F.lit(0.0))
 
 
@@ -91,19 +119,22 @@ def count_in(toks: Column, words: list[str]) -> Column:
     return F.size(F.filter(toks, lambda t: t.isin(*words)))
 
 
-def theme_scores(toks: Column, themes=THEMES) -> dict[str, Column]:
-    """Share of tokens in each theme lexicon."""
+def theme_scores(toks: Column, themes=THEMES, lower_text: Column | None = None) -> dict[str, Column]:
+    """Share of tokens in each theme lexicon (regex counts on the
+    lower-cased text when given, else a filter over the token array)."""
     total = F.greatest(F.size(toks), F.lit(1))
+    if lower_text is not None:
+        return {f"kw_{name}": count_words(lower_text, words) / total for name, words in themes}
     return {f"kw_{name}": count_in(toks, words) / total for name, words in themes}
 
 
-def emotion_rule_scores(text: Column, rules=EMOTION_RULES) -> dict[str, Column]:
+def emotion_rule_scores(text: Column, rules=EMOTION_RULES, lowered: bool = False) -> dict[str, Column]:
     """min(hits / 10, 1) per label on whole words; neutral takes the rest."""
-    runs = word_runs(text)
+    low = text if lowered else F.lower(text)
     out: dict[str, Column] = {}
     total = None
     for label, words in rules:
-        s = F.least(count_in(runs, words) / F.lit(EMOTION_HIT_SCALE), F.lit(1.0))
+        s = F.least(count_words(low, words, WORD_CLASS) / F.lit(EMOTION_HIT_SCALE), F.lit(1.0))
         out[f"emo_{label}"] = s
         total = s if total is None else total + s
     out["emo_neutral"] = F.greatest(F.lit(0.0), F.lit(1.0) - total)

@@ -36,17 +36,25 @@ def lexicon_map(lexicon: dict[str, float]) -> Column:
                              F.array(*[F.lit(float(lexicon[k])) for k in keys]))
 
 
-def sentiment(toks: Column, lexicon: dict[str, float], negators=DEFAULT_NEGATORS) -> dict[str, Column]:
-    """X6b over a token array: compound (4 places), pos, neg, neu (3 places)."""
+def sentiment_values(toks: Column, lexicon: dict[str, float], neg_flags: Column) -> Column:
+    """Per-token valence: lexicon value (0 when absent), times -0.74 when one
+    of the three previous tokens is a negator. ``neg_flags`` must be a
+    column computed beforehand (read back with ``get``, NULL out of range),
+    so the lambda stays O(1) per token."""
     lex = lexicon_map(lexicon)
 
     def val(t, i):
         base = F.coalesce(F.try_element_at(lex, t), F.lit(0.0))
-        prev = F.slice(toks, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-        negated = F.exists(prev, lambda p: p.isin(*negators))
-        return F.when(negated & (base != 0), base * NEGATION_SCALAR).otherwise(base)
+        negated = (F.coalesce(F.get(neg_flags, i - 1), F.lit(False))
+                   | F.coalesce(F.get(neg_flags, i - 2), F.lit(False))
+                   | F.coalesce(F.get(neg_flags, i - 3), F.lit(False)))
+        return F.when(base == 0, F.lit(0.0)).when(negated, base * NEGATION_SCALAR).otherwise(base)
 
-    vals = F.transform(toks, val)
+    return F.transform(toks, val)
+
+
+def sentiment_scores(vals: Column) -> dict[str, Column]:
+    """X6b from per-token valences: compound (4 places), pos, neg, neu (3)."""
     s = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
     pos = F.aggregate(vals, F.lit(0.0), lambda a, x: a + F.when(x > 0, x + 1).otherwise(F.lit(0.0)))
     neg = F.aggregate(vals, F.lit(0.0), lambda a, x: a + F.when(x < 0, x - 1).otherwise(F.lit(0.0)))
@@ -62,6 +70,14 @@ def sentiment(toks: Column, lexicon: dict[str, float], negators=DEFAULT_NEGATORS
     }
 
 
+def with_sentiment(df: DataFrame, toks: str, lexicon: dict[str, float], negators=DEFAULT_NEGATORS) -> DataFrame:
+    """X6b as columns; the valence array is materialised once (a separate
+    projection that the optimizer does not inline four times)."""
+    d = df.withColumn("_neg", F.transform(F.col(toks), lambda t: t.isin(*negators)))
+    d = d.withColumn("_vals", sentiment_values(F.col(toks), lexicon, F.col("_neg")))
+    return d.withColumns(sentiment_scores(F.col("_vals"))).drop("_vals", "_neg")
+
+
 def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str, float] | None = None,
                     on_empty: str = "error") -> DataFrame:
     """The 22 text features of each row, in catalogue order.
@@ -78,23 +94,27 @@ def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str,
                            .otherwise(F.col("_clean")))
     elif on_empty == "drop":
         df = df.filter(~empty)
-    toks = X.tokens(F.col("_clean"))
-    df = df.withColumn("_toks", toks)
-    t = F.col("_toks")
+    df = df.withColumn("_low", F.lower(F.col("_clean")))
+    df = df.withColumn("_toks", X.tokens(F.col("_low")))
+    df = with_sentiment(df, "_toks", lexicon or {})
+    t, low = F.col("_toks"), F.col("_low")
     cols = {
         "lyrics_word_count": X.word_count(t),
         "lyrics_unique_word_ratio": X.unique_word_ratio(t).cast("double"),
-        "lyrics_avg_word_len": X.avg_word_len(t).cast("double"),
+        "lyrics_avg_word_len": X.avg_word_len(t, low).cast("double"),
         "lyrics_exclamation_ratio": X.char_ratio(F.col("_clean"), "!").cast("double"),
         "lyrics_question_ratio": X.char_ratio(F.col("_clean"), "?").cast("double"),
     }
-    cols.update(sentiment(t, lexicon or {}))
-    cols.update({k: v.cast("double") for k, v in X.theme_scores(t).items()})
-    cols.update({k: v.cast("double") for k, v in X.emotion_rule_scores(F.col("_clean")).items()})
+    cols.update({k: v.cast("double") for k, v in X.theme_scores(t, lower_text=low).items()})
+    cols.update({k: v.cast("double") for k, v in X.emotion_rule_scores(low, lowered=True).items()})
     if on_empty == "null":
         cols = {k: F.when(~empty, v) for k, v in cols.items()}
+        cols.update({k: F.when(~empty, F.col(k)) for k in
+                     ["vader_compound", "vader_pos", "vader_neg", "vader_neu"]})
     out = df.withColumns(cols)
-    return out.drop("_clean", "_toks")
+    out = out.select(*[c for c in out.columns if c not in ("_clean", "_low", "_toks")])
+    ordered = [c for c in df.columns if c not in ("_clean", "_low", "_toks") and c not in lyrics_feature_names()]
+    return out.select(*ordered, *lyrics_feature_names())
 
 
 def chunk_spans(toks: Column, stride: int) -> Column:
@@ -105,36 +125,45 @@ def chunk_spans(toks: Column, stride: int) -> Column:
     return F.transform(starts, lambda s: F.slice(toks, s + 1, stride))
 
 
+def chunk_texts(lower_text: Column, stride: int) -> Column:
+    """W5 on word runs by one regex: each match spans up to ``stride`` runs
+    (with the separators after them), so the i-th match holds runs
+    i*stride+1 .. (i+1)*stride and the last one is short."""
+    pattern = f"(?:{X.WORD_CLASS}+[^\\p{{L}}\\p{{N}}_]*){{1,{stride}}}"
+    return F.regexp_extract_all(lower_text, F.lit(pattern), 0)
+
+
 def chunk_rule_scores(df: DataFrame, text_col: str, id_col: str, stride: int) -> DataFrame:
     """X7 with the default rule scorer, A12 mean over chunks: per chunk the
-    X6 scores of its word runs, summed and divided by the chunk count. All
-    inside the row's arrays; no explode, no shuffle."""
-    runs = X.word_runs(X.clean_lyrics(F.col(text_col)))
-    d = df.select(id_col, chunk_spans(runs, stride).alias("_chunks"))
+    X6 scores (regex counts over the chunk), summed and divided by the chunk
+    count. The lambda runs once per chunk, not once per word; no explode and
+    no shuffle."""
+    low = F.lower(X.clean_lyrics(F.col(text_col)))
+    d = df.select(id_col, chunk_texts(low, stride).alias("_chunks"))
     n = F.size("_chunks")
+    hits = F.transform("_chunks", lambda c: F.struct(*[
+        F.least(X.count_words(c, words, X.WORD_CLASS) / F.lit(10.0), F.lit(1.0)).alias(label)
+        for label, words in EMOTION_RULES]))
+    d = d.withColumn("_hits", hits)
+    per_label = {label: F.transform("_hits", _field(label)) for label, _ in EMOTION_RULES}
+    per_label["neutral"] = F.transform("_hits", lambda h: F.greatest(F.lit(0.0), F.lit(1.0) - _sum_fields(h)))
     out = {"n_chunks": n.cast("long")}
-    per_label = {}
-    for label, words in EMOTION_RULES:
-        per_label[label] = F.transform("_chunks", _chunk_scorer(words))
-    neutral = F.transform("_chunks", lambda c: F.greatest(F.lit(0.0), F.lit(1.0) - _rule_total(c)))
-    per_label["neutral"] = neutral
     for label in EMOTION_LABELS:
         s = F.aggregate(per_label[label], F.lit(0.0), lambda a, x: a + x)
         out[f"emo_{label}"] = F.when(n > 0, s / n).otherwise(F.lit(0.0))
     return d.select(id_col, *[v.alias(k) for k, v in out.items()])
 
 
-def _chunk_scorer(words):
-    def score(chunk: Column) -> Column:
-        return F.least(X.count_in(chunk, words) / F.lit(10.0), F.lit(1.0))
-    return score
+def _field(name: str):
+    def get(h: Column) -> Column:
+        return h[name]
+    return get
 
 
-def _rule_total(chunk: Column) -> Column:
+def _sum_fields(h: Column) -> Column:
     total = None
-    for _, words in EMOTION_RULES:
-        s = F.least(X.count_in(chunk, words) / F.lit(10.0), F.lit(1.0))
-        total = s if total is None else total + s
+    for label, _ in EMOTION_RULES:
+        total = h[label] if total is None else total + h[label]
     return total
 
 

@@ -52,8 +52,8 @@ def sentiment(spark, sf):
     """Lexicon valences with negation look-back, normalised compound and
     pos/neg/neu shares, all inside each row's token array."""
     d = table(spark, sf, "documents").select("doc_id", X.tokens(X.clean_lyrics(marked_text())).alias("toks"))
-    cols = FT.sentiment(F.col("toks"), LEXICON)
-    return d.select("doc_id", *[v.alias(k) for k, v in cols.items()])
+    return FT.with_sentiment(d, "toks", LEXICON).select("doc_id", "vader_compound", "vader_pos", "vader_neg",
+                                                        "vader_neu")
 
 
 def _chunk_sql() -> str:
