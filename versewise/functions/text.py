@@ -19,6 +19,12 @@ WS_CLASS = (r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS = f"[{WS_CLASS}]"
 STRIP_RE = rf"\A{WS}+|{WS}+\z"
+# The same set as characters: ASCII white space and the rest (which
+# ``translate`` maps to spaces before a fast ASCII ``\s`` pass).
+ASCII_WS = "\t\n\x0b\x0c\r "
+EXOTIC_WS = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+             + "\u2028\u2029\u202f\u205f\u3000")
+WS_CHARS = ASCII_WS + EXOTIC_WS
 # ``(?d)``: only \n ends a line for ``.``, as in Python and RE2.
 SECTION_MARK_RE = r"(?d)\[.*?\]"
 TOKEN_RE = r"([a-z']+)"
@@ -31,8 +37,9 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Trim Unicode white space at both ends (Python ``str.strip()``)."""
-    return F.regexp_replace(_col(c), STRIP_RE, "")
+    """Trim Unicode white space at both ends (Python ``str.strip()``); a
+    native ``btrim`` over the explicit character set, no regex."""
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def is_missing(c) -> Column:
@@ -49,9 +56,16 @@ def nullify_missing(c, tokens: list[str] | None = None) -> Column:
 
 
 def clean_lyrics(c) -> Column:
-    """Drop ``[section]`` marks, collapse white space, trim."""
-    no_marks = F.regexp_replace(_col(c), SECTION_MARK_RE, " ")
-    return strip(F.regexp_replace(no_marks, f"{WS}+", " "))
+    """Drop ``[section]`` marks, collapse white space, trim.
+
+    Same result as one pass with the Unicode white-space class, but faster:
+    non-ASCII white space is first mapped to spaces with ``translate`` (it is
+    matched by ``.`` in the mark pattern either way), runs of ASCII white
+    space are then collapsed with ``\\s+``, and the single spaces left at
+    the ends are trimmed."""
+    ascii_ws = F.translate(_col(c), EXOTIC_WS, " " * len(EXOTIC_WS))
+    no_marks = F.regexp_replace(ascii_ws, SECTION_MARK_RE, " ")
+    return F.trim(F.regexp_replace(no_marks, r"\s+", " "))
 
 
 def tokens(c) -> Column:
