@@ -48,8 +48,9 @@ def valence_bucket(c) -> Column:
 
 
 def clip01(c) -> Column:
-    """Clip to [0, 1]."""
-    return F.least(F.greatest(_col(c).cast("double"), F.lit(0.0)), F.lit(1.0))
+    """Clip to [0, 1]; NULL stays NULL (``greatest`` alone skips it)."""
+    x = _col(c).cast("double")
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)))
 
 
 def clip_round(c, places: int = 3) -> Column:

@@ -235,20 +235,18 @@ def _score_map(v, e):
     return F.map_from_arrays(keys, F.array(*vals))
 
 
-@query("topk_scores", f"""
-WITH s AS (
-  SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, a.name,
-         1.0 / (1.0 + 10.0 * ((l.l_discount * 10 - a.v) * (l.l_discount * 10 - a.v)
-                              + (l.l_quantity / 50 - a.e) * (l.l_quantity / 50 - a.e))) AS score
-  FROM lineitem l, (VALUES {', '.join(f"({S.q(n)}, {v}::DOUBLE, {e}::DOUBLE)" for n, v, e in VIBE_ANCHORS)}) a(name, v, e)),
-r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey
-                                   ORDER BY score DESC, name) AS rk FROM s)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-       max(name) FILTER (WHERE rk = 1) AS top1, round(max(score) FILTER (WHERE rk = 1), 3) AS top1_score,
-       max(name) FILTER (WHERE rk = 2) AS top2, round(max(score) FILTER (WHERE rk = 2), 3) AS top2_score,
-       max(name) FILTER (WHERE rk = 3) AS top3, round(max(score) FILTER (WHERE rk = 3), 3) AS top3_score
-FROM r GROUP BY 1, 2, 3, 4
-""")
+def _topk_sql() -> str:
+    v, e = "l_discount * 10", "l_quantity / 50"
+    items = ", ".join(
+        f"{{'s': -(1.0 / (1.0 + 10.0 * (({v} - {av}::DOUBLE) * ({v} - {av}::DOUBLE) + ({e} - {ae}::DOUBLE) * "
+        f"({e} - {ae}::DOUBLE)))), 'n': {S.q(n)}}}" for n, av, ae in VIBE_ANCHORS)
+    cols = ", ".join(f"l[{i}].n AS top{i}, round(-l[{i}].s, 3) AS top{i}_score" for i in (1, 2, 3))
+    return f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {cols}
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_sort([{items}]) AS l FROM lineitem)"""
+
+
+@query("topk_scores", _topk_sql())
 def topk_scores(spark, sf):
     """O3: per row, the class-score map sorted by raw score (ties by name),
     rounded to 3 places; the first three entries."""

@@ -100,4 +100,4 @@ def bucket(x: str, names) -> str:
 
 
 def clip(x: str) -> str:
-    return f"least(greatest(({x})::DOUBLE, 0.0), 1.0)"
+    return f"(CASE WHEN ({x}) IS NOT NULL THEN least(greatest(({x})::DOUBLE, 0.0), 1.0) END)"
