@@ -24,7 +24,10 @@ def nearest_anchor(valence, energy, anchors=VIBE_ANCHORS) -> Column:
     """Name of the closest (valence, energy) anchor; the first anchor wins
     ties. A theta join against the anchor table written as one ``least`` over
     (distance, position, name) structs, so it needs no row key and no shuffle.
-    NULL or NaN input gives NULL."""
+    NULL or NaN input gives NULL.
+
+    Each input appears in every distance term: pass column references (put a
+    computed input in its own projection first), not long expressions."""
     v, e = _col(valence).cast("double"), _col(energy).cast("double")
     cands = [F.struct(_dist(v, e, av, ae).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name"))
              for i, (name, av, ae) in enumerate(anchors)]

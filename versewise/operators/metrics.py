@@ -50,12 +50,15 @@ def class_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
     truth and prediction; zero division -> 0), then accuracy, macro avg and
     weighted avg rows (``label`` column; the accuracy row carries it in f1)."""
     pc = pair_counts(df, truth, pred)
-    tp = pc.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"),
-                                                                  F.col("n").alias("tp"))
-    sup = pc.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"))
-    prd = pc.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("predicted_n"))
-    per = (sup.join(prd, "label", "full").join(tp, "label", "left")
-              .fillna(0, ["support", "predicted_n", "tp"]))
+    # each (actual, predicted) count feeds two classes: one aggregation over
+    # both roles, no joins between re-derived copies of the pair table
+    roles = pc.select(F.inline(F.array(
+        F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted_n"),
+                 F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(F.lit(0)).cast("long").alias("tp")),
+        F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"),
+                 F.col("n").alias("predicted_n"), F.lit(0).cast("long").alias("tp")))))
+    per = roles.groupBy("label").agg(F.sum("support").alias("support"), F.sum("predicted_n").alias("predicted_n"),
+                                     F.sum("tp").alias("tp"))
     p = F.when(F.col("predicted_n") > 0, F.col("tp") / F.col("predicted_n")).otherwise(F.lit(0.0))
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     per = per.withColumns({"precision": p, "recall": r})

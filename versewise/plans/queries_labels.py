@@ -315,10 +315,9 @@ def stratified_split(spark, sf):
 
 def _pairs(spark, sf):
     m = mood_points(spark, sf)
-    return m.select(F.col("valence"), F.col("energy"),
-                    L.clip01("pred_valence").alias("pv"), L.clip01("pred_energy").alias("pe"),
-                    L.nearest_anchor("valence", "energy").alias("vibe"),
-                    L.nearest_anchor(L.clip01("pred_valence"), L.clip01("pred_energy")).alias("pred_vibe"))
+    m = m.select("valence", "energy", L.clip01("pred_valence").alias("pv"), L.clip01("pred_energy").alias("pe"))
+    return m.select("valence", "energy", "pv", "pe", L.nearest_anchor("valence", "energy").alias("vibe"),
+                    L.nearest_anchor("pv", "pe").alias("pred_vibe"))
 
 
 PAIRS_SQL = f"""

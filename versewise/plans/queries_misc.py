@@ -272,9 +272,9 @@ SELECT label, {_POS_SQL} AS pos, row_number() OVER (ORDER BY {_POS_SQL}, label)
 def vibe_order(spark, sf):
     """Labels seen in truth or prediction, in taxonomy order (unknown last)."""
     m = mood_points(spark, sf)
+    m = m.select("valence", "energy", L.clip01("pred_valence").alias("pv"), L.clip01("pred_energy").alias("pe"))
     labs = m.select(F.inline(F.array(F.struct(L.nearest_anchor("valence", "energy").alias("label")),
-                                     F.struct(L.nearest_anchor(L.clip01("pred_valence"), L.clip01("pred_energy"))
-                                              .alias("label"))))).distinct()
+                                     F.struct(L.nearest_anchor("pv", "pe").alias("label"))))).distinct()
     labs = labs.withColumn("pos", L.vibe_index("label"))
     from pyspark.sql import Window
     w = Window.orderBy("pos", "label")  # over the distinct labels only (bounded by the taxonomy)
