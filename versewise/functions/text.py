@@ -97,6 +97,13 @@ def count_words(lower_text: Column, words, cls: str = TOKEN_CLASS) -> Column:
     return F.size(F.regexp_extract_all(lower_text, F.lit(word_pattern(words, cls)), 0))
 
 
+def lexicon_hits(lower_text: Column, groups, cls: str = TOKEN_CLASS) -> Column:
+    """All whole-word occurrences of any word of any group, in one regex scan
+    (a short array: only the hits); per-group counts are then taken from it."""
+    words = sorted({w for _, ws in groups for w in ws})
+    return F.regexp_extract_all(lower_text, F.lit(word_pattern(words, cls)), 0)
+
+
 def token_chars(lower_text: Column) -> Column:
     """Total length of the ``[a-z']+`` tokens (their characters, joined)."""
     return F.length(F.regexp_replace(lower_text, "[^a-z']", ""))
@@ -138,17 +145,19 @@ def theme_scores(toks: Column, themes=THEMES, lower_text: Column | None = None)
     lower-cased text when given, else a filter over the token array)."""
     total = F.greatest(F.size(toks), F.lit(1))
     if lower_text is not None:
-        return {f"kw_{name}": count_words(lower_text, words) / total for name, words in themes}
+        hits = lexicon_hits(lower_text, themes)
+        return {f"kw_{name}": count_in(hits, words) / total for name, words in themes}
     return {f"kw_{name}": count_in(toks, words) / total for name, words in themes}
 
 
 def emotion_rule_scores(text: Column, rules=EMOTION_RULES, lowered: bool = False) -> dict[str, Column]:
     """min(hits / 10, 1) per label on whole words; neutral takes the rest."""
     low = text if lowered else F.lower(text)
+    hits = lexicon_hits(low, rules, WORD_CLASS)
     out: dict[str, Column] = {}
     total = None
     for label, words in rules:
-        s = F.least(count_words(low, words, WORD_CLASS) / F.lit(EMOTION_HIT_SCALE), F.lit(1.0))
+        s = F.least(count_in(hits, words) / F.lit(EMOTION_HIT_SCALE), F.lit(1.0))
         out[f"emo_{label}"] = s
         total = s if total is None else total + s
     out["emo_neutral"] = F.greatest(F.lit(0.0), F.lit(1.0) - total)

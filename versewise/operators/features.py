@@ -141,9 +141,7 @@ def chunk_rule_scores(df: DataFrame, text_col: str, id_col: str, stride: int) ->
     low = F.lower(X.clean_lyrics(F.col(text_col)))
     d = df.select(id_col, chunk_texts(low, stride).alias("_chunks"))
     n = F.size("_chunks")
-    hits = F.transform("_chunks", lambda c: F.struct(*[
-        F.least(X.count_words(c, words, X.WORD_CLASS) / F.lit(10.0), F.lit(1.0)).alias(label)
-        for label, words in EMOTION_RULES]))
+    hits = F.transform("_chunks", _chunk_label_scores)
     d = d.withColumn("_hits", hits)
     per_label = {label: F.transform("_hits", _field(label)) for label, _ in EMOTION_RULES}
     per_label["neutral"] = F.transform("_hits", lambda h: F.greatest(F.lit(0.0), F.lit(1.0) - _sum_fields(h)))
@@ -154,6 +152,13 @@ def chunk_rule_scores(df: DataFrame, text_col: str, id_col: str, stride: int) ->
     return d.select(id_col, *[v.alias(k) for k, v in out.items()])
 
 
+def _chunk_label_scores(chunk: Column) -> Column:
+    """One regex scan of a chunk for all rule words, then per-label counts."""
+    found = X.lexicon_hits(chunk, EMOTION_RULES, X.WORD_CLASS)
+    return F.struct(*[F.least(X.count_in(found, words) / F.lit(10.0), F.lit(1.0)).alias(label)
+                      for label, words in EMOTION_RULES])
+
+
 def _field(name: str):
     def get(h: Column) -> Column:
         return h[name]
