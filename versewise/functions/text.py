@@ -140,20 +140,27 @@ def count_in(toks: Column, words: list[str]) -> Column:
     return F.size(F.filter(toks, lambda t: t.isin(*words)))
 
 
-def theme_scores(toks: Column, themes=THEMES, lower_text: Column | None = None) -> dict[str, Column]:
-    """Share of tokens in each theme lexicon (regex counts on the
-    lower-cased text when given, else a filter over the token array)."""
+def theme_scores(toks: Column, themes=THEMES, lower_text: Column | None = None,
+                 hits: Column | None = None) -> dict[str, Column]:
+    """Share of tokens in each theme lexicon. ``hits`` (a column made by
+    ``lexicon_hits``, computed once) or the lower-cased text make the counts
+    come from the short hit array; else a filter over the token array."""
     total = F.greatest(F.size(toks), F.lit(1))
-    if lower_text is not None:
+    if hits is None and lower_text is not None:
         hits = lexicon_hits(lower_text, themes)
+    if hits is not None:
         return {f"kw_{name}": count_in(hits, words) / total for name, words in themes}
     return {f"kw_{name}": count_in(toks, words) / total for name, words in themes}
 
 
-def emotion_rule_scores(text: Column, rules=EMOTION_RULES, lowered: bool = False) -> dict[str, Column]:
-    """min(hits / 10, 1) per label on whole words; neutral takes the rest."""
-    low = text if lowered else F.lower(text)
-    hits = lexicon_hits(low, rules, WORD_CLASS)
+def emotion_rule_scores(text: Column | None, rules=EMOTION_RULES, lowered: bool = False,
+                        hits: Column | None = None) -> dict[str, Column]:
+    """min(hits / 10, 1) per label on whole words; neutral takes the rest.
+    Pass ``hits`` (``lexicon_hits`` with ``WORD_CLASS``, as a column) to scan
+    the text once for all labels."""
+    if hits is None:
+        low = text if lowered else F.lower(text)
+        hits = lexicon_hits(low, rules, WORD_CLASS)
     out: dict[str, Column] = {}
     total = None
     for label, words in rules:

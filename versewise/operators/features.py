@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from versewise.functions import labels as L
 from versewise.functions import text as X
-from versewise.schema import (EMOTION_LABELS, EMOTION_RULES, SPOTIFY_FEATURES, audio_feature_names,
+from versewise.schema import (EMOTION_LABELS, EMOTION_RULES, SPOTIFY_FEATURES, THEMES, audio_feature_names,
                               lyrics_feature_names)
 
 # Sentiment (X6b): lexicon rule of Hutto & Gilbert (2014), reduced to its
@@ -97,6 +97,8 @@ def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str,
     df = df.withColumn("_low", F.lower(F.col("_clean")))
     df = df.withColumn("_toks", X.tokens(F.col("_low")))
     df = with_sentiment(df, "_toks", lexicon or {})
+    # one regex scan per lexicon group, kept as columns (not re-run per label)
+    df = with_lexicon_hits(df, "_low")
     t, low = F.col("_toks"), F.col("_low")
     cols = {
         "lyrics_word_count": X.word_count(t),
@@ -105,15 +107,16 @@ def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str,
         "lyrics_exclamation_ratio": X.char_ratio(F.col("_clean"), "!").cast("double"),
         "lyrics_question_ratio": X.char_ratio(F.col("_clean"), "?").cast("double"),
     }
-    cols.update({k: v.cast("double") for k, v in X.theme_scores(t, lower_text=low).items()})
-    cols.update({k: v.cast("double") for k, v in X.emotion_rule_scores(low, lowered=True).items()})
+    cols.update({k: v.cast("double") for k, v in X.theme_scores(t, hits=F.col("_th")).items()})
+    cols.update({k: v.cast("double") for k, v in X.emotion_rule_scores(None, hits=F.col("_eh")).items()})
     if on_empty == "null":
         cols = {k: F.when(~empty, v) for k, v in cols.items()}
         cols.update({k: F.when(~empty, F.col(k)) for k in
                      ["vader_compound", "vader_pos", "vader_neg", "vader_neu"]})
     out = df.withColumns(cols)
-    out = out.select(*[c for c in out.columns if c not in ("_clean", "_low", "_toks")])
-    ordered = [c for c in df.columns if c not in ("_clean", "_low", "_toks") and c not in lyrics_feature_names()]
+    tmp = ("_clean", "_low", "_toks", "_th", "_eh")
+    out = out.select(*[c for c in out.columns if c not in tmp])
+    ordered = [c for c in df.columns if c not in tmp and c not in lyrics_feature_names()]
     return out.select(*ordered, *lyrics_feature_names())
 
 
@@ -125,6 +128,14 @@ def chunk_spans(toks: Column, stride: int) -> Column:
     return F.transform(starts, lambda s: F.slice(toks, s + 1, stride))
 
 
+def with_lexicon_hits(df: DataFrame, low: str) -> DataFrame:
+    """Columns ``_th`` (theme words, token boundaries) and ``_eh`` (emotion
+    words, word boundaries): the short arrays of lexicon hits of the
+    lower-cased text, each from one regex scan."""
+    return df.withColumns({"_th": X.lexicon_hits(F.col(low), THEMES),
+                           "_eh": X.lexicon_hits(F.col(low), EMOTION_RULES, X.WORD_CLASS)})
+
+
 def chunk_texts(lower_text: Column, stride: int) -> Column:
     """W5 on word runs by one regex: each match spans up to ``stride`` runs
     (with the separators after them), so the i-th match holds runs
@@ -141,8 +152,9 @@ def chunk_rule_scores(df: DataFrame, text_col: str, id_col: str, stride: int) ->
     low = F.lower(X.clean_lyrics(F.col(text_col)))
     d = df.select(id_col, chunk_texts(low, stride).alias("_chunks"))
     n = F.size("_chunks")
-    hits = F.transform("_chunks", _chunk_label_scores)
-    d = d.withColumn("_hits", hits)
+    found = F.transform("_chunks", lambda c: X.lexicon_hits(c, EMOTION_RULES, X.WORD_CLASS))
+    d = d.withColumn("_found", found)   # one scan per chunk, kept as a column
+    d = d.withColumn("_hits", F.transform("_found", _chunk_label_scores))
     per_label = {label: F.transform("_hits", _field(label)) for label, _ in EMOTION_RULES}
     per_label["neutral"] = F.transform("_hits", lambda h: F.greatest(F.lit(0.0), F.lit(1.0) - _sum_fields(h)))
     out = {"n_chunks": n.cast("long")}
@@ -152,9 +164,8 @@ def chunk_rule_scores(df: DataFrame, text_col: str, id_col: str, stride: int) ->
     return d.select(id_col, *[v.alias(k) for k, v in out.items()])
 
 
-def _chunk_label_scores(chunk: Column) -> Column:
-    """One regex scan of a chunk for all rule words, then per-label counts."""
-    found = X.lexicon_hits(chunk, EMOTION_RULES, X.WORD_CLASS)
+def _chunk_label_scores(found: Column) -> Column:
+    """Per-label scores of one chunk from its array of rule-word hits."""
     return F.struct(*[F.least(X.count_in(found, words) / F.lit(10.0), F.lit(1.0)).alias(label)
                       for label, words in EMOTION_RULES])
 

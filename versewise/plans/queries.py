@@ -177,8 +177,9 @@ SELECT doc_id, {_theme_sql}
 FROM (SELECT doc_id, {S.tokens(S.clean(sql_marked()))} AS toks FROM documents)
 """)
 def theme_scores(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.tokens(X.clean_lyrics(marked_text())).alias("toks"))
-    return d.select("doc_id", *[r6(v).alias(k) for k, v in X.theme_scores(F.col("toks")).items()])
+    d = table(spark, sf, "documents").select("doc_id", F.lower(X.clean_lyrics(marked_text())).alias("low"))
+    d = FT.with_lexicon_hits(d.withColumn("toks", X.tokens(F.col("low"))), "low")
+    return d.select("doc_id", *[r6(v).alias(k) for k, v in X.theme_scores(F.col("toks"), hits=F.col("_th")).items()])
 
 
 def _emo_sql(runs: str) -> str:
@@ -196,8 +197,9 @@ SELECT doc_id, {_emo_sql('runs')}
 FROM (SELECT doc_id, {S.word_runs(S.clean(sql_marked()))} AS runs FROM documents)
 """)
 def emotion_rules(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.clean_lyrics(marked_text()).alias("c"))
-    return d.select("doc_id", *[r6(v).alias(k) for k, v in X.emotion_rule_scores(F.col("c")).items()])
+    d = table(spark, sf, "documents").select("doc_id", F.lower(X.clean_lyrics(marked_text())).alias("low"))
+    d = FT.with_lexicon_hits(d, "low")
+    return d.select("doc_id", *[r6(v).alias(k) for k, v in X.emotion_rule_scores(None, hits=F.col("_eh")).items()])
 
 
 # --------------------------------------------------------------------------
