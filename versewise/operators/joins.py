@@ -223,6 +223,8 @@ def backfill_lyrics(songs: DataFrame, lyrics_table: DataFrame) -> DataFrame:
     a lyrics table (artist_key, title_key, new_lyrics, new_url); the url is
     kept when none comes back; "genius" is added to the sources once."""
     lt = keep_first(lyrics_table, ["artist_key", "title_key"], ["new_url"])
+    songs = songs.withColumns({c: F.lit(None).cast("string") for c in ("genius_url", "sources")
+                               if c not in songs.columns})
     flagged = songs.withColumn("_need", ~X.has_usable_lyrics("lyrics") & X.valid_name("artist")
                                & X.valid_name("title"))
     need = with_track_key(flagged.filter("_need")).join(lt, ["artist_key", "title_key"], "left")
