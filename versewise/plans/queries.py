@@ -256,3 +256,24 @@ def oracle_sql() -> dict[str, str]:
 
 
 __all__ = ["REGISTRY", "queries", "oracle_sql", "vibe_profile", "FT"]
+
+
+@query("quality_counters", f"""
+SELECT count(*) AS input_rows,
+       count(*) FILTER (WHERE {S.usable('d.text')}) AS rows_with_lyrics,
+       count(*) FILTER (WHERE l.doc_id IS NOT NULL AND ((l.quality IS NOT NULL AND l.toxic IS NOT NULL)
+                                                         OR d.source LIKE '%1')) AS rows_with_music_data
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+""")
+def quality_counters(spark, sf):
+    """A1: the clean job's counters over the documents-as-songs table, one pass."""
+    from versewise.operators import joins as J
+    from versewise.operators import metrics as M
+    d = songs_from_documents(spark, sf)
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"),
+                                            F.col("doc_id").cast("string").alias("spotify_id"),
+                                            F.col("quality").cast("double").alias("valence"),
+                                            F.col("toxic").cast("double").alias("energy"))
+    songs = d.join(lab, "id", "left").withColumn(
+        "preview_url", F.when(F.col("artist").endswith("1"), F.lit("http://p")).otherwise(F.lit("")))
+    return M.quality_counters(songs, J.has_music_data(songs))
