@@ -207,3 +207,15 @@ def test_keep_first_aggregates_before_shuffle(spark):
 
 def test_tokens_helper_words(spark):
     assert X.word_pattern(["a", "ab"], X.TOKEN_CLASS).startswith("(?<![a-z'])(?:ab|a)")
+
+
+def test_sentiment_join_path_matches_map_path(spark):
+    df = spark.createDataFrame([(1, "i do not love this sad song but the night is kind"), (2, "nothing here"), (3, "")],
+                               "id int, t string").withColumn("toks", X.tokens(F.col("t")))
+    lex = {"love": 3.2, "sad": -2.1, "kind": 1.5, "night": 0.0}
+    a = {r["id"]: tuple(r[1:]) for r in FT.with_sentiment(df, "toks", lex).select(
+        "id", "vader_compound", "vader_pos", "vader_neg", "vader_neu").collect()}
+    b = {r["id"]: tuple(r[1:]) for r in FT.with_sentiment(df, "toks", lex, id_col="id", method="join").select(
+        "id", "vader_compound", "vader_pos", "vader_neg", "vader_neu").collect()}
+    # love and sad are both negated by "not": -2.368 + 1.554 + 1.5 -> compound 0.1744
+    assert a == b and a[3] == (0.0, 0.0, 0.0, 0.0) and a[1][0] == 0.1744

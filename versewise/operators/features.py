@@ -70,16 +70,72 @@ def sentiment_scores(vals: Column) -> dict[str, Column]:
     }
 
 
-def with_sentiment(df: DataFrame, toks: str, lexicon: dict[str, float], negators=DEFAULT_NEGATORS) -> DataFrame:
-    """X6b as columns; the valence array is materialised once (a separate
-    projection that the optimizer does not inline four times)."""
+LEXICON_MAP_MAX = 256
+
+
+def _negation_flags(toks: Column, neg: Column) -> Column:
+    return F.transform(toks, lambda t, i: F.coalesce(F.get(neg, i - 1), F.lit(False))
+                       | F.coalesce(F.get(neg, i - 2), F.lit(False)) | F.coalesce(F.get(neg, i - 3), F.lit(False)))
+
+
+def sentiment_by_join(df: DataFrame, id_col: str, toks: str, lexicon, negators=DEFAULT_NEGATORS) -> DataFrame:
+    """X6b for large lexicons (a dict, or a DataFrame of token, valence).
+
+    A map literal is searched linearly per token, so a full-size lexicon
+    becomes a hash join instead: tokens with their negation flags are
+    exploded, joined with the lexicon (broadcast when it is a dict, whose
+    size is known; otherwise AQE decides), and only the hits are aggregated
+    per id (partial aggregation before the shuffle). Rows without hits get
+    zeros; the result has ``id_col`` and the four scores."""
+    spark = df.sparkSession
+    if isinstance(lexicon, DataFrame):
+        lex = lexicon.select(F.col(lexicon.columns[0]).alias("_tok"), F.col(lexicon.columns[1]).cast("double").alias("_val"))
+    else:
+        lex = F.broadcast(spark.createDataFrame(sorted((k, float(v)) for k, v in lexicon.items()),
+                                                "_tok string, _val double"))
+    d = df.select(id_col, F.col(toks).alias("_t"))
+    d = d.withColumn("_neg", F.transform("_t", lambda t: t.isin(*negators)))
+    d = d.withColumn("_negd", _negation_flags(F.col("_t"), F.col("_neg")))
+    ex = d.select(id_col, F.explode(F.arrays_zip("_t", "_negd")).alias("z")) \
+        .select(id_col, F.col("z._t").alias("_tok"), F.col("z._negd").alias("_negd"))
+    hits = ex.join(lex, "_tok").filter(F.col("_val") != 0)
+    v = F.when(F.col("_negd"), F.col("_val") * NEGATION_SCALAR).otherwise(F.col("_val"))
+    agg = hits.withColumn("_v", v).groupBy(id_col).agg(
+        F.sum("_v").alias("_s"), F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1).otherwise(0.0)).alias("_pos"),
+        F.sum(F.when(F.col("_v") < 0, F.col("_v") - 1).otherwise(0.0)).alias("_negs"),
+        F.count(F.lit(1)).alias("_nz"))
+    base = d.select(id_col, F.size("_t").alias("_n")).join(agg, id_col, "left").fillna(0, ["_s", "_pos", "_negs", "_nz"])
+    s, pos, neg = F.col("_s"), F.col("_pos"), F.col("_negs")
+    neu = (F.col("_n") - F.col("_nz")).cast("double")
+    total = pos + F.abs(neg) + neu
+    nz = total > 0
+    return base.select(id_col,
+                       (F.round(s / F.sqrt(s * s + NORMALIZE_ALPHA), 4) + F.lit(0.0)).alias("vader_compound"),
+                       F.when(nz, F.round(F.abs(pos / total), 3)).otherwise(F.lit(0.0)).alias("vader_pos"),
+                       F.when(nz, F.round(F.abs(neg / total), 3)).otherwise(F.lit(0.0)).alias("vader_neg"),
+                       F.when(nz, F.round(F.abs(neu / total), 3)).otherwise(F.lit(0.0)).alias("vader_neu"))
+
+
+def with_sentiment(df: DataFrame, toks: str, lexicon, negators=DEFAULT_NEGATORS,
+                   id_col: str | None = None, method: str = "auto") -> DataFrame:
+    """X6b as columns. Small dict lexicons (<= 256 words) are looked up in a
+    map literal inside the row (no shuffle; the valence array is
+    materialised once, not inlined four times); larger ones, or a lexicon
+    DataFrame, go through ``sentiment_by_join`` and are joined back on
+    ``id_col``."""
+    use_join = method == "join" or (method == "auto" and (isinstance(lexicon, DataFrame)
+                                                          or len(lexicon) > LEXICON_MAP_MAX))
+    if use_join:
+        if id_col is None:
+            raise ValueError("a large lexicon needs id_col (scores are joined back by id)")
+        return df.join(sentiment_by_join(df, id_col, toks, lexicon, negators), id_col, "left")
     d = df.withColumn("_neg", F.transform(F.col(toks), lambda t: t.isin(*negators)))
     d = d.withColumn("_vals", sentiment_values(F.col(toks), lexicon, F.col("_neg")))
     return d.withColumns(sentiment_scores(F.col("_vals"))).drop("_vals", "_neg")
 
 
 def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str, float] | None = None,
-                    on_empty: str = "error") -> DataFrame:
+                    on_empty: str = "error", id_col: str | None = None) -> DataFrame:
     """The 22 text features of each row, in catalogue order.
 
     ``on_empty`` decides what happens to rows whose cleaned text is empty:
@@ -96,7 +152,7 @@ def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str,
         df = df.filter(~empty)
     df = df.withColumn("_low", F.lower(F.col("_clean")))
     df = df.withColumn("_toks", X.tokens(F.col("_low")))
-    df = with_sentiment(df, "_toks", lexicon or {})
+    df = with_sentiment(df, "_toks", lexicon or {}, id_col=id_col)
     # one regex scan per lexicon group, kept as columns (not re-run per label)
     df = with_lexicon_hits(df, "_low")
     t, low = F.col("_toks"), F.col("_low")
@@ -233,7 +289,7 @@ def feature_table(songs: DataFrame, id_col: str, text_col: str = "lyrics",
     """22 text + 51 signal (0.0 without audio) + 13 catalog features
     per row, in catalogue order, plus ids and labels. ``audio`` is a table of
     signal features keyed by ``id_col`` (left join, AQE picks the strategy)."""
-    df = lyrics_features(songs, text_col, lexicon, on_empty)
+    df = lyrics_features(songs, text_col, lexicon, on_empty, id_col=id_col)
     if include_catalog:
         df = df.withColumns(L.numeric_features(songs))
     if audio is not None:

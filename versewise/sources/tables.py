@@ -61,8 +61,9 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     no-op.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    # file count is planning metadata (no job); a scan of fewer files than
-    # cores is the case of one-row-group test tables
-    if len(df.inputFiles()) >= cores:
+    # a scan split far wider than the cluster is left alone without listing
+    # its files on the driver; otherwise the file count (planning metadata,
+    # no job) tells a one-file table from a wide one
+    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(cores * per_core)
