@@ -93,7 +93,9 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_n: int | N
     The rank inside a class is found without a window over the class: rows
     are counted per (class, hash bucket) -- 16^buckets_hex buckets, a bounded
     table -- the cumulative counts locate the bucket holding the cut, and only
-    rows of that one bucket are ranked exactly.
+    rows of that one bucket are ranked exactly. Counting and ranking read
+    (id, class) only; the wide rows are read once and joined with the small
+    cut table and the boundary winners (ids must be unique).
     """
     counts_rows = class_counts(df, label_col).collect()  # one row per class
     counts = {r[label_col]: r["n"] for r in counts_rows}
@@ -111,19 +113,23 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, test_n: int | N
     h = seeded_hash(id_col, seed)
     keyed = df.withColumns({"_s": strat.cast("string"), "_h": h,
                             "_b": F.conv(F.substring(h, 1, buckets_hex), 16, 10).cast("long")})
-    hist = keyed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    narrow = keyed.select(id_col, "_s", "_b", "_h")   # the ranking never reads the wide columns
+    hist = narrow.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
     wcum = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_cum", F.sum("_c").over(wcum))
-                .join(F.broadcast(qdf), "_s")  # one row per class
-                .withColumn("_before", F.col("_cum") - F.col("_c"))
-                .withColumn("_take", F.greatest(F.least(F.col("_q") - F.col("_before"), F.col("_c")), F.lit(0)))
-                .select("_s", "_b", "_c", "_take"))
-    j = keyed.join(hist, ["_s", "_b"])
-    full = j.filter(F.col("_take") == F.col("_c")).withColumn("_test", F.lit(True))
-    none = j.filter(F.col("_take") == 0).withColumn("_test", F.lit(False))
-    part = j.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_c")))
+    cut = (hist.withColumn("_cum", F.sum("_c").over(wcum))
+               .join(F.broadcast(qdf), "_s")  # one row per class
+               .withColumn("_before", F.col("_cum") - F.col("_c"))
+               .withColumn("_take", F.greatest(F.least(F.col("_q") - F.col("_before"), F.col("_c")), F.lit(0)))
+               .select("_s", "_b", "_c", "_take"))
+    # at most one bucket per class is cut inside: rank only its rows
+    boundary = cut.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_c")))
     wb = Window.partitionBy("_s", "_b").orderBy("_h", id_col)
-    part = part.withColumn("_test", F.row_number().over(wb) <= F.col("_take"))
-    out = full.unionByName(none).unionByName(part)
-    return (out.withColumn("split", F.when(F.col("_test"), "test").otherwise("train"))
-               .drop("_s", "_h", "_b", "_c", "_take", "_test"))
+    winners = (narrow.join(F.broadcast(boundary), ["_s", "_b"])   # <= one row per class
+                     .withColumn("_rk", F.row_number().over(wb))
+                     .filter(F.col("_rk") <= F.col("_take"))
+                     .select(id_col, F.lit(True).alias("_won")))
+    out = keyed.join(cut, ["_s", "_b"]).join(winners, id_col, "left")
+    test = (F.col("_take") == F.col("_c")) | ((F.col("_take") > 0) & F.coalesce(F.col("_won"), F.lit(False)))
+    return (out.withColumn("split", F.when(test, "test").otherwise("train"))
+               .drop("_s", "_h", "_b", "_c", "_take", "_won"))
+
