@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from versewise.llm import mixing, packing, quality_rules, token_store, warc
+from versewise.llm import fingerprints, mixing, packing, quality_rules, token_store, warc
 from versewise.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_comparison(documents(spark, sf_dir))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_ids(documents(spark, sf_dir), BYTE_BPE, end_id=0)
 
@@ -41,6 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_fingerprints": (op1_fingerprints, None),
     "op2_token_ids": (op2_token_ids, None),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_rules": (op5_quality_rules, quality_rules.RULES_SQL),
