@@ -56,21 +56,25 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
     return pick(docs, id=id_col, text=text_col).mapInArrow(cut, names)
 
 
-def exact_fill(count: np.ndarray, length: int, capacity: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill what ``length`` leaves:
-    fewest parts first, long parts first."""
+def exact_fill(count: np.ndarray, length: int, capacity: int, most: int) -> tuple[int, ...] | None:
+    """One, two or three (``most``) available lengths that fill what ``length``
+    leaves: fewest parts first, long parts first."""
     gap = capacity - length
     have = count.copy()
     have[length] -= 1
     if gap == 0:
         return ()
-    if have[gap] > 0:
+    if most > 0 and have[gap] > 0:
         return (gap,)
+    if most < 2:
+        return None
     a = np.arange(gap - 1, (gap - 1) // 2, -1)
     a = a[(have[a] > 0) & (have[gap - a] > 0)]
     for x in a.tolist():
         if x != gap - x or have[x] > 1:
             return (x, gap - x)
+    if most < 3:
+        return None
     for x in np.nonzero(have[:max(0, gap - 1)])[0][::-1].tolist():
         rest = gap - x
         if 3 * x < gap:
@@ -86,23 +90,30 @@ def exact_fill(count: np.ndarray, length: int, capacity: int) -> tuple[int, ...]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences): exact fills first,
-    then best fit of what is left, both by counts."""
-    count = np.zeros(capacity + 1, np.int64)
+    """(lengths of a sequence, number of such sequences). Exact fills use up
+    short pieces that best fit could have spread, so plans with at most three,
+    two, one and no filling parts are made; the one of fewest sequences counts."""
+    return min((plan_with(histogram, capacity, most) for most in (3, 2, 1, 0)), key=lambda made: sum(n for _, n in made))
+
+
+def plan_with(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fills of one part for all lengths, then of two and of three, up to
+    ``most``; then best fit of what is left; all by counts."""
+    left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
-        count[length] = n
-    made, left = [], np.zeros(capacity + 1, np.int64)
-    for length in range(capacity, 0, -1):
-        while count[length] > 0:
-            fill = exact_fill(count, length, capacity)
-            if fill is None:
-                left[length], count[length] = count[length], 0
-                break
-            used = Counter((length, *fill))
-            times = min(int(count[x]) // k for x, k in used.items())
-            for x, k in used.items():
-                count[x] -= times * k
-            made.append(((length, *fill), times))
+        left[length] = n
+    made = []
+    for parts in range(most + 1):
+        for length in range(capacity, 0, -1):
+            while left[length] > 0:
+                fill = exact_fill(left, length, capacity, parts)
+                if fill is None:
+                    break
+                used = Counter((length, *fill))
+                times = min(int(left[x]) // k for x, k in used.items())
+                for x, k in used.items():
+                    left[x] -= times * k
+                made.append(((length, *fill), times))
     bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # by gap
     for length in range(capacity, 0, -1):
         n = int(left[length])
