@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from versewise.llm import fingerprints, mixing, packing, quality_rules, token_store, warc
+from versewise.llm import fingerprints, language, mixing, packing, quality_knn, quality_rules, token_store, warc
 from versewise.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,10 +36,24 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(documents(spark, sf_dir)))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = language.held_out(3, 1)
+    return language.predict(docs, language.fit(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = language.held_out(5, 0)
+    model = quality_knn.fit(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"), ~held)
+    return quality_knn.score(docs, model).select("doc_id", held.alias("held_out"), "score",
+                                                 (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir.rstrip('/')}/pages.parquet")
     return warc.archive(pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,7 +65,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_rules": (op5_quality_rules, quality_rules.RULES_SQL),
     "quality_ablation": (quality_ablation, quality_rules.ABLATION_SQL),
+    "op6_language_id": (op6_language_id, None),
     "op8_mixing": (op8_mixing, mixing.MIX_SQL),
+    "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_warc": (op10_warc, warc.ARCHIVE_SQL),
 }
 
