@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewise.llm import fingerprints, language, mixing, packing, quality_knn, quality_rules, token_store, warc
+from versewise.llm import fingerprints, language, mixing, near_dups, packing, quality_knn, quality_rules, token_store, warc
 from versewise.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,10 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_ids(documents(spark, sf_dir), BYTE_BPE, end_id=0)
 
 
+def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.classes(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BYTE_BPE, end_id=2, capacity=1024)
 
@@ -62,6 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_fingerprints": (op1_fingerprints, None),
     "op2_token_ids": (op2_token_ids, None),
+    "op3_near_dups": (op3_near_dups, None),
     "op4_best_fit_packing": (op4_best_fit_packing, None),
     "op5_quality_rules": (op5_quality_rules, quality_rules.RULES_SQL),
     "quality_ablation": (quality_ablation, quality_rules.ABLATION_SQL),
