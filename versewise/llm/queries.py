@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewise.llm import fingerprints, language, mixing, near_dups, packing, quality_knn, quality_rules, token_store, warc
+from versewise.llm import fingerprints, language, mixing, near_dups, packing, quality_knn, quality_rules, repeats, token_store, warc
 from versewise.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,6 +46,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, language.fit(docs, ~held)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op5_quality_rules": (op5_quality_rules, quality_rules.RULES_SQL),
     "quality_ablation": (quality_ablation, quality_rules.ABLATION_SQL),
     "op6_language_id": (op6_language_id, None),
+    "op7_suffix_array_dedup": (op7_suffix_array_dedup, None),
     "op8_mixing": (op8_mixing, mixing.MIX_SQL),
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_warc": (op10_warc, warc.ARCHIVE_SQL),
