@@ -14,7 +14,7 @@ gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versewise.llm.common import WORD, pick, stage
@@ -24,12 +24,16 @@ WEIGHTS = (5, 2, 1)
 HASH_BITS, COARSE_BITS, FINE_BITS = 48, 12, 12
 
 
+def hashed(doc_id: Column) -> Column:
+    text = F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size (words) and the hash, its first and second bucket."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, HASH_BITS // 4), 16, 10)
     return (pick(docs, doc_id=id_col, text=text_col, source=source_col)
             .select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                    h.cast("long").alias("h"))
+                    hashed(F.col("doc_id")).alias("h"))
             .withColumn("coarse", F.shiftright("h", HASH_BITS - COARSE_BITS))
             .withColumn("fine", F.shiftright("h", HASH_BITS - COARSE_BITS - FINE_BITS)))
 
@@ -68,9 +72,10 @@ def cuts(words: DataFrame, need: DataFrame, bucket: str, keys: list[str]) -> Dat
                     (F.col("need") - (F.col("upto") - F.col("words"))).alias("over")))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights=WEIGHTS, total_share: float = 1.5, most_repeats: int = 2) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted)."""
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights=WEIGHTS, total_share: float = 1.5, most_repeats: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(documents with their sizes and hash buckets, sources with their target,
+    whole repeats and the fine bucket below which a document is taken once more)."""
     d = stage(sized(docs, id_col, text_col, source_col), "mix-sizes")
     words = d.groupBy("source", "coarse").agg(F.sum("size").alias("words"))
     goal = targets(words.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, most_repeats)
@@ -86,9 +91,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     stop = fine.select("source", (F.col("fine") + F.when(2 * F.col("over") > F.col("words"), 1).otherwise(0)).alias("stop"))
     plan = (goal.alias("g").join(stop.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source")), "left")
             .select(F.col("g.source").alias("source"), "source_size", "target", "repeats", F.coalesce("stop", F.lit(0)).alias("stop")))
-    taken = F.col("size") * (F.col("repeats") + F.when(F.col("fine") < F.col("stop"), 1).otherwise(0))
+    # one row a source: staged, so that its size is known and Spark broadcasts it below its threshold only
+    return d, stage(plan, "mix-plan")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights=WEIGHTS, total_share: float = 1.5, most_repeats: int = 2) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted)."""
+    d, plan = taken(docs, id_col, text_col, source_col, weights, total_share, most_repeats)
+    times = F.col("repeats") + F.when(F.col("fine") < F.col("stop"), 1).otherwise(0)
     return (d.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-            .select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken")))
+            .select("doc_id", "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken")))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights=WEIGHTS, total_share: float = 1.5, most_repeats: int = 2) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Size and hash are
+    made again from the row, so texts are joined to the sources' thresholds
+    only."""
+    _, plan = taken(docs, id_col, text_col, source_col, weights, total_share, most_repeats)
+    plan = plan.select(F.col("source").alias("_source"), F.col("repeats").alias("_repeats"), F.col("stop").alias("_stop"))
+    fine = F.shiftright(hashed(F.col(f"`{id_col}`")), HASH_BITS - COARSE_BITS - FINE_BITS)
+    times = F.when(F.coalesce(F.regexp_count(f"`{text_col}`", F.lit(WORD)), F.lit(0)) == 0, F.lit(0)) \
+        .otherwise(F.col("_repeats") + F.when(fine < F.col("_stop"), 1).otherwise(0))
+    rows = docs.join(plan, F.col(f"`{source_col}`").eqNullSafe(F.col("_source")))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[f"`{c}`" for c in docs.columns])
 
 
 #: The same in SQL over a table ``documents``.

@@ -189,3 +189,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(model.scores(part["text"].to_pylist()))], names=["doc_id", "score"])
 
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text", block: int = 256) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, block):
+                part = b.slice(at, block)
+                yield part.filter(pa.array(model.scores(part[text_col].to_pylist()) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
