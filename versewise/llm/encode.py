@@ -53,7 +53,7 @@ class Encoder:
                         and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
                         and not pre.get("add_prefix_space"))
         self.model, self.alphabet = self.tok.model, byte_alphabet()
-        self.keep, self.words, self.parts = keep, {}, {}
+        self.keep, self.words, self.parts, self.heads = keep, {}, {}, {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -63,16 +63,14 @@ class Encoder:
         found = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
         return np.array([t.id for t in found], "<u4").tobytes()
 
-    def _part(self, part: str) -> bytes | None:
+    def _part(self, body: str, space: str) -> bytes | None:
         """Ids of what stands between two spaces, with the space before it (a
-        first part has a line feed as its mark instead); None where white
-        space meets the space, as the words there depend on both sides."""
-        first = part[:1] == "\n"
-        body = part[1:] if first else part
+        text's first part has none); None where white space meets the space,
+        as the words there depend on both sides."""
         if not body or body[0].isspace() or body[-1].isspace():
             return None
         out = []
-        for w in WORDS.findall(body if first else " " + body):
+        for w in WORDS.findall(space + body):
             ids = self.words.get(w)
             if ids is None:
                 ids = self.words[w] = self._word(w)
@@ -84,8 +82,8 @@ class Encoder:
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text (none for null or empty)."""
-        if len(self.parts) > self.keep:
-            self.parts = {}
+        if len(self.parts) + len(self.heads) > self.keep:
+            self.parts, self.heads = {}, {}
         if len(self.words) > self.keep:
             self.words = {}
         out, parts = [], self.parts
@@ -97,9 +95,11 @@ class Encoder:
                 out.append(self._whole(t))
                 continue
             cut = t.split(" ")
-            cut[0] = "\n" + cut[0]
-            for p in set(cut).difference(parts):
-                parts[p] = self._part(p)
-            got = [parts[p] for p in cut]
+            head, rest = cut[0], cut[1:]
+            if head not in self.heads:
+                self.heads[head] = self._part(head, "")
+            for p in set(rest).difference(parts):
+                parts[p] = self._part(p, " ")
+            got = [self.heads[head], *[parts[p] for p in rest]]
             out.append(self._by_edges(t) if None in got else b"".join(got))
         return out

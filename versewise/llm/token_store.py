@@ -197,8 +197,8 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 if lot:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*lot)], schema=ROWS)
 
-    # a shard a task: the window leaves the short manifest in one partition
-    return shards.repartition("path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # about a shard a task: by a number, as the manifest's few bytes say nothing of the work
+    return shards.repartition(max(1, manifest.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

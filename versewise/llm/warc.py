@@ -238,7 +238,10 @@ def read_records(index: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, c.type) for x, c in zip(zip(*out), schema)], schema=schema)
 
-    by_place = index.repartition("path", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("path", "offset")
+    # by a number of tasks, as an index row's few bytes say nothing of its record's
+    lot = 8 << 20
+    tasks = 1 + (index.agg(F.sum("length").alias("n")).first()["n"] or 0) // lot
+    by_place = index.repartition(tasks, "path", F.floor(F.col("offset") / lot)).sortWithinPartitions("path", "offset")
     return by_place.mapInArrow(read, "range long, position long, page_id long, record_type string, "
                                      "payload_digest string, refers_to long, payload binary")
 
@@ -250,7 +253,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     refers_to, range, position. Without a time the id counts seconds."""
     p = pick(pages, page_id=id_col, url=url_col, html=html_col, timestamp=time_col or id_col)
     p = p.withColumn("timestamp", F.coalesce(F.col("timestamp").cast("long"), F.lit(0)))
-    index = merge_runs(write_archives(p, scratch(p.sparkSession, "warc"), min_bytes))
+    index = stage(merge_runs(write_archives(p, scratch(p.sparkSession, "warc"), min_bytes)), "warc-index")
     back = stage(read_records(index).withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"), "warc-read")
     # revisits take their size from the response of their digest; sizes are equal within a digest
     sizes = (back.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("stored")))
