@@ -193,10 +193,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text", block: int = 256) -> DataFrame:
     """The rows of ``docs`` whose text scores ``least`` or more."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # any column name passes through Arrow
+    at_text = docs.columns.index(text_col)
+
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, block):
                 part = b.slice(at, block)
-                yield part.filter(pa.array(model.scores(part[text_col].to_pylist()) >= least))
+                yield part.filter(pa.array(model.scores(part.column(at_text).to_pylist()) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
