@@ -150,10 +150,12 @@ def decisions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def splitters(pages: DataFrame, per_range: int, sample: int = 4096) -> list[tuple]:
-    """Edges of the key ranges, from a sample of at most ``sample`` captures
-    (chosen by hash; it only balances the ranges): about ``per_range`` each."""
+    """Edges of the key ranges, from a sample of about ``sample`` captures
+    (those with the smallest hashes; it only balances the ranges): about
+    ``per_range`` each."""
     n = pages.count()
-    rows = pages.select("url", "timestamp", "page_id").orderBy(F.xxhash64("page_id", "url")).limit(sample).collect()
+    unit = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / float(1 << 30)
+    rows = pages.select("url", "timestamp", "page_id").where(unit < sample / max(n, 1)).collect()
     keys = sorted((url_key(r["url"]), int(r["timestamp"]), r["page_id"]) for r in rows) if n > per_range else []
     ranges = min(len(keys), -(-n // per_range))
     return [keys[len(keys) * i // ranges] for i in range(1, ranges)]
