@@ -104,3 +104,39 @@ def test_train_evaluate_job(spark, tmp_dir):
     assert 0.0 <= out["vibe_accuracy_full"] <= 1.0 and "valence_mae_lyrics_only" in out
     preds = spark.read.parquet(os.path.join(tmp_dir, "m", "test_predictions"))
     assert preds.filter("variant = 'full'").count() == 15
+    for name, least in (("split", 60), ("features", 60), ("class_report_lyrics_only", 3), ("metric_bars", 6), ("actual_vs_predicted", 1)):
+        assert spark.read.parquet(os.path.join(tmp_dir, "m", name)).count() >= least
+    assert "tempo_mae_full" in out
+
+
+def test_train_job_reports_held_out_rows_and_its_models_score(spark, tmp_dir):
+    from versewise.operators import features as FT
+    from versewise.operators import model as MD
+    rows = [(i, f"{'love ' * (i % 5)} we sing along the night {i}", (i % 10) / 10, ((i * 3) % 10) / 10) for i in range(60)]
+    df = spark.createDataFrame(rows, "track_id long, lyrics string, valence double, energy double")
+    src = os.path.join(tmp_dir, "songs")
+    df.coalesce(1).write.option("header", True).csv(src)
+    cfg = {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3, "random_state": 1, "parallelism": 3}
+    out = JB.train_job(spark, src, os.path.join(tmp_dir, "m"), cfg, lexicon={"love": 3.0})
+    assert out["samples"] == 60 and out["models"] == ["energy", "valence", "vibe"]
+    assert 0 <= out["vibe_accuracy"] <= 1 and out["valence_mae"] < 1
+    models, meta = MD.load_models(os.path.join(tmp_dir, "m"))
+    songs = spark.createDataFrame([(1, "we love the night"), (2, "sing")], "id long, lyrics string")
+    feats = FT.feature_table(songs, "id", "lyrics", lexicon={"love": 3.0})
+    scored = MD.score(feats, models, meta["feature_columns"]).collect()
+    assert len(scored) == 2 and all(r["vibe_out"] for r in scored)
+
+
+def test_enrich_job(spark, tmp_dir):
+    table = os.path.join(tmp_dir, "table")
+    songs_df(spark, 10).write.parquet(f"{table}/epoch=0")
+    info = spark.createDataFrame([("artist 1", "song 1", "sp1", 0.9, 0.9)],
+                                 "artist_key string, title_key string, info_spotify_id string, info_valence double, info_energy double")
+    for c in ["title", "artist", "album", "preview_url"]:
+        info = info.withColumn(f"info_{c}", F.lit(None).cast("string"))
+    for c in ["tempo", "danceability", "acousticness", "instrumentalness", "speechiness", "liveness"]:
+        info = info.withColumn(f"info_{c}", F.lit(None).cast("double"))
+    info = info.withColumns({"info_sources": F.array(F.lit("spotify")), "info_errors": F.array().cast("array<string>")})
+    s = JB.enrich_job(spark, table, info, os.path.join(tmp_dir, "sum"))
+    assert (s["rows_total"], s["spotify_before"], s["spotify_after"]) == (10, 0, 1)
+    assert read_latest(spark, table).filter("spotify_id = 'sp1'").count() == 1

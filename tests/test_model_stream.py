@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from versewise.operators import model as MD
@@ -9,30 +10,48 @@ from versewise.session import scratch_path
 from versewise.streaming import upsert as ST
 
 
-def test_model_config_small():
-    cfg = MD.model_config(100)
+def test_model_profiles():
+    cfg = MD.model_config(profile="small")
     assert (cfg["n_estimators"], cfg["max_depth"], cfg["learning_rate"]) == (100, 4, 0.08)
-    assert MD.model_config(1000)["n_estimators"] == 300
+    assert MD.model_config()["n_estimators"] == 300
+    with pytest.raises(ValueError):
+        MD.model_config(profile="tiny")
+
+
+CFG = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3, "random_state": 1, "parallelism": 2}
+
+
+def songs(spark, n=80):
+    rows = [(i, (i % 10) / 10, ((i * 7) % 10) / 10) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, a double, b double") \
+        .withColumns({"valence": F.col("a") * 0.8 + 0.1, "energy": F.col("b"), "tempo": F.col("a") * 100})
 
 
 def test_train_score_save_load(spark):
-    rows = [(i, (i % 10) / 10, ((i * 7) % 10) / 10) for i in range(80)]
-    df = spark.createDataFrame(rows, "id int, a double, b double") \
-        .withColumns({"valence": F.col("a") * 0.8 + 0.1, "energy": F.col("b"), "vibe": F.lit(None).cast("string")})
-    feats = {"valence": ["a", "b"], "energy": ["a", "b"], "vibe": ["a", "b"]}
-    cfg = {"n_estimators": 3, "max_depth": 2, "learning_rate": 0.3, "random_state": 1, "parallelism": 2}
-    models = MD.train_models(df, feats, cfg)
-    assert set(models) == {"valence", "energy", "vibe"}   # vibe derived from the two labels
+    feats = {t: ["a", "b"] for t in ("valence", "energy", "tempo", "vibe")}
+    df = songs(spark)
+    models = MD.train_models(df, feats, CFG)      # no vibe column: derived from the two labels
+    assert set(models) == {"valence", "energy", "tempo", "vibe"}
     path = scratch_path(spark, "test-models")
-    MD.save_models(models, path, {"classes": ["x"]})
+    MD.save_models(models, path, {"feature_columns": feats})
     loaded, meta = MD.load_models(path)
-    assert set(loaded) == {"valence", "energy", "vibe"} and meta == {"classes": ["x"]}
-    classes = sorted(r[0] for r in df.select(F.expr("1")).limit(0).collect()) or None
-    del classes
-    out = MD.score(df, {k: v for k, v in models.items() if k != "vibe"}, feature_cols=feats).collect()
-    assert all(0.0 <= r["score_valence"] <= 1.0 for r in out)
+    assert set(loaded) == set(models) and meta == {"feature_columns": feats}
+    out = MD.score(df.select("id", "a", "b"), loaded, feats, catalog_used=True).collect()
+    assert len(out) == 80 and all(0.0 <= r["score_valence"] <= 1.0 for r in out)
     assert {r["valence_label"] for r in out} <= {"negative", "neutral", "positive"}
-    assert all(r["vibe_scores"][0]["value"] == 1.0 for r in out) and out[0]["features_used"] == 2
+    assert all(abs(sum(s["value"] for s in r["vibe_scores"]) - 1) < 0.01 for r in out)
+    assert out[0]["features_used"] == 2 and out[0]["spotify_features_used"] and not out[0]["audio_analyzed"]
+    assert all(abs(r["score_tempo"] - 100 * r["a"]) < 40 for r in out)
+
+
+def test_unlabelled_and_unseen_rows_are_scored(spark):
+    df = songs(spark).withColumn("vibe", F.when(F.col("id") % 2 == 0, "calm").otherwise("loud"))
+    models = MD.train_models(df, {"vibe": ["a", "b"]}, CFG)
+    assert MD.class_names(models["vibe"]) == ["calm", "loud"]
+    odd = df.withColumn("vibe", F.when(F.col("id") % 3 == 0, "never seen").when(F.col("id") % 3 == 1, "calm"))
+    for d in (odd, df.drop("vibe")):
+        out = MD.score(d, models).collect()
+        assert len(out) == 80 and {r["vibe_out"] for r in out} <= {"calm", "loud"}
 
 
 def test_rule_fallback(spark):
@@ -55,3 +74,40 @@ def test_stream_upsert_resumes(spark, tmp_dir):
     # a third run with nothing new changes nothing
     out3 = ST.stream_upsert(spark, f"{src}/*", st, ["k"], ["pos"], table, ckpt)
     assert sorted(map(tuple, out3.collect())) == sorted(map(tuple, out2.collect()))
+
+
+def test_a_batch_rewrites_touched_buckets_only(spark, tmp_dir):
+    schema = "k int, pos int, v string"
+    table = os.path.join(tmp_dir, "table")
+    merge = ST.merge_batch(table, ["k"], ["pos"], buckets=8)
+    first = spark.createDataFrame([(i, 1, "a") for i in range(100)], schema)
+    merge(first, 0)
+    before = ST._bucket_epochs(spark, table)
+    assert set(before) == set(range(8)) and all(e == [0] for e in before.values())
+    merge(spark.createDataFrame([(5, 2, "new")], schema), 1)
+    after = ST._bucket_epochs(spark, table)
+    assert sum(e == [0, 1] for e in after.values()) == 1 and sum(e == [0] for e in after.values()) == 7
+    merge(spark.createDataFrame([(5, 2, "new")], schema), 1)       # a retried epoch changes nothing
+    merge(spark.createDataFrame([(5, 3, "new")], schema), 2)
+    assert [0, 1] not in ST._bucket_epochs(spark, table).values() and [1, 2] in ST._bucket_epochs(spark, table).values()
+    got = {r["k"]: r["v"] for r in ST.read_upserted(spark, table, first.schema).collect()}
+    assert len(got) == 100 and got[5] == "new" and got[6] == "a"
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
+    from versewise import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host", "x"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())

@@ -189,7 +189,8 @@ def test_feature_table_order(spark):
 def test_text_functions_stay_in_jvm(spark):
     df = spark.createDataFrame([(1, "some words")], "id int, lyrics string")
     plan = FT.lyrics_features(df, "lyrics")._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "ArrowEval" not in plan
+    # one Arrow UDF (sentiment); the rest stays in the JVM
+    assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
 
 
 def test_nearest_anchor_has_no_exchange(spark):
@@ -209,13 +210,117 @@ def test_tokens_helper_words(spark):
     assert X.word_pattern(["a", "ab"], X.TOKEN_CLASS).startswith("(?<![a-z'])(?:ab|a)")
 
 
-def test_sentiment_join_path_matches_map_path(spark):
-    df = spark.createDataFrame([(1, "i do not love this sad song but the night is kind"), (2, "nothing here"), (3, "")],
+def test_sentiment_dict_and_table_lexicons(spark):
+    df = spark.createDataFrame([(1, "i do not love this sad song but the night is kind"), (2, "nothing here"), (3, ""),
+                                (4, "so kind"), (5, "slightly very sad"), (6, None)],
                                "id int, t string").withColumn("toks", X.tokens(F.col("t")))
     lex = {"love": 3.2, "sad": -2.1, "kind": 1.5, "night": 0.0}
-    a = {r["id"]: tuple(r[1:]) for r in FT.with_sentiment(df, "toks", lex).select(
-        "id", "vader_compound", "vader_pos", "vader_neg", "vader_neu").collect()}
-    b = {r["id"]: tuple(r[1:]) for r in FT.with_sentiment(df, "toks", lex, id_col="id", method="join").select(
-        "id", "vader_compound", "vader_pos", "vader_neg", "vader_neu").collect()}
+    cols = ["id", "vader_compound", "vader_pos", "vader_neg", "vader_neu"]
+    a = {r["id"]: tuple(r[1:]) for r in FT.with_sentiment(df, "toks", lex).select(cols).collect()}
+    table = spark.createDataFrame(list(lex.items()), "w string, v double")
+    b = {r["id"]: tuple(r[1:]) for r in FT.with_sentiment(df, "toks", table).select(cols).collect()}
     # love and sad are both negated by "not": -2.368 + 1.554 + 1.5 -> compound 0.1744
-    assert a == b and a[3] == (0.0, 0.0, 0.0, 0.0) and a[1][0] == 0.1744
+    assert a == b and a[3] == a[6] == (0.0, 0.0, 0.0, 0.0) and a[1][0] == 0.1744
+    up = 1.5 + 0.293
+    assert a[4][0] == round(up / (up * up + 15) ** 0.5, 4)
+    down = -(2.1 + 0.293 - 0.293 * 0.95)
+    assert a[5][0] == round(down / (down * down + 15) ** 0.5, 4)
+    big = {f"w{i}": 1.0 for i in range(5000)} | lex
+    assert {r["id"]: tuple(r[1:]) for r in FT.with_sentiment(df, "toks", big).select(cols).collect()} == a
+
+
+def test_lexicon_size_is_checked(monkeypatch):
+    monkeypatch.setattr(FT, "MAX_LEXICON_WORDS", 2)
+    with pytest.raises(ValueError):
+        FT.lexicon_dict({"a": 1, "b": 2, "c": 3})
+
+
+def test_model_scorer_loads_once_a_task_and_keeps_null_texts(spark):
+    def load():
+        return lambda texts: [{"joy": 1.0} for _ in texts]
+    df = spark.createDataFrame([(1, "abcdef"), (2, None), (3, ""), (4, "  ")], "id int, t string")
+    got = {r["id"]: (r["n_chunks"], r["emo_joy"]) for r in FT.chunk_model_scores(df, "t", "id", 4, load).collect()}
+    assert got == {1: (2, 1.0), 2: (1, 0.0), 3: (1, 0.0), 4: (1, 0.0)}
+
+
+def exchanges_above_scan(df, column):
+    """Whether a shuffle stands between the rows that carry ``column`` and the result."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    probe = [ln for ln in plan.splitlines() if "Exchange" in ln and "Broadcast" not in ln]
+    return plan, probe
+
+
+@pytest.mark.parametrize("name", ["nearest_vibe", "text_stats"])
+def test_row_queries_have_no_exchange(spark, name):
+    from versewise.plans import queries
+    _, found = exchanges_above_scan(queries.queries()[name](spark, "/root/testdata/sf0.001"), "text")
+    assert found == []
+
+
+def test_split_does_not_shuffle_wide_rows(spark, tmp_dir):
+    path = f"{tmp_dir}/wide"
+    spark.range(200).select("id", (F.col("id") % 3).cast("string").alias("y"), F.lit("w" * 50).alias("wide")).write.parquet(path)
+    out = SM.stratified_split(spark.read.parquet(path), "y", "id", test_n=40)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    wide = next(ln for ln in plan.splitlines() if "wide#" in ln and "FileScan" in ln)
+    above = [ln for ln in plan.splitlines()[:plan.splitlines().index(wide)] if "Exchange" in ln and "Broadcast" not in ln]
+    assert above == [] and out.filter("split = 'test'").count() == 40
+
+
+def test_split_keeps_null_labels(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2]) for i in range(100)], "id int, y string")
+    out = SM.stratified_split(df, "y", "id", test_n=20).collect()
+    assert len(out) == 100 and sum(r["split"] == "test" for r in out) == 20
+    assert sum(r["split"] == "test" and r["y"] is None for r in out) == 4
+
+
+def test_confusion_keeps_other_classes(spark):
+    df = spark.createDataFrame([("chill", "weird"), ("chill", None), ("odd", "chill"), ("chill", "chill")], "a string, b string")
+    got = {r["actual"]: (r["chill"], r["other"], r["actual_pos"]) for r in M.confusion(df, "a", "b").collect()}
+    assert got["chill"][:2] == (1, 2) and got["odd"] == (1, 0, 99)
+
+
+def test_labels_that_are_nan_are_missing(spark):
+    from versewise.operators import joins as J
+    from versewise.operators import lookup as LK
+    nan = float("nan")
+    df = spark.createDataFrame([("a", "t", "la " * 20, "id1", nan, 0.5, None, ["happy"], "", "KR")],
+                               "artist string, title string, lyrics string, spotify_id string, valence double, energy double, "
+                               "vibe string, lastfm_tags array<string>, genre_hint string, market string")
+    assert J.filter_lyrics_and_music(df).count() == 0
+    assert df.select(J.fill_vibe(df).alias("v")).first()["v"] == ""
+    assert LK.label_cascade(df).first()["label_source"] == "lastfm"
+
+
+def test_best_match_blank_keys_and_tokens(spark):
+    from versewise.operators import joins as J
+    cat = spark.createDataFrame([(1, "夜", "歌手"), (2, "Blue Moon Rising", "Ann"), (3, "Blue Sky", "Ann"), (4, "Moon", "Bob")],
+                                "track_id int, name string, artist string")
+    q = spark.createDataFrame([(1, "海", "誰か"), (2, "Blue Moon Rising (Live)", "Ann"), (3, "Moon", "Zed"), (4, "Blue", "Ann"), (5, "", "Ann")],
+                              "q_id int, title string, artist string")
+    got = {r["q_id"]: (r["match_id"], r["match_stage"]) for r in J.best_match(q, cat).collect()}
+    assert got == {1: (None, None), 2: (2, 3), 3: (4, 2), 4: (2, 3), 5: (None, None)}
+
+
+def test_signal_framing_options():
+    import numpy as np
+    from versewise.operators import signal as SG
+    x = np.sin(2 * np.pi * 440 * np.arange(22050) / 22050)[None]
+    f = SG.Framing(**SG.REFERENCE)
+    out = dict(zip(f.names(("time", "spectral")), f.features(x, ("time", "spectral"))[0]))
+    assert abs(out["rms_mean"] - 0.7) < 0.03 and 400 < out["spectral_rolloff_mean"] < 700
+    assert f.fb.shape == (128, 1025) and f.features(x, ("mfcc",)).shape == (1, 40)
+    assert np.allclose(SG.from_mel(SG.to_mel([100.0, 5000.0], "slaney"), "slaney"), [100.0, 5000.0])
+    assert (f.features(np.zeros((2, 0)), ("time",)) == 0).all()
+
+
+def test_long_signals_take_linear_time(spark):
+    import time
+    from versewise.operators import signal as SG
+    df = spark.range(2).select(F.transform(F.sequence(F.lit(0), F.lit(661500)), lambda i: F.sin(i / 10)).alias("s")).cache()
+    df.count()
+    f = SG.Framing(**SG.REFERENCE)
+    SG.signal_features(df.limit(1), "s", f).drop("s").collect()
+    t0 = time.time()
+    assert len(SG.signal_features(df, "s", f).drop("s").collect()) == 2
+    assert time.time() - t0 < 20

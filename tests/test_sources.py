@@ -86,10 +86,21 @@ def test_payloads(spark):
     obj = json.dumps({"track": {"url": "u", "toptags": {"tag": {"name": "sad"}}}})
     arr = json.dumps({"track": {"url": "v", "toptags": {"tag": [{"name": f"t{i}"} for i in range(12)] + [{"name": ""}]},
                                 "album": {"title": "A"}}})
-    tags = P.flatten_tags(spark.createDataFrame([(obj,), (arr,)], "p string"), "p").collect()
+    tags = P.flatten_tags(spark.createDataFrame([(obj,), (arr,)], "p string"), "p", k=10).collect()
     assert tags[0]["lastfm_tags"] == ["sad"] and tags[0]["lastfm_album"] is None
     assert tags[1]["lastfm_tags"] == [f"t{i}" for i in range(10)] and tags[1]["lastfm_album"] == "A"
     search = json.dumps({"tracks": {"items": [{"id": "a", "name": "x", "artists": [{"name": "Z"}]},
                                               {"id": "", "name": "y"}, {"id": "a", "name": "dup"}]}})
     c = P.explode_search(spark.createDataFrame([(1, search)], "q int, p string"), "p", ["q"]).collect()
     assert [(x["spotify_id"], x["title"], x["artist"]) for x in c] == [("a", "x", "Z")]
+
+
+def test_tags_default_to_all_and_album_fills_empty_only(spark):
+    arr = json.dumps({"track": {"toptags": {"tag": [{"name": f"t{i}"} for i in range(12)]}, "album": {"title": "New"}}})
+    rows = P.flatten_tags(spark.createDataFrame([(arr, "Old"), (arr, ""), (arr, None)], "p string, album string"), "p", album="album").collect()
+    assert [r["album"] for r in rows] == ["Old", "New", "New"] and len(rows[0]["lastfm_tags"]) == 12
+
+
+def test_a_repeated_artist_takes_the_last_list(spark):
+    d = spark.createDataFrame([(1, "A", ["x", "y"]), (2, "B", ["x"]), (3, "A", ["z"])], "pos int, artist string, titles array<string>")
+    assert sorted((r["pos"], r["line"]) for r in SG.track_map(d).collect()) == [(1, "A - z"), (2, "B - x")]

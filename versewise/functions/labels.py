@@ -20,20 +20,28 @@ def _dist(v: Column, e: Column, av: float, ae: float) -> Column:
     return dv * dv + de * de
 
 
+def has_number(c) -> Column:
+    """A number that is neither NULL nor NaN."""
+    c = _col(c)
+    return c.isNotNull() & ~F.isnan(c.cast("double"))
+
+
 def nearest_anchor(valence, energy, anchors=VIBE_ANCHORS) -> Column:
     """Name of the closest (valence, energy) anchor; the first anchor wins
-    ties. A theta join against the anchor table written as one ``least`` over
-    (distance, position, name) structs, so it needs no row key and no shuffle.
-    NULL or NaN input gives NULL.
+    ties. A theta join against the anchor table written as the least of eight
+    distances and the first anchor that has it: plain doubles, no row key, no
+    shuffle. NULL or NaN input gives NULL.
 
     Each input appears in every distance term: pass column references (put a
     computed input in its own projection first), not long expressions."""
     v, e = _col(valence).cast("double"), _col(energy).cast("double")
-    cands = [F.struct(_dist(v, e, av, ae).alias("d"), F.lit(i).alias("i"), F.lit(name).alias("name"))
-             for i, (name, av, ae) in enumerate(anchors)]
-    best = F.least(*cands).getField("name")
+    dist = [_dist(v, e, av, ae) for _, av, ae in anchors]
+    best = F.least(*dist)
+    name = None
+    for (label, _, _), d in zip(anchors, dist):
+        name = F.when(d == best, label) if name is None else name.when(d == best, label)
     bad = v.isNull() | e.isNull() | F.isnan(v) | F.isnan(e)
-    return F.when(bad, F.lit(None).cast("string")).otherwise(best)
+    return F.when(~bad, name)
 
 
 def bucket(c, names=ENERGY_BUCKETS, low: float = LOW_CUT, high: float = HIGH_CUT) -> Column:

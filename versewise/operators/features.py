@@ -21,44 +21,76 @@ from versewise.functions import text as X
 from versewise.schema import (EMOTION_LABELS, EMOTION_RULES, SPOTIFY_FEATURES, THEMES, audio_feature_names,
                               lyrics_feature_names)
 
-# Sentiment (X6b): lexicon rule of Hutto & Gilbert (2014), reduced to its
-# core: token valences from a lexicon, negation within the three previous
-# tokens (x -0.74), compound = s / sqrt(s^2 + 15), pos/neg/neu shares.
+# Sentiment (X6b): lexicon rule of Hutto & Gilbert (2014): token valences
+# from a lexicon, raised or lowered by boosters among the three previous
+# tokens (weaker the farther), x -0.74 if one of those is a negator;
+# compound = s / sqrt(s^2 + 15), pos/neg/neu shares.
+# Fixed values of the method:
 NEGATION_SCALAR = -0.74
 NORMALIZE_ALPHA = 15.0
+BOOST = 0.293
+BOOST_FADE = (1.0, 0.95, 0.9)
 DEFAULT_NEGATORS = ["not", "no", "never", "nothing", "nobody", "none", "nor", "neither",
                     "don't", "doesn't", "didn't", "can't", "won't", "isn't", "ain't", "without"]
+DEFAULT_BOOSTERS = {"absolutely": BOOST, "completely": BOOST, "extremely": BOOST, "really": BOOST, "so": BOOST,
+                    "such": BOOST, "totally": BOOST, "very": BOOST, "almost": -BOOST, "barely": -BOOST,
+                    "hardly": -BOOST, "partly": -BOOST, "slightly": -BOOST, "somewhat": -BOOST}
+#: Words a lexicon may have: it goes to every task, so its size is checked.
+MAX_LEXICON_WORDS = 1_000_000
 
 
-def lexicon_map(lexicon: dict[str, float]) -> Column:
-    keys = sorted(lexicon)
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]),
-                             F.array(*[F.lit(float(lexicon[k])) for k in keys]))
-
-
-def sentiment_values(toks: Column, lexicon: dict[str, float], neg_flags: Column) -> Column:
-    """Per-token valence: lexicon value (0 when absent), times -0.74 when one
-    of the three previous tokens is a negator. ``neg_flags`` must be a
-    column computed beforehand (read back with ``get``, NULL out of range),
-    so the lambda stays O(1) per token."""
-    lex = lexicon_map(lexicon)
-
-    def val(t, i):
-        base = F.coalesce(F.try_element_at(lex, t), F.lit(0.0))
-        negated = (F.coalesce(F.get(neg_flags, i - 1), F.lit(False))
-                   | F.coalesce(F.get(neg_flags, i - 2), F.lit(False))
-                   | F.coalesce(F.get(neg_flags, i - 3), F.lit(False)))
-        return F.when(base == 0, F.lit(0.0)).when(negated, base * NEGATION_SCALAR).otherwise(base)
-
-    return F.transform(toks, val)
-
-
-def sentiment_scores(vals: Column) -> dict[str, Column]:
-    """X6b from per-token valences: compound (4 places), pos, neg, neu (3)."""
-    s = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
-    pos = F.aggregate(vals, F.lit(0.0), lambda a, x: a + F.when(x > 0, x + 1).otherwise(F.lit(0.0)))
-    neg = F.aggregate(vals, F.lit(0.0), lambda a, x: a + F.when(x < 0, x - 1).otherwise(F.lit(0.0)))
-    neu = F.size(F.filter(vals, lambda x: x == 0)).cast("double")
+def lexicon_dict(lexicon) -> dict[str, float]:
+    """A lexicon given as a dict or as a table (token, valence), at most
+    ``MAX_LEXICON_WORDS`` words."""
+    if isinstance(lexicon, DataFrame):
+        rows = lexicon.limit(MAX_LEXICON_WORDS + 1).collect()
+        lexicon = {r[0]: float(r[1]) for r in rows if r[0] is not None and r[1] is not None}
+    if len(lexicon) > MAX_LEXICON_WORDS:
+        raise ValueError(f"a lexicon may have {MAX_LEXICON_WORDS} words")
+    return {k: float(v) for k, v in lexicon.items()}
+
+
+def sentiment_sums(lexicon: dict[str, float], negators=DEFAULT_NEGATORS, boosters=None):
+    """Arrow UDF over token arrays: sum of valences, positive and negative
+    sums (each hit counts one more), number of neutral tokens. A token costs
+    one hash look-up, whatever the size of the lexicon."""
+    lex = {k: v for k, v in lexicon.items() if v}
+    neg = frozenset(negators)
+    boost = {k: v for k, v in (DEFAULT_BOOSTERS if boosters is None else boosters).items() if k not in lexicon}
+
+    def one(toks) -> tuple[float, float, float, float]:
+        total = up = down = 0.0
+        hits = 0
+        toks = [] if toks is None else toks
+        for i, t in enumerate(toks):
+            v = lex.get(t)
+            if v is None:
+                continue
+            before = toks[max(0, i - 3):i][::-1]
+            sign = 1.0 if v > 0 else -1.0
+            v += sign * sum(boost.get(p, 0.0) * f for p, f in zip(before, BOOST_FADE))
+            if any(p in neg for p in before):
+                v *= NEGATION_SCALAR
+            if v == 0:
+                continue
+            hits += 1
+            total += v
+            if v > 0:
+                up += v + 1
+            else:
+                down += v - 1
+        return total, up, down, float(len(toks) - hits)
+
+    @F.pandas_udf("s double, pos double, neg double, neu double")
+    def sums(toks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(t) for t in toks], columns=["s", "pos", "neg", "neu"])
+
+    return sums
+
+
+def sentiment_scores(sums: str) -> dict[str, Column]:
+    """X6b from the sums: compound (4 places), pos, neg, neu (3)."""
+    s, pos, neg, neu = (F.col(f"{sums}.{c}") for c in ("s", "pos", "neg", "neu"))
     total = pos + F.abs(neg) + neu
     nz = total > 0
     return {
@@ -70,72 +102,14 @@ def sentiment_scores(vals: Column) -> dict[str, Column]:
     }
 
 
-LEXICON_MAP_MAX = 256
-
+def with_sentiment(df: DataFrame, toks: str, lexicon, negators=DEFAULT_NEGATORS, boosters=None) -> DataFrame:
+    """X6b as columns, one way for every lexicon size: no shuffle, no id, and
+    streams take it too."""
+    sums = sentiment_sums(lexicon_dict(lexicon), negators, boosters)
+    return df.withColumn("_sent", sums(F.col(toks))).withColumns(sentiment_scores("_sent")).drop("_sent")
 
-def _negation_flags(toks: Column, neg: Column) -> Column:
-    return F.transform(toks, lambda t, i: F.coalesce(F.get(neg, i - 1), F.lit(False))
-                       | F.coalesce(F.get(neg, i - 2), F.lit(False)) | F.coalesce(F.get(neg, i - 3), F.lit(False)))
 
-
-def sentiment_by_join(df: DataFrame, id_col: str, toks: str, lexicon, negators=DEFAULT_NEGATORS) -> DataFrame:
-    """X6b for large lexicons (a dict, or a DataFrame of token, valence).
-
-    A map literal is searched linearly per token, so a full-size lexicon
-    becomes a hash join instead: tokens with their negation flags are
-    exploded, joined with the lexicon (broadcast when it is a dict, whose
-    size is known; otherwise AQE decides), and only the hits are aggregated
-    per id (partial aggregation before the shuffle). Rows without hits get
-    zeros; the result has ``id_col`` and the four scores."""
-    spark = df.sparkSession
-    if isinstance(lexicon, DataFrame):
-        lex = lexicon.select(F.col(lexicon.columns[0]).alias("_tok"), F.col(lexicon.columns[1]).cast("double").alias("_val"))
-    else:
-        lex = F.broadcast(spark.createDataFrame(sorted((k, float(v)) for k, v in lexicon.items()),
-                                                "_tok string, _val double"))
-    d = df.select(id_col, F.col(toks).alias("_t"))
-    d = d.withColumn("_neg", F.transform("_t", lambda t: t.isin(*negators)))
-    d = d.withColumn("_negd", _negation_flags(F.col("_t"), F.col("_neg")))
-    ex = d.select(id_col, F.explode(F.arrays_zip("_t", "_negd")).alias("z")) \
-        .select(id_col, F.col("z._t").alias("_tok"), F.col("z._negd").alias("_negd"))
-    hits = ex.join(lex, "_tok").filter(F.col("_val") != 0)
-    v = F.when(F.col("_negd"), F.col("_val") * NEGATION_SCALAR).otherwise(F.col("_val"))
-    agg = hits.withColumn("_v", v).groupBy(id_col).agg(
-        F.sum("_v").alias("_s"), F.sum(F.when(F.col("_v") > 0, F.col("_v") + 1).otherwise(0.0)).alias("_pos"),
-        F.sum(F.when(F.col("_v") < 0, F.col("_v") - 1).otherwise(0.0)).alias("_negs"),
-        F.count(F.lit(1)).alias("_nz"))
-    base = d.select(id_col, F.size("_t").alias("_n")).join(agg, id_col, "left").fillna(0, ["_s", "_pos", "_negs", "_nz"])
-    s, pos, neg = F.col("_s"), F.col("_pos"), F.col("_negs")
-    neu = (F.col("_n") - F.col("_nz")).cast("double")
-    total = pos + F.abs(neg) + neu
-    nz = total > 0
-    return base.select(id_col,
-                       (F.round(s / F.sqrt(s * s + NORMALIZE_ALPHA), 4) + F.lit(0.0)).alias("vader_compound"),
-                       F.when(nz, F.round(F.abs(pos / total), 3)).otherwise(F.lit(0.0)).alias("vader_pos"),
-                       F.when(nz, F.round(F.abs(neg / total), 3)).otherwise(F.lit(0.0)).alias("vader_neg"),
-                       F.when(nz, F.round(F.abs(neu / total), 3)).otherwise(F.lit(0.0)).alias("vader_neu"))
-
-
-def with_sentiment(df: DataFrame, toks: str, lexicon, negators=DEFAULT_NEGATORS,
-                   id_col: str | None = None, method: str = "auto") -> DataFrame:
-    """X6b as columns. Small dict lexicons (<= 256 words) are looked up in a
-    map literal inside the row (no shuffle; the valence array is
-    materialised once, not inlined four times); larger ones, or a lexicon
-    DataFrame, go through ``sentiment_by_join`` and are joined back on
-    ``id_col``."""
-    use_join = method == "join" or (method == "auto" and (isinstance(lexicon, DataFrame)
-                                                          or len(lexicon) > LEXICON_MAP_MAX))
-    if use_join:
-        if id_col is None:
-            raise ValueError("a large lexicon needs id_col (scores are joined back by id)")
-        return df.join(sentiment_by_join(df, id_col, toks, lexicon, negators), id_col, "left")
-    d = df.withColumn("_neg", F.transform(F.col(toks), lambda t: t.isin(*negators)))
-    d = d.withColumn("_vals", sentiment_values(F.col(toks), lexicon, F.col("_neg")))
-    return d.withColumns(sentiment_scores(F.col("_vals"))).drop("_vals", "_neg")
-
-
-def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str, float] | None = None,
-                    on_empty: str = "error", id_col: str | None = None) -> DataFrame:
+def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon=None, on_empty: str = "error") -> DataFrame:
     """The 22 text features of each row, in catalogue order.
 
     ``on_empty`` decides what happens to rows whose cleaned text is empty:
@@ -152,7 +126,7 @@ def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str,
         df = df.filter(~empty)
     df = df.withColumn("_low", F.lower(F.col("_clean")))
     df = df.withColumn("_toks", X.tokens(F.col("_low")))
-    df = with_sentiment(df, "_toks", lexicon or {}, id_col=id_col)
+    df = with_sentiment(df, "_toks", lexicon if lexicon is not None else {})
     # one regex scan per lexicon group, kept as columns (not re-run per label)
     df = with_lexicon_hits(df, "_low")
     t, low = F.col("_toks"), F.col("_low")
@@ -176,14 +150,6 @@ def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon: dict[str,
     return out.select(*ordered, *lyrics_feature_names())
 
 
-def chunk_spans(toks: Column, stride: int) -> Column:
-    """Fixed-stride chunks of a token array (last one short); one empty
-    array gives no chunk."""
-    n = F.size(toks)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.slice(toks, s + 1, stride))
-
-
 def with_lexicon_hits(df: DataFrame, low: str) -> DataFrame:
     """Columns ``_th`` (theme words, token boundaries) and ``_eh`` (emotion
     words, word boundaries): the short arrays of lexicon hits of the
@@ -240,33 +206,30 @@ def _sum_fields(h: Column) -> Column:
 
 
 def chunk_model_scores(df: DataFrame, text_col: str, id_col: str, max_chars: int,
-                       scorer: Callable[[list[str]], list[dict[str, float]]]) -> DataFrame:
+                       load: Callable[[], Callable[[list[str]], list[dict[str, float]]]]) -> DataFrame:
     """X7 with a pluggable model: character chunks (W5) are exploded, scored in
-    Arrow batches by ``scorer`` (loaded once per task by the caller's closure),
-    and averaged per id over all chunks (blank chunks score 0 but count)."""
-    n = F.length(F.col(text_col))
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(max_chars))
-    chunks = df.select(id_col, F.posexplode(F.transform(starts, lambda s: F.substring(F.col(text_col), s, max_chars)))
-                       .alias("chunk_no", "chunk"))
+    Arrow batches and averaged per id over all chunks (blank chunks score 0
+    but count; a NULL text is one blank chunk). ``load`` runs once a task and
+    returns the scorer, so a model isn't sent with the plan."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(max_chars))
+    chunks = df.select(id_col, F.explode(F.transform(starts, lambda s: F.substring(text, s, max_chars))).alias("chunk"))
+    names = [f"emo_{e}" for e in EMOTION_LABELS]
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] +
-                          [T.StructField(f"emo_{e}", T.DoubleType()) for e in EMOTION_LABELS])
+                          [T.StructField(n, T.DoubleType()) for n in names])
 
     def run(batches):
+        scorer = load()
         for pdf in batches:
-            texts = pdf["chunk"].fillna("").tolist()
-            scored = scorer([t for t in texts if t.strip()])
-            it = iter(scored)
-            rows = []
-            for t in texts:
-                s = next(it) if t.strip() else {}
-                rows.append({f"emo_{e}": float(s.get(e, 0.0)) for e in EMOTION_LABELS})
-            out = pd.DataFrame(rows, columns=[f"emo_{e}" for e in EMOTION_LABELS])
+            texts = pdf["chunk"].tolist()
+            scored = iter(scorer([t for t in texts if t.strip()]))
+            found = [next(scored) if t.strip() else {} for t in texts]
+            out = pd.DataFrame([[float(s.get(e, 0.0)) for e in EMOTION_LABELS] for s in found], columns=names)
             out.insert(0, id_col, pdf[id_col].values)
             yield out
 
     scored = chunks.mapInPandas(run, schema)
-    return scored.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"),
-                                      *[F.avg(f"emo_{e}").alias(f"emo_{e}") for e in EMOTION_LABELS])
+    return scored.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"), *[F.avg(n).alias(n) for n in names])
 
 
 def zero_columns(df: DataFrame, cols=SPOTIFY_FEATURES) -> DataFrame:
@@ -284,16 +247,20 @@ def project_features(df: DataFrame, cols: list[str], keep: list[str] | None = No
 
 def feature_table(songs: DataFrame, id_col: str, text_col: str = "lyrics",
                   audio: DataFrame | None = None, include_catalog: bool = True,
-                  lexicon: dict[str, float] | None = None, on_empty: str = "error",
-                  keep: list[str] | None = None) -> DataFrame:
+                  lexicon=None, on_empty: str = "error",
+                  keep: list[str] | None = None, labels: DataFrame | None = None) -> DataFrame:
     """22 text + 51 signal (0.0 without audio) + 13 catalog features
-    per row, in catalogue order, plus ids and labels. ``audio`` is a table of
-    signal features keyed by ``id_col`` (left join, AQE picks the strategy)."""
-    df = lyrics_features(songs, text_col, lexicon, on_empty, id_col=id_col)
+    per row, in catalogue order, plus ids and labels. ``audio`` (signal
+    features) and ``labels`` (label and catalog columns) are tables keyed by
+    ``id_col``; they are joined after the text has become numbers and is
+    dropped."""
+    df = lyrics_features(songs, text_col, lexicon, on_empty).drop(text_col)
+    if labels is not None:
+        df = df.join(labels, id_col, "left")
     if include_catalog:
-        df = df.withColumns(L.numeric_features(songs))
+        df = df.withColumns(L.numeric_features(df))
     if audio is not None:
         df = df.join(audio, id_col, "left")
     cols = lyrics_feature_names() + audio_feature_names() + (list(SPOTIFY_FEATURES) if include_catalog else [])
-    labels = [c for c in ["vibe", "valence", "energy", "tempo"] if c in songs.columns]
-    return project_features(df, cols, [id_col, *(keep or []), *labels])
+    named = [c for c in ["vibe", "valence", "energy", "tempo"] if c in df.columns]
+    return project_features(df, cols, [id_col, *(keep or []), *named])

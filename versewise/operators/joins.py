@@ -37,8 +37,7 @@ def has_music_data(df: DataFrame, require_audio_file: bool = False,
     ``audio_exists`` comes from J12; without it a non-blank path counts."""
     cols = set(df.columns)
     sid = present("spotify_id") if "spotify_id" in cols else F.lit(False)
-    labels = (F.col("valence").isNotNull() & ~F.isnan("valence") & F.col("energy").isNotNull()
-              & ~F.isnan("energy")) if {"valence", "energy"} <= cols else F.lit(False)
+    labels = (L.has_number("valence") & L.has_number("energy")) if {"valence", "energy"} <= cols else F.lit(False)
     preview = present("preview_url") if "preview_url" in cols else F.lit(False)
     if audio_exists is not None:
         audio = audio_exists
@@ -72,7 +71,7 @@ def filter_complete_rows(df: DataFrame, require_audio_file: bool = False,
 def fill_vibe(df: DataFrame) -> Column:
     """keep an existing vibe (stripped), else J8 when both labels exist, else ""."""
     existing = X.strip(F.col("vibe")) if "vibe" in df.columns else F.lit(None).cast("string")
-    both = F.col("valence").isNotNull() & F.col("energy").isNotNull()
+    both = L.has_number("valence") & L.has_number("energy")
     return (F.when(present(existing), existing)
              .when(both, L.nearest_anchor("valence", "energy"))
              .otherwise(F.lit("")))
@@ -124,7 +123,7 @@ def merge_summary(catalog_prepared: DataFrame, merged: DataFrame, keep: Column)
 def merge_keep_predicate() -> Column:
     """F4 as a Column (the same test ``filter_lyrics_and_music`` applies)."""
     return (X.has_usable_lyrics("lyrics") & present("spotify_id")
-            & F.col("valence").isNotNull() & F.col("energy").isNotNull())
+            & L.has_number("valence") & L.has_number("energy"))
 
 
 def with_track_key(df: DataFrame, artist="artist", title="title") -> DataFrame:
@@ -174,7 +173,7 @@ def overlay(df: DataFrame, prefix: str = "info_", audio_path: Column | None = No
     columns are replaced even by NULL; vibe recomputed when both labels came
     back; sources ordered union; error text rules of X15."""
     p = prefix
-    got = F.col(f"{p}valence").isNotNull() & F.col(f"{p}energy").isNotNull()
+    got = L.has_number(f"{p}valence") & L.has_number(f"{p}energy")
     old_vibe = F.coalesce(X.strip(F.col("vibe")), F.lit("")) if "vibe" in df.columns else F.lit("")
     sets = {
         "title": F.coalesce(F.when(present(f"{p}title"), F.col(f"{p}title")), F.col("title")),
@@ -243,22 +242,40 @@ def backfill_lyrics(songs: DataFrame, lyrics_table: DataFrame) -> DataFrame:
     return need.unionByName(keep).drop("_need")
 
 
-def best_match(queries: DataFrame, catalog: DataFrame, id_col: str = "track_id") -> DataFrame:
+def best_match(queries: DataFrame, catalog: DataFrame, id_col: str = "track_id", query_id: str = "q_id",
+               drop_blank_keys: bool = True) -> DataFrame:
     """J6 re-aimed to a catalog table: stage 1 = exact (title, artist) key,
-    stage 2 (only for rows stage 1 missed) = title key alone; in each stage
-    the catalog row with the smallest id wins. Both catalog sides are reduced
-    to one row per key first, so no join emits more than one row per query."""
+    stage 2 = title key alone, stage 3 = most title tokens in common among the
+    artist's rows; in each stage the catalog row with the smallest id wins.
+
+    Catalog sides of stages 1 and 2 are reduced to one row per key first, so
+    the joins emit a row per query. Stage 3 is for what is left: a query meets
+    the catalog rows of its artist that hold its rarest title token, so
+    nothing is compared all with all. ``drop_blank_keys``: names that
+    normalise to nothing match nothing."""
     cat = catalog.select(F.col(id_col).alias("match_id"),
                          X.normalize_key("name").alias("_t"), X.normalize_key("artist").alias("_a"))
-    strict = keep_first(cat, ["_t", "_a"], ["match_id"])
-    loose = keep_first(cat.drop("_a"), ["_t"], ["match_id"])
     q = queries.withColumns({"_t": X.normalize_key("title"), "_a": X.normalize_key("artist")})
-    s1 = q.join(strict, ["_t", "_a"], "left")
-    hit = s1.filter(F.col("match_id").isNotNull()).withColumn("match_stage", F.lit(1))
-    miss = s1.filter(F.col("match_id").isNull()).drop("match_id")
-    s2 = miss.join(loose, ["_t"], "left").withColumn(
-        "match_stage", F.when(F.col("match_id").isNotNull(), F.lit(2)))
-    return hit.unionByName(s2).drop("_t", "_a")
+    if drop_blank_keys:
+        cat = cat.filter("_t != ''")
+        q = q.withColumn("_t", F.nullif("_t", F.lit("")))
+    strict = keep_first(cat, ["_t", "_a"], ["match_id"]).withColumnRenamed("match_id", "_m1")
+    loose = keep_first(cat.drop("_a"), ["_t"], ["match_id"]).withColumnRenamed("match_id", "_m2")
+    q = q.join(strict, ["_t", "_a"], "left").join(loose, ["_t"], "left")
+
+    split = F.array_distinct(F.split("_t", " "))
+    words = cat.filter("_a != ''").select("match_id", "_a", split.alias("_w"))
+    by_word = words.select("match_id", "_a", "_w", F.explode("_w").alias("_tok"))
+    rare = by_word.groupBy("_a", "_tok").agg(F.count(F.lit(1)).alias("_n"))
+    asked = q.filter("_m1 IS NULL AND _m2 IS NULL AND _a != ''").select(F.col(query_id).alias("_q"), "_a", split.alias("_qw"))
+    seen = asked.select("_q", "_a", "_qw", F.explode("_qw").alias("_tok")).join(rare, ["_a", "_tok"])
+    one = seen.groupBy("_q", "_a", "_qw").agg(F.min_by("_tok", F.struct("_n", "_tok")).alias("_tok"))
+    found = (one.join(by_word, ["_a", "_tok"]).withColumn("_shared", F.size(F.array_intersect("_w", "_qw")))
+             .groupBy("_q").agg(F.min_by("match_id", F.struct(-F.col("_shared"), "match_id")).alias("_m3")))
+    q = q.join(found, q[query_id] == found["_q"], "left").drop("_q")
+    stage = F.when(F.col("_m1").isNotNull(), 1).when(F.col("_m2").isNotNull(), 2).when(F.col("_m3").isNotNull(), 3)
+    return (q.withColumns({"match_id": F.coalesce("_m1", "_m2", "_m3"), "match_stage": stage})
+            .drop("_t", "_a", "_m1", "_m2", "_m3"))
 
 
 def multi_lookup(songs: DataFrame, lyrics: DataFrame | None, features: DataFrame | None,

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from versewise.functions import labels as L
 from versewise.functions import text as X
-from versewise.schema import (DEFAULT_MARKET_GENRE, GENRE_ESTIMATES, MARKET_GENRES, MAX_TAGS,
-                              TAG_ANCHORS)
+from versewise.schema import DEFAULT_MARKET_GENRE, GENRE_ESTIMATES, MARKET_GENRES, TAG_ANCHORS
 
 
 def _pair_map(rows) -> Column:
@@ -54,9 +53,10 @@ def market_mood(market: Column) -> Column:
     return genre_mood(market_genre(F.coalesce(market, F.lit(""))))
 
 
-def first_tags(tags: Column, k: int = MAX_TAGS) -> Column:
-    """S12 helper: first k non-empty tag names."""
-    return F.slice(F.filter(tags, lambda t: t.isNotNull() & (t != "")), 1, k)
+def first_tags(tags: Column, k: int | None = None) -> Column:
+    """S12 helper: non-empty tag names, the first k if given."""
+    named = F.filter(tags, lambda t: t.isNotNull() & (t != ""))
+    return named if k is None else F.slice(named, 1, k)
 
 
 def label_cascade(df: DataFrame, tags: str = "lastfm_tags", genre_hint: str = "genre_hint",
@@ -64,24 +64,22 @@ def label_cascade(df: DataFrame, tags: str = "lastfm_tags", genre_hint: str = "g
     """Own labels (both present) -> tags -> genre hint -> market, with
     ``label_source`` spotify / lastfm / genre_estimate / market_estimate and
     the vibe of the chosen pair. Tags that match nothing fall through."""
-    own = F.col("valence").isNotNull() & F.col("energy").isNotNull()
-    tag = tag_mood(F.coalesce(F.col(tags), F.array().cast("array<string>")))
+    own = L.has_number("valence") & L.has_number("energy")
     hint = F.col(genre_hint)
-    gen = F.when(hint.isNotNull() & (hint != ""), genre_mood(hint))
-    mkt = market_mood(F.col(market))
-    chosen = (F.when(own, F.struct(F.col("valence").cast("double").alias("valence"),
-                                   F.col("energy").cast("double").alias("energy"),
-                                   F.lit("spotify").alias("label_source")))
-               .when(tag.isNotNull(), F.struct(tag["valence"].alias("valence"), tag["energy"].alias("energy"),
-                                               F.lit("lastfm").alias("label_source")))
-               .when(gen.isNotNull(), F.struct(gen["valence"].alias("valence"), gen["energy"].alias("energy"),
-                                               F.lit("genre_estimate").alias("label_source")))
-               .otherwise(F.struct(mkt["valence"].alias("valence"), mkt["energy"].alias("energy"),
-                                   F.lit("market_estimate").alias("label_source"))))
-    out = df.withColumn("_lab", chosen)
+    # each lookup is a column of its own, so its array functions run once a row
+    d = df.withColumns({"_tag": tag_mood(F.coalesce(F.col(tags), F.array().cast("array<string>"))),
+                        "_gen": F.when(hint.isNotNull() & (hint != ""), genre_mood(hint)),
+                        "_mkt": market_mood(F.col(market))})
+
+    def pair(of: str, source: str) -> Column:
+        return F.struct(F.col(f"{of}valence").cast("double").alias("valence"), F.col(f"{of}energy").cast("double").alias("energy"),
+                        F.lit(source).alias("label_source"))
+    chosen = (F.when(own, pair("", "spotify")).when(F.col("_tag").isNotNull(), pair("_tag.", "lastfm"))
+              .when(F.col("_gen").isNotNull(), pair("_gen.", "genre_estimate")).otherwise(pair("_mkt.", "market_estimate")))
+    out = d.withColumn("_lab", chosen)
     return out.withColumns({
         "valence": F.col("_lab.valence"),
         "energy": F.col("_lab.energy"),
         "label_source": F.col("_lab.label_source"),
         "vibe": L.nearest_anchor("_lab.valence", "_lab.energy"),
-    }).drop("_lab")
+    }).drop("_lab", "_tag", "_gen", "_mkt")

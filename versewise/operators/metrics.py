@@ -88,13 +88,15 @@ def class_report(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 def confusion(df: DataFrame, truth: str, pred: str, labels=VIBES) -> DataFrame:
     """rows = actual, columns = predicted, over the taxonomy (pivot values
-    given, so no extra pass to find them); ``actual_pos`` is the taxonomy
-    order (O4)."""
+    given, so no extra pass to find them), then ``other``: predictions outside
+    it, so that each row's cells sum to its rows. ``actual_pos`` is the
+    taxonomy order (O4), unknown classes last."""
     pc = pair_counts(df, truth, pred)
-    wide = pc.groupBy("actual").pivot("predicted", list(labels)).agg(F.sum("n"))
-    wide = wide.fillna(0, list(labels))
+    named = F.when(F.col("predicted").isin(*labels), F.col("predicted")).otherwise(F.lit("other"))
+    wide = pc.withColumn("predicted", named).groupBy("actual").pivot("predicted", [*labels, "other"]).agg(F.sum("n"))
+    wide = wide.fillna(0, [*labels, "other"])
     return wide.withColumn("actual_pos", L.vibe_index("actual")).select(
-        "actual", "actual_pos", *[F.col(c).cast("long").alias(c) for c in labels])
+        "actual", "actual_pos", *[F.col(c).cast("long").alias(c) for c in [*labels, "other"]])
 
 
 def mood_histogram(df: DataFrame, v: str, e: str, bins: int = 10) -> DataFrame:
@@ -103,3 +105,10 @@ def mood_histogram(df: DataFrame, v: str, e: str, bins: int = 10) -> DataFrame:
     bv = F.least(F.floor(F.col(v) * bins), F.lit(bins - 1)).cast("int")
     be = F.least(F.floor(F.col(e) * bins), F.lit(bins - 1)).cast("int")
     return df.groupBy(bv.alias("v_bin"), be.alias("e_bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def actual_vs_predicted(df: DataFrame, truth: str, pred: str, group: list[str], bins: int = 10) -> DataFrame:
+    """A10: actual-against-predicted points counted on a bins x bins grid."""
+    def cell(c):
+        return F.greatest(F.least(F.floor(F.col(c) * bins), F.lit(bins - 1)), F.lit(0)).cast("int")
+    return df.groupBy(*group, cell(truth).alias("actual_bin"), cell(pred).alias("predicted_bin")).agg(F.count(F.lit(1)).alias("n"))

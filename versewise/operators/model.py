@@ -21,13 +21,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versewise.functions import labels as L
-from versewise.schema import MIN_LABELS_TO_TRAIN, MODEL_DEFAULTS, SMALL_MODEL_CAPS, SMALL_TRAIN_ROWS
+from versewise.schema import MIN_LABELS_TO_TRAIN, MODEL_DEFAULTS, SMALL_MODEL_CAPS
 
 
-def model_config(n_train: int, base: dict | None = None) -> dict:
-    """M3: simpler trees for small training sets (<= 150 rows)."""
+PROFILES = ("default", "small")
+
+
+def model_config(base: dict | None = None, profile: str = "default") -> dict:
+    """M3: the settings of a named profile. ``small`` (meant for training sets
+    of up to ``SMALL_TRAIN_ROWS`` rows) caps trees and depth; the caller
+    chooses, row counts never do."""
+    if profile not in PROFILES:
+        raise ValueError(f"unknown model profile {profile!r}; one of {PROFILES}")
     cfg = dict(MODEL_DEFAULTS if base is None else base)
-    if n_train <= SMALL_TRAIN_ROWS:
+    if profile == "small":
         cfg["n_estimators"] = min(cfg["n_estimators"], SMALL_MODEL_CAPS["n_estimators"])
         cfg["max_depth"] = min(cfg["max_depth"], SMALL_MODEL_CAPS["max_depth"])
         cfg["learning_rate"] = max(cfg["learning_rate"], SMALL_MODEL_CAPS["learning_rate"])
@@ -48,17 +55,23 @@ def make_regressor(features: list[str], label: str, cfg: dict, prefix: str) -> P
     return Pipeline(stages=[*_front(features, prefix), gbt])
 
 
-def make_classifier(features: list[str], label: str, cfg: dict, prefix: str, classes: list[str]) -> Pipeline:
-    """M2: label indexing, scaling, one-vs-rest boosted trees, index -> label."""
-    idx = StringIndexer(inputCol=label, outputCol=f"{prefix}_y", stringOrderType="alphabetAsc",
-                        handleInvalid="skip")
+def fit_classifier(train: DataFrame, features: list[str], label: str, cfg: dict, prefix: str) -> PipelineModel:
+    """M2: scaling, one-vs-rest boosted trees, index -> label. The label index
+    is fitted apart and only its labels go into the model, so that scoring
+    needs no label column and keeps every row."""
+    index = StringIndexer(inputCol=label, outputCol=f"{prefix}_y", stringOrderType="alphabetAsc").fit(train)
     gbt = GBTClassifier(maxIter=cfg["n_estimators"], maxDepth=cfg["max_depth"], stepSize=cfg["learning_rate"],
                         seed=cfg["random_state"])
     # the default raw-score column is kept: renaming it fails in OneVsRest
     ovr = OneVsRest(classifier=gbt, featuresCol=f"{prefix}_x", labelCol=f"{prefix}_y",
                     predictionCol=f"{prefix}_pred", parallelism=cfg.get("parallelism", 4))
-    back = IndexToString(inputCol=f"{prefix}_pred", outputCol=f"pred_{label}", labels=sorted(classes))
-    return Pipeline(stages=[idx, *_front(features, prefix), ovr, back])
+    back = IndexToString(inputCol=f"{prefix}_pred", outputCol=f"pred_{label}", labels=index.labels)
+    return Pipeline(stages=[*_front(features, prefix), ovr, back]).fit(index.transform(train))
+
+
+def class_names(model: PipelineModel) -> list[str]:
+    """Class names of a fitted vibe model in the order of its scores."""
+    return list(model.stages[-1].getLabels())
 
 
 def label_counts(df: DataFrame, targets: list[str]) -> dict[str, int]:
@@ -68,54 +81,59 @@ def label_counts(df: DataFrame, targets: list[str]) -> dict[str, int]:
 
 
 def train_models(train: DataFrame, feature_cols: dict[str, list[str]], cfg: dict | None = None,
-                 classes: list[str] | None = None) -> dict[str, PipelineModel]:
+                 profile: str = "default") -> dict[str, PipelineModel]:
     """M4: fit a regressor per numeric target and the vibe classifier, each
-    only with >= 10 labels, each on its own non-null rows (T22). When vibes
-    are scarce but both regressions have labels, vibe is derived by J8."""
-    targets = list(feature_cols)
+    only with >= 10 labels, each on its own labelled rows (T22). When vibes
+    are scarce, or the column is absent, but both regressions have labels,
+    vibe is derived by J8."""
+    numeric = [t for t in feature_cols if t != "vibe" and t in train.columns]
+    if "vibe" in feature_cols and "vibe" not in train.columns:
+        train = train.withColumn("vibe", F.lit(None).cast("string"))
     # every tree level is a pass over the input: keep it (memory, spilling
     # to disk; a lost block is recomputed from its lineage)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    counts = label_counts(train, targets)
-    n = train.count()
-    cfg = model_config(n, cfg)
+    train = train.withColumns({t: F.when(L.has_number(t), F.col(t)) for t in numeric}).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = label_counts(train, [t for t in feature_cols if t in train.columns])
+    cfg = model_config(cfg, profile)
     models: dict[str, PipelineModel] = {}
-    for t in targets:
-        if t == "vibe":
-            continue
+    for t in numeric:
         if counts[t] >= MIN_LABELS_TO_TRAIN:
             models[t] = make_regressor(feature_cols[t], t, cfg, t).fit(train.filter(F.col(t).isNotNull()))
     if "vibe" in feature_cols:
-        tr = train
-        if counts.get("vibe", 0) < MIN_LABELS_TO_TRAIN and "valence" in models and "energy" in models:
+        tr, labelled = train, counts["vibe"]
+        if labelled < MIN_LABELS_TO_TRAIN and "valence" in models and "energy" in models:
             tr = train.withColumn("vibe", L.nearest_anchor("valence", "energy"))
-        tr = tr.filter(F.col("vibe").isNotNull())
-        if classes is None:
-            classes = [r[0] for r in tr.select("vibe").distinct().collect()]  # bounded: the taxonomy
-        if tr.count() >= MIN_LABELS_TO_TRAIN:
-            models["vibe"] = make_classifier(feature_cols["vibe"], "vibe", cfg, "vibe", classes).fit(tr)
+            labelled = tr.filter(F.col("vibe").isNotNull()).count()
+        if labelled >= MIN_LABELS_TO_TRAIN:
+            models["vibe"] = fit_classifier(tr.filter(F.col("vibe").isNotNull()), feature_cols["vibe"], "vibe", cfg, "vibe")
     train.unpersist()
     return models
 
 
 def softmax_scores(raw: Column, classes: list[str]) -> Column:
-    """Class scores as a map: softmax of the one-vs-rest margins."""
+    """Class scores as a map: softmax of the one-vs-rest margins, whose order
+    is that of ``classes`` (see ``class_names``)."""
     arr = vector_to_array(raw)
     mx = F.array_max(arr)
     ex = F.transform(arr, lambda x: F.exp(x - mx))
     tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    return F.map_from_arrays(F.array(*[F.lit(c) for c in sorted(classes)]), F.transform(ex, lambda x: x / tot))
+    return F.map_from_arrays(F.array(*[F.lit(c) for c in classes]), F.transform(ex, lambda x: x / tot))
+
 
+NUMERIC_TARGETS = ("valence", "energy", "tempo")
 
-def score(df: DataFrame, models: dict[str, PipelineModel], classes: list[str] | None = None,
-          feature_cols: dict[str, list[str]] | None = None) -> DataFrame:
+
+def score(df: DataFrame, models: dict[str, PipelineModel], feature_cols: dict[str, list[str]] | None = None,
+          catalog_used: bool = False, audio_used: bool = False) -> DataFrame:
     """M5: batch scoring with fallbacks (X18 rule scores, J8 vibe), labels
-    (X13), clipping and rounding (X14) and sorted class scores (O3)."""
+    (X13), clipping and rounding (X14), sorted class scores (O3) and the flags
+    of what the features came from. Every input row is scored, labelled or
+    not; a tempo model adds ``score_tempo`` and ``raw_tempo``."""
     out = df
-    for t in ("valence", "energy"):
+    for t in NUMERIC_TARGETS:
         if t in models:
             out = models[t].transform(out)
             out = out.drop(*[c for c in out.columns if c.startswith(f"{t}_") and c.endswith(("_raw", "_x"))])
+
     def num(c):
         return F.coalesce(F.col(c), F.lit(0.0)) if c in out.columns else F.lit(0.0)
 
@@ -124,21 +142,22 @@ def score(df: DataFrame, models: dict[str, PipelineModel], classes: list[str] |
     out = out.withColumns({"_v": v, "_e": e})
     if "vibe" in models:
         out = models["vibe"].transform(out).withColumnRenamed("rawPrediction", "vibe_raw_scores")
-        scores = softmax_scores(F.col("vibe_raw_scores"), classes or [])
+        scores = softmax_scores(F.col("vibe_raw_scores"), class_names(models["vibe"]))
         out = out.withColumns({"vibe_out": F.col("pred_vibe"), "vibe_scores": L.sorted_scores(scores)})
     else:
         nv = L.nearest_anchor("_v", "_e")
         out = out.withColumns({"vibe_out": nv,
                                "vibe_scores": F.array(F.struct(nv.alias("key"), F.lit(1.0).alias("value")))})
-    used = len(set().union(*feature_cols.values())) if feature_cols else 0
+    used = len(set().union(*(c for t, c in feature_cols.items() if t != "tempo"))) if feature_cols else 0
     res = out.withColumns({
         "score_valence": F.round("_v", 3), "score_energy": F.round("_e", 3),
         "raw_valence": F.col("_v"), "raw_energy": F.col("_e"),
         "valence_label": L.valence_bucket("_v"), "energy_label": L.energy_bucket("_e"),
-        "features_used": F.lit(used),
+        "features_used": F.lit(used), "spotify_features_used": F.lit(catalog_used), "audio_analyzed": F.lit(audio_used),
     })
-    drop = [c for c in res.columns if c.startswith(("vibe_", "valence_raw", "valence_x", "energy_raw", "energy_x"))
-            and c not in ("vibe_out", "vibe_scores")] + ["_v", "_e"]
+    if "tempo" in models:
+        res = res.withColumns({"score_tempo": F.round("pred_tempo", 3), "raw_tempo": F.col("pred_tempo")})
+    drop = [c for c in res.columns if c in ("vibe_raw", "vibe_x", "vibe_pred", "vibe_raw_scores")] + ["_v", "_e"]
     return res.drop(*drop)
 
 
@@ -152,7 +171,7 @@ def save_models(models: dict[str, PipelineModel], path: str, meta: dict) -> None
         .text(f"{path}/metadata")
 
 
-def load_models(path: str, targets=("valence", "energy", "vibe")) -> tuple[dict[str, PipelineModel], dict]:
+def load_models(path: str, targets=(*NUMERIC_TARGETS, "vibe")) -> tuple[dict[str, PipelineModel], dict]:
     """A missing model comes back absent, so scoring falls back to rules."""
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()

@@ -70,66 +70,68 @@ def class_counts(df: DataFrame, label_col: str) -> DataFrame:
     return df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _quotas(counts: dict, test_n: int) -> dict:
-    """Largest-remainder test quota per class (ties by class name)."""
-    total = sum(counts.values())
-    base = {c: (n * test_n) // total for c, n in counts.items()}
-    rem = {c: (n * test_n) % total for c, n in counts.items()}
-    extra = test_n - sum(base.values())
-    order = sorted(counts, key=lambda c: (-rem[c], "" if c is None else str(c)))
-    for c in order[:extra]:
-        base[c] += 1
-    return base
+#: Broadcasts of one row a class are made up to so many classes; beyond, the
+#: cuts are joined like any table.
+MAX_BROADCAST_CLASSES = 10_000
+
+
+def class_quotas(counts: DataFrame, test_n) -> DataFrame:
+    """Largest-remainder test quota ``_q`` of each class (``_s``, ``n``): the
+    floor of its share, and one more for the largest remainders (ties by class
+    name, NULL first) until ``test_n`` rows are given out. One row a class."""
+    every = Window.partitionBy()
+    whole = F.col("n") * test_n
+    d = counts.withColumn("_total", F.sum("n").over(every))
+    d = d.withColumns({"_base": F.floor(whole / F.col("_total")), "_rem": whole % F.col("_total")})
+    extra = F.lit(test_n) - F.sum("_base").over(every)
+    rank = F.row_number().over(Window.orderBy(F.col("_rem").desc(), F.coalesce("_s", F.lit("")), F.col("_s").isNotNull()))
+    return d.select("_s", (F.col("_base") + F.when(rank <= extra, 1).otherwise(0)).alias("_q"))
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, test_n: int | None = None,
                      test_pct: int | None = None, seed: int = 42, buckets_hex: int = 5) -> DataFrame:
     """Exact-size split with a ``split`` column (train / test).
 
-    Stratified by ``label_col`` when every class has >= 2 rows and the test
-    part can hold one row per class; else one stratum. Each class puts its
-    ``quota`` rows with the smallest md5(id|seed) into the test part.
+    Stratified by ``label_col`` (NULL is a class of its own) when every class
+    has >= 2 rows and the test part can hold one row per class; else one
+    stratum. Each class puts its ``quota`` rows with the smallest md5(id|seed)
+    into the test part.
 
-    The rank inside a class is found without a window over the class: rows
-    are counted per (class, hash bucket) -- 16^buckets_hex buckets, a bounded
-    table -- the cumulative counts locate the bucket holding the cut, and only
-    rows of that one bucket are ranked exactly. Counting and ranking read
-    (id, class) only; the wide rows are read once and joined with the small
-    cut table and the boundary winners (ids must be unique).
+    Rows are counted per (class, hash bucket) -- 16^buckets_hex buckets, a
+    bounded table -- the cumulative counts locate the bucket holding a class's
+    cut, and only rows of that one bucket are ranked. That gives one cut, (hash,
+    id), per class; every row is then told apart by comparison with its class's
+    cut, so wide rows are read once and never shuffled (ids must be unique).
     """
-    counts_rows = class_counts(df, label_col).collect()  # one row per class
-    counts = {r[label_col]: r["n"] for r in counts_rows}
-    total = sum(counts.values())
+    key = F.col(label_col).cast("string")
+    h = seeded_hash(id_col, seed)
+    bucket = F.conv(F.substring("_h", 1, buckets_hex), 16, 10).cast("long")
+    narrow = df.select(key.alias("_s"), F.col(id_col).alias("_id"), h.alias("_h")).withColumn("_b", bucket)
+    hist = narrow.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = hist.groupBy("_s").agg(F.sum("_c").alias("n"))
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
+    total, classes = size["total"], size["classes"]
     if test_n is None:
         test_n = (total * test_pct + 99) // 100
     if test_n < 0 or test_n > total:
         raise ValueError(f"test size {test_n} does not fit {total} rows")
-    stratify = bool(counts) and min(counts.values()) >= 2 and test_n >= len(counts)
-    strat = F.col(label_col) if stratify else F.lit("_all")
-    quotas = _quotas(counts, test_n) if stratify else {"_all": test_n}
-
-    qdf = df.sparkSession.createDataFrame(
-        [(k, int(v)) for k, v in quotas.items()], f"_s string, _q long")
-    h = seeded_hash(id_col, seed)
-    keyed = df.withColumns({"_s": strat.cast("string"), "_h": h,
-                            "_b": F.conv(F.substring(h, 1, buckets_hex), 16, 10).cast("long")})
-    narrow = keyed.select(id_col, "_s", "_b", "_h")   # the ranking never reads the wide columns
-    hist = narrow.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    wcum = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = (hist.withColumn("_cum", F.sum("_c").over(wcum))
-               .join(F.broadcast(qdf), "_s")  # one row per class
-               .withColumn("_before", F.col("_cum") - F.col("_c"))
-               .withColumn("_take", F.greatest(F.least(F.col("_q") - F.col("_before"), F.col("_c")), F.lit(0)))
-               .select("_s", "_b", "_c", "_take"))
-    # at most one bucket per class is cut inside: rank only its rows
-    boundary = cut.filter((F.col("_take") > 0) & (F.col("_take") < F.col("_c")))
-    wb = Window.partitionBy("_s", "_b").orderBy("_h", id_col)
-    winners = (narrow.join(F.broadcast(boundary), ["_s", "_b"])   # <= one row per class
-                     .withColumn("_rk", F.row_number().over(wb))
-                     .filter(F.col("_rk") <= F.col("_take"))
-                     .select(id_col, F.lit(True).alias("_won")))
-    out = keyed.join(cut, ["_s", "_b"]).join(winners, id_col, "left")
-    test = (F.col("_take") == F.col("_c")) | ((F.col("_take") > 0) & F.coalesce(F.col("_won"), F.lit(False)))
-    return (out.withColumn("split", F.when(test, "test").otherwise("train"))
-               .drop("_s", "_h", "_b", "_c", "_take", "_won"))
-
+    if not (classes and size["least"] >= 2 and test_n >= classes):
+        key, classes = F.lit("_all"), 1
+        narrow = narrow.withColumn("_s", key)
+        hist = hist.groupBy(key.alias("_s"), "_b").agg(F.sum("_c").alias("_c"))
+        counts = hist.groupBy("_s").agg(F.sum("_c").alias("n"))
+    quotas = class_quotas(counts, test_n)
+    small = F.broadcast if classes <= MAX_BROADCAST_CLASSES else (lambda d: d)
+
+    run = Window.partitionBy("_s").orderBy("_b")
+    edge = (hist.withColumn("_upto", F.sum("_c").over(run)).alias("h")
+            .join(small(quotas).alias("q"), F.col("h._s").eqNullSafe(F.col("q._s")))
+            .where((F.col("_q") > 0) & (F.col("_upto") >= F.col("_q")) & (F.col("_upto") - F.col("_c") < F.col("_q")))
+            .select(F.col("h._s").alias("_es"), F.col("_b").alias("_eb"), (F.col("_q") - F.col("_upto") + F.col("_c")).alias("_take")))
+    # one bucket per class is cut inside: only its rows are ranked
+    inside = narrow.join(small(edge), F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_b") == F.col("_eb")))
+    ranked = inside.withColumn("_rk", F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "_id")))
+    cut = ranked.where("_rk = _take").select(F.col("_s").alias("_cs"), F.struct("_h", "_id").alias("_cut"))
+    out = df.withColumn("_s", key).join(small(cut), F.col("_s").eqNullSafe(F.col("_cs")), "left")
+    test = F.struct(h.alias("_h"), F.col(id_col).alias("_id")) <= F.col("_cut")
+    return out.withColumn("split", F.when(test, "test").otherwise("train")).select(*df.columns, "split")

@@ -10,9 +10,10 @@ that dies half way leaves the last good version readable.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from versewise.functions import labels as L
 from versewise.functions import text as X
 from versewise.operators import dedupe as D
 from versewise.operators import features as FT
@@ -31,6 +32,12 @@ def _read(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return SG.read_song_csv(spark, path) if fmt == "csv" else spark.read.format(fmt).load(path)
 
 
+def _file_order() -> Column:
+    """Order of the rows of files as they were written, whatever splits the
+    scan is cut into: file, start of the split, row within it."""
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+
+
 def _next_version(spark: SparkSession, table_dir: str) -> str:
     vs = _versions(spark, table_dir)
     return f"{table_dir}/epoch={(vs[-1] + 1) if vs else 0}"
@@ -46,7 +53,7 @@ def merge_catalog_job(spark: SparkSession, songs_path: str, catalog_path: str, o
     """Songs + catalog (first row per normalised key) -> left join ->
     labels -> optional F4 filter -> table + summary (A2)."""
     songs = _read(spark, songs_path, fmt)
-    catalog = _read(spark, catalog_path, fmt).withColumn("_pos", F.monotonically_increasing_id())
+    catalog = _read(spark, catalog_path, fmt).withColumn("_pos", _file_order())
     prep = J.prepare_catalog(catalog, "_pos")
     merged = J.merge_with_catalog(songs, prep)
     keep = J.merge_keep_predicate()
@@ -129,7 +136,7 @@ def track_list_lookup_job(spark: SparkSession, tracks_path: str, table_dir: str,
     """P5: outcome per listed track (J3) against the latest table version;
     processed rows take the looked-up info (J4) in the next version."""
     tracks = SG.read_track_list(spark, tracks_path)
-    table = read_latest(spark, table_dir).withColumn("_pos", F.monotonically_increasing_id())
+    table = read_latest(spark, table_dir).withColumn("_pos", _file_order())
     keyed_info = info.select("artist_key", "title_key", F.col("info_spotify_id").alias("spotify_id"))
     outcomes = J.lookup_outcomes(tracks, table, "_pos", keyed_info)
     counts = outcomes.agg(F.count(F.lit(1)).alias("tracks_requested"),
@@ -149,12 +156,13 @@ def track_list_lookup_job(spark: SparkSession, tracks_path: str, table_dir: str,
 
 
 def discovery_job(spark: SparkSession, candidates: DataFrame, out_path: str, summary_path: str,
-                  count: int = 500, pool_size: int | None = None, max_per_artist: int = 2,
+                  count: int, pool_size: int, max_per_artist: int = 2,
                   require_lyrics: bool = True, seed: int = 0) -> dict:
     """Candidate table (spotify_id, title, artist, market, genre_hint,
-    lyrics, valence, energy, lastfm_tags) -> seeded pool (O1/O2) -> label
-    cascade (J11) -> acceptance with per-artist cap and stop (W3/W4) -> A11."""
-    pool_size = pool_size or max(count * 5, 2500)
+    lyrics, valence, energy, lastfm_tags) -> seeded pool of ``pool_size``
+    (O1/O2) -> label cascade (J11) -> acceptance of ``count`` with per-artist
+    cap and stop (W3/W4) -> A11. Both sizes are the sampling's own and the
+    caller's to name."""
     pool = SM.seeded_pool(candidates, "spotify_id", seed, pool_size)
     looked = LK.label_cascade(pool).withColumn("has_lyrics", X.has_usable_lyrics("lyrics"))
     ok = F.col("valence").isNotNull() & F.col("energy").isNotNull()
@@ -180,82 +188,135 @@ def backfill_job(spark: SparkSession, table_dir: str, lyrics_table: DataFrame, s
     return summary
 
 
+def _with_id(df: DataFrame) -> DataFrame:
+    """An ``id`` made of the row's content; repeated rows are numbered, so ids
+    are unique and the same however the files are read."""
+    content = F.sha2(F.to_json(F.struct(*[f"`{c}`" for c in sorted(df.columns)])), 256)
+    w = Window.partitionBy("_content").orderBy("_content")
+    return (df.withColumn("_content", content)
+            .withColumn("id", F.concat_ws("-", "_content", F.row_number().over(w))).drop("_content"))
+
+
+def _variants(test: DataFrame, models: dict, cols: dict, with_catalog: bool) -> DataFrame:
+    """Predictions of the test rows with all features and, where catalog
+    features were used, with those set to zero (F11)."""
+    full = MD.score(test, models, cols, catalog_used=with_catalog).withColumn("variant", F.lit("full"))
+    if not with_catalog:
+        return full
+    zeroed = MD.score(FT.zero_columns(test, SPOTIFY_FEATURES), models, cols).withColumn("variant", F.lit("lyrics_only"))
+    return full.unionByName(zeroed)
+
+
+def evaluation_tables(preds: DataFrame, targets: list[str]) -> dict[str, DataFrame]:
+    """A4-A7, A10 of predictions (``<target>``, ``pred_<target>``, vibe,
+    pred_vibe, variant): regression metrics, accuracy, class reports of both
+    variants, confusion, and chart data: actual against predicted on a grid
+    (bounded, however many rows) and the metrics as bars."""
+    stacked = preds.select("variant", F.inline(F.array(*[
+        F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y"), F.col(f"pred_{t}").alias("p")) for t in targets])))
+    stacked = stacked.filter(F.col("y").isNotNull() & F.col("p").isNotNull())
+    reg = M.regression_metrics(stacked, "y", "p", ["variant", "target"])
+    acc = M.accuracy(preds, "vibe", "pred_vibe", ["variant"])
+    full = preds.filter(F.col("variant") == "full")
+    bars = (reg.filter("target != 'tempo'").select("variant", F.concat("target", F.lit("_mae")).alias("metric"), F.col("mae").alias("value"))
+            .unionByName(acc.select("variant", F.lit("vibe_accuracy").alias("metric"), F.col("accuracy").alias("value"))))
+    out = {"regression": reg, "accuracy": acc, "class_report": M.class_report(full, "vibe", "pred_vibe"),
+           "confusion": M.confusion(full, "vibe", "pred_vibe"), "metric_bars": bars,
+           "actual_vs_predicted": M.actual_vs_predicted(stacked.filter("target != 'tempo'"), "y", "p", ["variant", "target"])}
+    other = preds.filter(F.col("variant") == "lyrics_only")
+    return out | {"class_report_lyrics_only": M.class_report(other, "vibe", "pred_vibe")}
+
+
 def train_evaluate_job(spark: SparkSession, data: DataFrame, model_dir: str, train_size: int | None = None,
                        test_size: int | None = None, include_spotify: bool = True, seed: int = 42,
-                       cfg: dict | None = None, lexicon: dict | None = None) -> dict:
+                       cfg: dict | None = None, lexicon=None, profile: str = "default",
+                       audio: DataFrame | None = None) -> dict:
     """M6/M7: labelled songs -> exact split (W6) -> feature table (X25) ->
     per-target models (M1-M4) -> predictions with and without the catalog
-    features (F11) -> metric tables (A4-A8) and saved models (S15)."""
+    features (F11) -> metric tables (A4-A8, A10), split and feature tables
+    (S14) and saved models (S15)."""
     checkpoint_dir(spark)
     df = SG.alias_columns(data)
     SG.require_columns(df, ["lyrics", "valence", "energy", "vibe", "artist", "title"])
     df = SG.drop_unlabelled(df, ("valence", "energy", "vibe"))
     if include_spotify and "tempo" not in df.columns:
-        raise ValueError("Dataset needs catalog columns (tempo, danceability, ...) for multimodal training")
+        raise ValueError("training with catalog features needs their columns, tempo among them")
     if "id" not in df.columns:
-        df = df.withColumn("id", F.monotonically_increasing_id())
+        df = _with_id(df)
     n = df.count()
     if train_size is None:
         train_size = min(100, n - 10)     # M7
     if test_size is None:
         test_size = n - train_size
     if train_size + test_size != n:
-        raise ValueError(f"train_size ({train_size}) + test_size ({test_size}) must equal dataset size ({n})")
+        raise ValueError(f"{train_size} training and {test_size} test rows don't add up to the {n} labelled ones")
     split = SM.stratified_split(df, "vibe", "id", test_n=test_size, seed=seed)
-    feats = FT.feature_table(split, "id", "lyrics", include_catalog=include_spotify, lexicon=lexicon,
-                             keep=["split"]).checkpoint()   # cut the lineage: reused by 4 fits and 2 scorings
+    SG.write_table(split, f"{model_dir}/split", partition_by=["split"])
+    split = spark.read.parquet(f"{model_dir}/split")
+    feats = FT.feature_table(split, "id", "lyrics", audio=audio, include_catalog=include_spotify, lexicon=lexicon, keep=["split"])
+    SG.write_table(feats, f"{model_dir}/features", partition_by=["split"])
+    feats = spark.read.parquet(f"{model_dir}/features")   # reused by the fits and scorings
     cols = {t: feature_cols_for_target(t, include_spotify) for t in ("valence", "energy", "tempo", "vibe")}
     if "tempo" not in feats.columns:
         cols.pop("tempo")
     train, test = feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "test")
-    models = MD.train_models(train, cols, cfg)
-    classes = sorted(r[0] for r in train.select("vibe").distinct().collect())   # bounded: the taxonomy
-    full = MD.score(test, models, classes, cols).withColumn("variant", F.lit("full"))
-    variants = full
-    if include_spotify:
-        zeroed = MD.score(FT.zero_columns(test, SPOTIFY_FEATURES), models, classes, cols) \
-            .withColumn("variant", F.lit("lyrics_only"))
-        variants = full.unionByName(zeroed)
-    preds = variants.select("id", "variant", "valence", "energy", "vibe",
-                            F.col("raw_valence").alias("pred_valence"), F.col("raw_energy").alias("pred_energy"),
+    models = MD.train_models(train, cols, cfg, profile)
+    variants = _variants(test, models, cols, include_spotify)
+    targets = ["valence", "energy", *(["tempo"] if "tempo" in models else [])]
+    preds = variants.select("id", "variant", "vibe", *targets, *[F.col(f"raw_{t}").alias(f"pred_{t}") for t in targets],
                             F.col("vibe_out").alias("pred_vibe"))
     SG.write_table(preds, f"{model_dir}/test_predictions")
-    stacked = preds.select("variant", F.inline(F.array(
-        F.struct(F.lit("valence").alias("target"), F.col("valence").alias("y"), F.col("pred_valence").alias("p")),
-        F.struct(F.lit("energy").alias("target"), F.col("energy").alias("y"), F.col("pred_energy").alias("p")))))
-    reg = M.regression_metrics(stacked, "y", "p", ["variant", "target"])
-    acc = M.accuracy(preds, "vibe", "pred_vibe", ["variant"])
-    report = M.class_report(preds.filter(F.col("variant") == "full"), "vibe", "pred_vibe")
-    conf = M.confusion(preds.filter(F.col("variant") == "full"), "vibe", "pred_vibe")
-    for name, t in (("regression", reg), ("accuracy", acc), ("class_report", report), ("confusion", conf)):
+    preds = spark.read.parquet(f"{model_dir}/test_predictions")
+    tables = evaluation_tables(preds, targets)
+    for name, t in tables.items():
         SG.write_table(t, f"{model_dir}/{name}")
-    MD.save_models(models, model_dir, {"feature_columns": cols, "classes": classes,
-                                      "include_spotify_features": include_spotify})
+    MD.save_models(models, model_dir, {"feature_columns": cols, "include_spotify_features": include_spotify,
+                                      "model_config_used": MD.model_config(cfg, profile)})
     out = {"train_songs": train_size, "test_songs": test_size}
-    for r in reg.collect():
+    for r in tables["regression"].collect():
         out[f"{r['target']}_mae_{r['variant']}"] = r["mae"]
         out[f"{r['target']}_r2_{r['variant']}"] = r["r2"]
-    for r in acc.collect():
+    for r in tables["accuracy"].collect():
         out[f"vibe_accuracy_{r['variant']}"] = r["accuracy"]
     return out
 
 
-def train_job(spark: SparkSession, csv_path: str, model_dir: str, cfg: dict | None = None) -> dict:
+def train_job(spark: SparkSession, csv_path: str, model_dir: str, cfg: dict | None = None, lexicon=None,
+              profile: str = "default", test_pct: int = 20, seed: int = 42) -> dict:
     """M8: a labelled CSV -> feature table -> models for every target with
-    enough labels (M4) -> saved models."""
+    enough labels (M4), fitted on 80 % and reported on the held-out rest ->
+    saved models (S15)."""
     checkpoint_dir(spark)
     df = SG.read_song_csv(spark, csv_path)
     SG.require_columns(df, ["lyrics"])
     df = SG.alias_columns(df)
-    if "track_id" in df.columns:
-        df = df.withColumnRenamed("track_id", "id")
-    else:
-        df = df.withColumn("id", F.monotonically_increasing_id())
-    for c in ("valence", "energy"):
+    df = df.withColumnRenamed("track_id", "id") if "track_id" in df.columns else _with_id(df)
+    for c in ("valence", "energy", "tempo"):
         if c in df.columns:
             df = df.withColumn(c, F.expr(f"try_cast({c} AS DOUBLE)"))
-    feats = FT.feature_table(df, "id", "lyrics").checkpoint()
-    cols = {t: feature_cols_for_target(t) for t in ("valence", "energy", "vibe") if t in feats.columns}
-    models = MD.train_models(feats, cols, cfg)
-    MD.save_models(models, model_dir, {"feature_columns": cols})
-    return {"samples": feats.count(), "models": sorted(models)}
+    if "vibe" not in df.columns:
+        df = df.withColumn("vibe", F.lit(None).cast("string"))
+    split = SM.stratified_split(df, "vibe", "id", test_pct=test_pct, seed=seed)
+    feats = FT.feature_table(split, "id", "lyrics", lexicon=lexicon, keep=["split"])
+    SG.write_table(feats, f"{model_dir}/features", partition_by=["split"])
+    feats = spark.read.parquet(f"{model_dir}/features")
+    cols = {t: feature_cols_for_target(t) for t in ("valence", "energy", "vibe") if t == "vibe" or t in feats.columns}
+    models = MD.train_models(feats.filter("split = 'train'"), cols, cfg, profile)
+    MD.save_models(models, model_dir, {"feature_columns": cols, "model_config_used": MD.model_config(cfg, profile)})
+    test = feats.filter("split = 'test'")
+    out = {"samples": feats.count(), "models": sorted(models)}
+    scored = MD.score(test, models, cols)
+    for t in ("valence", "energy"):
+        if t in models:
+            got = M.regression_metrics(scored.filter(F.col(t).isNotNull()), t, f"raw_{t}").first()
+            out[f"{t}_mae"] = got["mae"]
+    if "vibe" in models:
+        # where vibes were inferred for training they are for the test rows too
+        truth = F.col("vibe")
+        if {"valence", "energy"} <= set(feats.columns):
+            truth = F.coalesce(truth, L.nearest_anchor("valence", "energy"))
+        judged = scored.withColumn("vibe", truth).filter(F.col("vibe").isNotNull())
+        out["vibe_accuracy"] = M.accuracy(judged, "vibe", "vibe_out").first()["accuracy"]
+        SG.write_table(M.class_report(judged, "vibe", "vibe_out"), f"{model_dir}/class_report")
+    SG.write_summary(spark, spark.createDataFrame([{k: str(v) for k, v in out.items()}]), f"{model_dir}/report")
+    return out

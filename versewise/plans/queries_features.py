@@ -28,9 +28,14 @@ def _lex_sql(x: str) -> str:
 
 def _sentiment_sql(toks: str) -> dict[str, str]:
     negs = S.in_list(FT.DEFAULT_NEGATORS)
-    vals = (f"list_transform({toks}, lambda x, i: CASE WHEN {_lex_sql('x')} <> 0 AND "
-            f"len(list_filter(list_slice({toks}, greatest(i - 3, 1), i - 1), lambda p: p IN {negs})) > 0 "
-            f"THEN {_lex_sql('x')} * {FT.NEGATION_SCALAR} ELSE {_lex_sql('x')} END)")
+    boost = {k: v for k, v in FT.DEFAULT_BOOSTERS.items() if k not in LEXICON}
+    case = "CASE {p} " + " ".join(f"WHEN {S.q(k)} THEN {v}::DOUBLE" for k, v in boost.items()) + " ELSE 0.0 END"
+    lifts = " + ".join(f"CASE WHEN i > {k} THEN {case.format(p=f'{toks}[(i - {k})::INTEGER]')} * {fade} ELSE 0.0 END"
+                       for k, fade in enumerate(FT.BOOST_FADE, 1))
+    raised = f"({_lex_sql('x')} + sign({_lex_sql('x')}) * ({lifts}))"
+    vals = (f"list_transform({toks}, lambda x, i: CASE WHEN {_lex_sql('x')} = 0 THEN 0.0 "
+            f"WHEN len(list_filter(list_slice({toks}, greatest(i - 3, 1), i - 1), lambda p: p IN {negs})) > 0 "
+            f"THEN {raised} * {FT.NEGATION_SCALAR} ELSE {raised} END)")
     s = f"coalesce(list_sum({vals}), 0.0)"
     pos = f"coalesce(list_sum(list_transform({vals}, lambda v: CASE WHEN v > 0 THEN v + 1 ELSE 0.0 END)), 0.0)"
     neg = f"coalesce(list_sum(list_transform({vals}, lambda v: CASE WHEN v < 0 THEN v - 1 ELSE 0.0 END)), 0.0)"
@@ -49,8 +54,8 @@ SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _sentiment_sql('toks').items
 FROM (SELECT doc_id, {S.tokens(S.clean(sql_marked()))} AS toks FROM documents)
 """)
 def sentiment(spark, sf):
-    """Lexicon valences with negation look-back, normalised compound and
-    pos/neg/neu shares, all inside each row's token array."""
+    """Lexicon valences with look-back for boosters and negators,
+    normalised compound and pos/neg/neu shares."""
     d = table(spark, sf, "documents").select("doc_id", X.tokens(X.clean_lyrics(marked_text())).alias("toks"))
     return FT.with_sentiment(d, "toks", LEXICON).select("doc_id", "vader_compound", "vader_pos", "vader_neg",
                                                         "vader_neu")
@@ -76,6 +81,32 @@ FROM (SELECT doc_id, list_transform(range(0, len(runs), {CHUNK_STRIDE}),
       FROM (SELECT doc_id, {runs} AS runs FROM documents))"""
 
 
+def _word_model():
+    """A stand-in for a model: joy = share of "e", fear = length up to 1."""
+    def scorer(texts):
+        return [{"joy": t.count("e") / len(t), "fear": min(len(t) / 1000, 1.0)} for t in texts]
+    return scorer
+
+
+@query("chunk_model", f"""
+WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS x FROM conversations),
+c AS (SELECT conv_id, turn, substr(coalesce(x, ''), 1 + 100 * unnest(range(0, greatest((length(coalesce(x, '')) + 99) // 100, 1))), 100) AS ch FROM t),
+s AS (SELECT conv_id, turn, trim(ch, ' ' || chr(9) || chr(10) || chr(13)) <> '' AS full_, ch FROM c)
+SELECT conv_id, turn, count(*) AS n_chunks,
+       round(avg(CASE WHEN full_ THEN (length(ch) - length(replace(ch, 'e', '')))::DOUBLE / length(ch) ELSE 0 END), 6) AS emo_joy,
+       round(avg(CASE WHEN full_ THEN least(length(ch) / 1000.0, 1.0)::DOUBLE ELSE 0 END), 6) AS emo_fear
+FROM s GROUP BY conv_id, turn
+""")
+def chunk_model(spark, sf):
+    """X7 with a model scorer on 100-character chunks; some texts are NULL."""
+    d = table(spark, sf, "conversations").select(
+        F.struct("conv_id", "turn").alias("id"), F.when(F.col("turn") % 5 != 4, F.col("text")).alias("t"))
+    out = FT.chunk_model_scores(d.withColumn("id", F.to_json("id")), "t", "id", 100, _word_model)
+    key = F.from_json("id", "conv_id long, turn long")
+    return out.select(key["conv_id"].alias("conv_id"), key["turn"].alias("turn"), "n_chunks",
+                      r6(F.col("emo_joy")).alias("emo_joy"), r6(F.col("emo_fear")).alias("emo_fear"))
+
+
 @query("chunk_mean", _chunk_sql())
 def chunk_mean(spark, sf):
     """W5 + X7 (rule scorer) + A12: 64-word chunks of the whole text, label
@@ -155,8 +186,8 @@ def feature_table(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), marked_text().alias("lyrics"))
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("valence"),
                                             F.col("toxic").cast("double").alias("energy"))
-    songs = d.join(lab, "id", "left")
-    ft = FT.feature_table(songs, "id", "lyrics", lexicon=LEXICON)
+    # the text becomes narrow numbers before the join, so no text is shuffled
+    ft = FT.feature_table(d, "id", "lyrics", lexicon=LEXICON, labels=lab)
     feats = lyrics_feature_names() + audio_feature_names() + list(SPOTIFY_FEATURES)
     return ft.select("id", r6(F.col("valence")).alias("valence"), r6(F.col("energy")).alias("energy"),
                      *[r6(F.col(c)).alias(c) for c in feats])

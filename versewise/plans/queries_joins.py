@@ -360,8 +360,8 @@ OUT_COLS = ["title", "spotify_id", "preview_url", "album", "valence", "energy",
             "sources", "fetch_errors"]
 
 
-def _out(df):
-    return df.select("c_custkey", "title", "spotify_id", "preview_url", "album",
+def _out(df, *more):
+    return df.select(*more, "c_custkey", "title", "spotify_id", "preview_url", "album",
                      r6(F.col("valence")).alias("valence"), r6(F.col("energy")).alias("energy"),
                      r6(F.col("tempo")).alias("tempo"), "vibe", "sources", "fetch_errors")
 
@@ -402,7 +402,7 @@ def enrich_needed(spark, sf):
     rows = _song_rows(spark, sf)
     rows = rows.withColumn("enriched", J.needs_enrichment(rows).cast("int"))
     out = J.enrich_rows(rows, _info(spark, sf).drop("s_suppkey"))
-    return _out(out).join(out.select("c_custkey", "enriched"), "c_custkey")
+    return _out(out, "enriched")
 
 
 @query("backfill", f"""
@@ -512,22 +512,38 @@ def multi_lookup(spark, sf):
     return out.select("p_partkey", "sources", "fetch_errors")
 
 
+def _asked_title(col: str) -> str:
+    return f"CASE WHEN p_size % 5 = 0 THEN {col} || ' (Remastered)' WHEN p_size = 7 THEN '!?' ELSE {col} END"
+
+
 @query("best_match", f"""
-WITH q AS (SELECT p_partkey, {S.norm_key('p_name')} AS t,
+WITH q AS (SELECT p_partkey, nullif({S.norm_key(_asked_title('p_name'))}, '') AS t,
                   {S.norm_key("CASE WHEN p_size > 25 THEN p_brand ELSE 'Unknown' END")} AS a FROM part),
      cat AS (SELECT p_partkey AS id, {S.norm_key('p_name')} AS t, {S.norm_key('p_brand')} AS a FROM part),
      s1 AS (SELECT t, a, min(id) AS id FROM cat GROUP BY t, a),
-     s2 AS (SELECT t, min(id) AS id FROM cat GROUP BY t)
-SELECT q.p_partkey, coalesce(s1.id, s2.id) AS match_id,
-       CASE WHEN s1.id IS NOT NULL THEN 1 WHEN s2.id IS NOT NULL THEN 2 END AS match_stage
-FROM q LEFT JOIN s1 ON s1.t = q.t AND s1.a = q.a LEFT JOIN s2 ON s2.t = q.t
+     s2 AS (SELECT t, min(id) AS id FROM cat GROUP BY t),
+     m AS (SELECT q.*, s1.id AS m1, s2.id AS m2 FROM q LEFT JOIN s1 ON s1.t = q.t AND s1.a = q.a LEFT JOIN s2 ON s2.t = q.t),
+     w AS (SELECT DISTINCT id, a, t, unnest(string_split(t, ' ')) AS tok FROM cat),
+     n AS (SELECT a, tok, count(*) AS n FROM w GROUP BY a, tok),
+     left_over AS (SELECT DISTINCT p_partkey, a, t, unnest(string_split(t, ' ')) AS tok FROM m
+                   WHERE m1 IS NULL AND m2 IS NULL AND a <> '' AND t IS NOT NULL),
+     r AS (SELECT p_partkey, a, t, tok FROM left_over JOIN n USING (a, tok)
+           QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n, tok) = 1),
+     s3 AS (SELECT r.p_partkey, w.id FROM r JOIN w ON w.a = r.a AND w.tok = r.tok
+            QUALIFY row_number() OVER (PARTITION BY r.p_partkey ORDER BY
+              len(list_intersect(string_split(r.t, ' '), string_split(w.t, ' '))) DESC, w.id) = 1)
+SELECT m.p_partkey, coalesce(m1, m2, s3.id) AS match_id,
+       CASE WHEN m1 IS NOT NULL THEN 1 WHEN m2 IS NOT NULL THEN 2 WHEN s3.id IS NOT NULL THEN 3 END AS match_stage
+FROM m LEFT JOIN s3 ON s3.p_partkey = m.p_partkey
 """)
 def best_match(spark, sf):
-    """requests = part names with the brand (large sizes) or "Unknown"
-    as artist; catalog = part. Stage 1 exact name+artist, stage 2 name only."""
+    """requests = part names, some "(Remastered)" or without a letter, with
+    the brand (large sizes) or "Unknown" as artist; catalog = part. Stage 1
+    exact name+artist, stage 2 name only, stage 3 tokens in common."""
     p = table(spark, sf, "part")
-    qs = p.select("p_partkey", F.col("p_name").alias("title"),
+    qs = p.select("p_partkey", F.expr(_asked_title("p_name")).alias("title"),
                   F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(F.lit("Unknown")).alias("artist"))
     cat = p.select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"),
                    F.col("p_brand").alias("artist"))
-    return J.best_match(qs, cat).select("p_partkey", "match_id", F.col("match_stage").cast("int").alias("match_stage"))
+    found = J.best_match(qs, cat, query_id="p_partkey")
+    return found.select("p_partkey", "match_id", F.col("match_stage").cast("int").alias("match_stage"))

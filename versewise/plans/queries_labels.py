@@ -11,7 +11,7 @@ from versewise.operators import metrics as M
 from versewise.operators import sampling as SM
 from versewise.plans import sqltext as S
 from versewise.plans.queries import query, r6
-from versewise.schema import GENRE_ESTIMATES, MARKET_GENRES, TAG_ANCHORS, VIBES
+from versewise.schema import GENRE_ESTIMATES, MARKET_GENRES, MAX_TAGS, TAG_ANCHORS, VIBES
 from versewise.sources import payloads as P
 from versewise.sources.tables import mood_points, table
 
@@ -187,7 +187,7 @@ def json_flatten(spark, sf):
     """S11 + S12: each event rendered as a track payload and a tag payload
     (tags an array for even k, a single object for odd k), parsed back."""
     p = _payloads(spark, sf)
-    t = P.flatten_tags(P.flatten_track(p, "track_json"), "tag_json")
+    t = P.flatten_tags(P.flatten_track(p, "track_json"), "tag_json", k=MAX_TAGS)
     return t.select("event_id", "spotify_id", "title", "artist", "album", "preview_url",
                     r6(F.col("valence")).alias("valence"), F.array_join("lastfm_tags", "|").alias("tags"),
                     F.col("lastfm_album").alias("tag_album"))
@@ -309,6 +309,24 @@ def stratified_split(spark, sf):
     return SM.stratified_split(d, "lang", "doc_id", test_pct=TEST_PCT, seed=SEED)
 
 
+@query("split_null_labels", f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END AS lang FROM documents),
+c AS (SELECT lang, count(*) AS n FROM d GROUP BY lang),
+t AS (SELECT sum(n) AS total, (sum(n) * {TEST_PCT} + 99) // 100 AS test_n FROM c),
+q AS (SELECT c.lang, (c.n * t.test_n) // t.total AS base, (c.n * t.test_n) % t.total AS rem,
+             t.test_n - sum((c.n * t.test_n) // t.total) OVER () AS extra FROM c, t),
+qq AS (SELECT lang, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, lang NULLS FIRST) <= extra THEN 1 ELSE 0 END AS quota FROM q)
+SELECT d.doc_id, d.lang,
+       CASE WHEN row_number() OVER (PARTITION BY d.lang ORDER BY md5(CAST(d.doc_id AS VARCHAR) || '|{SEED}'), d.doc_id)
+                 <= qq.quota THEN 'test' ELSE 'train' END AS split
+FROM d JOIN qq ON d.lang IS NOT DISTINCT FROM qq.lang
+""")
+def split_null_labels(spark, sf):
+    """Rows without a label are a class of their own and all stay."""
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("lang"))
+    return SM.stratified_split(d, "lang", "doc_id", test_pct=TEST_PCT, seed=SEED)
+
+
 # --------------------------------------------------------------------------
 # Evaluation tables on lineitem truth / prediction pairs
 # --------------------------------------------------------------------------
@@ -385,7 +403,8 @@ VIBE_POS_SQL = "CASE vibe " + " ".join(f"WHEN {S.q(v)} THEN {i}" for i, v in enu
 @query("confusion", f"""
 WITH p AS ({PAIRS_SQL})
 SELECT vibe AS actual, {VIBE_POS_SQL} AS actual_pos,
-       {', '.join(f"count(*) FILTER (WHERE pred_vibe = {S.q(v)}) AS {v}" for v in VIBES)}
+       {', '.join(f"count(*) FILTER (WHERE pred_vibe = {S.q(v)}) AS {v}" for v in VIBES)},
+       count(*) FILTER (WHERE pred_vibe NOT IN ({', '.join(map(S.q, VIBES))})) AS other
 FROM p GROUP BY vibe
 """)
 def confusion(spark, sf):
@@ -393,6 +412,21 @@ def confusion(spark, sf):
     return M.confusion(_pairs(spark, sf), "vibe", "pred_vibe")
 
 
+@query("confusion_other_class", f"""
+WITH p AS ({PAIRS_SQL}),
+q AS (SELECT vibe, CASE pred_vibe WHEN 'dark' THEN 'weird' WHEN 'chill' THEN NULL ELSE pred_vibe END AS pred_vibe FROM p)
+SELECT vibe AS actual, {VIBE_POS_SQL} AS actual_pos,
+       {', '.join(f"count(*) FILTER (WHERE pred_vibe = {S.q(v)}) AS {v}" for v in VIBES)},
+       count(*) FILTER (WHERE pred_vibe IS NULL OR pred_vibe = 'weird') AS other
+FROM q GROUP BY vibe
+""")
+def confusion_other_class(spark, sf):
+    """Predictions outside the taxonomy, or none, stay in the table."""
+    p = _pairs(spark, sf)
+    odd = F.when(F.col("pred_vibe") == "dark", "weird").when(F.col("pred_vibe") != "chill", F.col("pred_vibe"))
+    return M.confusion(p.withColumn("pred_vibe", odd), "vibe", "pred_vibe")
+
+
 @query("ablation", f"""
 WITH b AS (SELECT l_discount * 10 AS valence, l_quantity / 50 AS energy,
                   l_tax / 0.08 AS a, l_discount * 10 AS c FROM lineitem),

@@ -315,13 +315,15 @@ def union_missing(spark, sf):
 
 
 @query("key_difference", """
-SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier
+SELECT DISTINCT c_custkey AS custkey FROM customer
+WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey IS NOT NULL)
 """)
 def key_difference(spark, sf):
-    """Multiset difference of wanted and present keys (exceptAll)."""
-    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("nation"))
-    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"))
-    return c.exceptAll(s)
+    """Wanted keys that aren't present: every row whose key exists on the
+    other side goes (left anti join on distinct keys)."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")).distinct()
+    o = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("custkey")).distinct()
+    return c.join(o, "custkey", "left_anti")
 
 
 @query("feature_union", f"""
@@ -397,15 +399,18 @@ def track_pairs(spark, sf):
 
 
 @query("track_map", """
-WITH e AS (SELECT c_custkey AS pos, c_mktsegment AS artist, unnest(string_split(c_name, '#')) AS title,
-                  unnest(range(0, len(string_split(c_name, '#')))) AS tpos FROM customer)
+WITH l AS (SELECT c_mktsegment || ' ' || c_nationkey AS artist, min(c_custkey) AS pos,
+                  arg_max(string_split(c_name, '#'), c_custkey) AS titles FROM customer GROUP BY 1),
+     e AS (SELECT pos, artist, unnest(titles) AS title, unnest(range(0, len(titles))) AS tpos FROM l)
 SELECT pos, tpos::INTEGER AS tpos, artist || ' - ' || title AS line FROM e
 QUALIFY row_number() OVER (PARTITION BY lower(artist) || '|' || lower(title) ORDER BY pos, tpos) = 1
 """)
 def track_map(spark, sf):
-    """Artist -> titles lists (segment -> parts of the name), first line
-    per lower-cased artist|title key."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_mktsegment").alias("artist"),
+    """Artist -> titles lists (segment and nation -> parts of the name);
+    of an artist's lists the last counts; first line per lower-cased
+    artist|title key."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"),
+                                            F.concat_ws(" ", "c_mktsegment", "c_nationkey").alias("artist"),
                                             F.split("c_name", "#").alias("titles"))
     return SG.track_map(c).select("pos", F.col("tpos").cast("int").alias("tpos"), "line")
 

@@ -10,6 +10,7 @@ from versewise.plans.queries import query, r6
 from versewise.sources.tables import table
 
 FRAME, HOP, SR = 16, 8, 22050
+FRAMING = SG.Framing(FRAME, HOP, SR)
 
 
 def _frames_sql(e: str) -> str:
@@ -35,9 +36,8 @@ FROM m
 def signal_frames(spark, sf):
     """X21 + A13: RMS mean/std and zero-crossing rate over frames."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    t = SG.time_features(e, "embedding", FRAME, HOP)
-    return t.select("vec_id", r6(F.col("rms_mean")).alias("rms_mean"), r6(F.col("rms_std")).alias("rms_std"),
-                    r6(F.col("zcr_mean")).alias("zcr_mean"))
+    t = SG.signal_features(e, "embedding", FRAMING, ("time",))
+    return t.select("vec_id", *[r6(F.col(c)).alias(c) for c in SG.TIME])
 
 
 _TWO_PI = "(2 * pi())"
@@ -70,19 +70,34 @@ SELECT e.vec_id, round(coalesce(avg(cen), 0.0), 3) AS spectral_centroid_mean,
 FROM embeddings e LEFT JOIN b ON e.vec_id = b.vec_id GROUP BY e.vec_id
 """)
 def signal_spectrum(spark, sf):
-    """Hann-windowed magnitude spectrum per frame (numpy FFT in Arrow
-    batches); centroid mean/std, bandwidth and 85 % roll-off means (Hz,
+    """Hann-windowed magnitude spectrum per frame; centroid mean/std, bandwidth and 85 % roll-off means (Hz,
     rounded to 3 places since FFT and direct sums differ in the last bits)."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    s = e.withColumn("_s", SG.spectral_udf(FRAME, HOP, SR, n_mels=20, n_mfcc=20)(F.col("embedding")))
-    cols = ["spectral_centroid_mean", "spectral_centroid_std", "spectral_bandwidth_mean", "spectral_rolloff_mean"]
-    return s.select("vec_id", *[F.round(F.col(f"_s.{c}"), 3).alias(c) for c in cols])
+    t = SG.signal_features(e, "embedding", FRAMING, ("spectral",))
+    return t.select("vec_id", *[F.round(F.col(c), 3).alias(c) for c in SG.SPECTRAL])
 
 
-@query("mfcc")
+def _matrix_sql(m) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row.tolist()) + "]" for row in m) + "]"
+
+
+def _mfcc_sql() -> str:
+    means = ", ".join(f"round(coalesce(avg(mf[{i + 1}]), 0.0), 3) + 0.0 AS mfcc_{i}_mean, "
+                      f"round(coalesce(stddev_pop(mf[{i + 1}]), 0.0), 3) + 0.0 AS mfcc_{i}_std" for i in range(20))
+    return f"""
+WITH k AS (SELECT {_matrix_sql(FRAMING.fb)} AS fb, {_matrix_sql(FRAMING.dct)} AS dct),
+fr AS (SELECT vec_id, unnest(frs) AS f
+       FROM (SELECT vec_id, {_frames_sql('embedding::DOUBLE[]')} AS frs FROM embeddings)),
+mg AS (SELECT vec_id, list_transform({_MAG}, lambda x: x * x) AS p FROM fr),
+lm AS (SELECT vec_id, list_transform(fb, lambda w: 10.0 * log10(greatest(list_dot_product(w, p), 1e-10))) AS l, dct FROM mg, k),
+mf AS (SELECT vec_id, list_transform(dct, lambda w: list_dot_product(w, l)) AS mf FROM lm)
+SELECT e.vec_id, {means} FROM embeddings e LEFT JOIN mf ON e.vec_id = mf.vec_id GROUP BY e.vec_id
+"""
+
+
+@query("mfcc", _mfcc_sql())
 def mfcc(spark, sf):
-    """20 MFCC means and standard deviations per signal (mel filters and
-    DCT in numpy; compared by row count only)."""
+    """20 MFCC means and standard deviations per signal."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    out = SG.signal_features(e, "embedding", FRAME, HOP, SR, n_mels=20, n_mfcc=20)
-    return out.select("vec_id", *[c for c in out.columns if c.startswith("mfcc_")])
+    t = SG.signal_features(e, "embedding", FRAMING, ("mfcc",))
+    return t.select("vec_id", *[(F.round(F.col(c), 3) + 0.0).alias(c) for c in SG.mfcc_names(20)])

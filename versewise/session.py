@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale. AQE re-plans joins from runtime sizes
 # (broadcast only when the measured side is small), splits skewed shuffle
@@ -14,6 +13,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # at least so many splits of a scan whose files can be split
+    "spark.sql.files.minPartitionNum": "8",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -46,22 +47,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     Reads ``spark.checkpoint.dir`` from the session (the cluster names a shared
-    folder there). Only when it is unset, as in local tests, a private folder
-    is created and registered.
+    folder there). Only a local master may leave it unset, as its one machine
+    shares any folder; elsewhere that is an error.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="versewise-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    sc.setCheckpointDir(d)
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = os.path.join(os.environ.get("SPARK_LOCAL_DIRS", "/tmp").split(",")[0], f"versewise-{sc.applicationId}")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for one staged table."""
-    base = checkpoint_dir(spark).rstrip("/")
-    token = os.urandom(6).hex()
-    return f"{base}/{name}-{token}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{os.urandom(6).hex()}"
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the checkpoint folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -35,10 +35,11 @@ def flatten_track(df: DataFrame, payload: str) -> DataFrame:
     }).drop("_t")
 
 
-def flatten_tags(df: DataFrame, payload: str, k: int = 10) -> DataFrame:
+def flatten_tags(df: DataFrame, payload: str, k: int | None = None, album: str | None = None) -> DataFrame:
     """``toptags.tag`` may be one object or an array of objects; both
-    schemas are tried and the first k non-empty names kept, with the url
-    and the album title."""
+    schemas are tried; non-empty names are kept (the first ``k`` if given),
+    with the url and the album title. With ``album``, that column takes the
+    title where it is empty."""
     arr = F.from_json(F.col(payload), TAG_PAYLOAD_ARRAY_SCHEMA)
     obj = F.from_json(F.col(payload), TAG_PAYLOAD_OBJECT_SCHEMA)
     d = df.withColumns({"_a": arr, "_o": obj})
@@ -50,6 +51,8 @@ def flatten_tags(df: DataFrame, payload: str, k: int = 10) -> DataFrame:
         "lastfm_tags": first_tags(names, k),
         "lastfm_url": F.coalesce(F.col("_a.track.url"), F.col("_o.track.url")),
         "lastfm_album": F.coalesce(F.col("_a.track.album.title"), F.col("_o.track.album.title")),
+        **({album: F.coalesce(F.nullif(F.col(album), F.lit("")), F.col("_a.track.album.title"), F.col("_o.track.album.title"))}
+           if album else {}),
     }).drop("_a", "_o")
 
 

@@ -64,8 +64,8 @@ def parse_track_line(line: Column) -> Column:
 
 def read_track_list(spark: SparkSession, path: str) -> DataFrame:
     """One track per line with its (file, line) position."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value"),
-                                         F.monotonically_increasing_id().alias("pos"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    lines = lines.withColumn("pos", F.col("pos").cast("long"))
     t = lines.select("file", "pos", parse_track_line(F.col("value")).alias("t")).filter("t IS NOT NULL")
     return t.select("file", "pos", "t.artist", "t.title")
 
@@ -109,7 +109,10 @@ def write_summary(spark: SparkSession, summary: DataFrame, path: str) -> dict:
 
 def track_map(artist_titles: DataFrame) -> DataFrame:
     """(artist, titles array, pos) -> one line per title, first per
-    lower(artist)|lower(title) key in (pos, title position) order."""
+    lower(artist)|lower(title) key in (pos, title position) order. As in a
+    map, an artist listed again keeps the first place and the last list."""
+    artist_titles = artist_titles.groupBy("artist").agg(F.min("pos").alias("_first"), F.max_by("titles", "pos").alias("titles")) \
+        .select("artist", F.col("_first").alias("pos"), "titles")
     ex = artist_titles.select("artist", "pos", F.posexplode("titles").alias("tpos", "title"))
     ex = ex.withColumn("_k", F.concat_ws("|", F.lower("artist"), F.lower("title")))
     firsts = ex.groupBy("_k").agg(F.min_by(F.struct("artist", "title", "pos", "tpos"),

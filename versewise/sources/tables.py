@@ -15,8 +15,8 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table; Catalyst prunes columns and pushes filters into the
-    scan. Narrow inputs are spread over the cores (see ``spread``)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    scan, whose splits the session's ``spark.sql.files`` settings decide."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def songs_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,21 +49,3 @@ def catalog_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((F.col("p_retailprice") - 900) / 100).alias("valence"),
                     (F.col("p_size") / 50).alias("energy"),
                     (F.col("p_size") * 4.0).alias("tempo"))
-
-
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Give CPU-heavy row-wise work (regex, array functions) enough tasks.
-
-    A scan yields one task per Parquet row group; a table written as one row
-    group would run every regex on one core. Only when the input has fewer
-    files than the cluster has cores is it dealt round-robin (one shuffle of
-    the input columns); at scale the input spans many files and this is a
-    no-op.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # a scan split far wider than the cluster is left alone without listing
-    # its files on the driver; otherwise the file count (planning metadata,
-    # no job) tells a one-file table from a wide one
-    if df.rdd.getNumPartitions() > 4 * cores or len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores * per_core)

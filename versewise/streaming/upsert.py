@@ -1,11 +1,12 @@
 """Incremental ingest and scoring with Structured Streaming.
 
-R1 replaces "rewrite the whole CSV every k rows" with a file-source stream:
-each micro-batch (``maxFilesPerTrigger`` files) is merged into a versioned
-Parquet table with keep-last-per-key (S7). Versions are written per epoch
-id, so a retried epoch rewrites the same version (idempotent), and the
-checkpoint location makes the query resume where it stopped after a lost
-executor or driver restart.
+R1 replaces "rewrite the whole CSV every k rows" with a file-source stream.
+The target table is hashed by key into buckets; a micro-batch reads and writes
+the buckets its keys fall into and no others, keep-last-per-key (S7). Buckets
+are written per epoch id, so a retried epoch rewrites the same files
+(idempotent), a bucket's newest committed epoch is its content, and those older
+than the one it was made from are removed after the commit. The checkpoint location makes the query resume
+where it stopped after a lost executor or driver restart.
 """
 
 from __future__ import annotations
@@ -44,33 +45,77 @@ def read_latest(spark: SparkSession, table_dir: str, schema: T.StructType | None
     return r.parquet(f"{table_dir}/epoch={vs[-1]}")
 
 
-def merge_batch(table_dir: str, keys: list[str], order_cols: list[str]):
-    """foreachBatch function: previous version (older than this epoch) +
-    micro-batch -> keep last per key -> ``epoch=<id>``."""
+#: Buckets of an upsert table; a table keeps the number it was made with.
+BUCKETS = 64
+
+
+def _bucket_epochs(spark: SparkSession, table_dir: str, before: int | None = None) -> dict[int, list[int]]:
+    """Committed epochs (older than ``before``) of each bucket, ascending: a
+    listing of folders, bounded by the number of buckets."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(table_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for e in _versions(spark, table_dir):
+        if before is None or e < before:
+            for st in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{table_dir}/epoch={e}")):
+                name = st.getPath().getName()
+                if name.startswith("bucket="):
+                    out.setdefault(int(name.split("=", 1)[1]), []).append(e)
+    return out
+
+
+def _read_buckets(spark: SparkSession, table_dir: str, newest: dict[int, int], schema: T.StructType) -> DataFrame:
+    paths = [f"{table_dir}/epoch={e}/bucket={b}" for b, e in sorted(newest.items())]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def merge_batch(table_dir: str, keys: list[str], order_cols: list[str], buckets: int = BUCKETS):
+    """foreachBatch function: the batch and the buckets it touches -> keep last
+    per key -> those buckets in ``epoch=<id>``."""
     def run(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        prev = [v for v in _versions(spark, table_dir) if v < epoch_id]
-        cur = batch
-        if prev:
-            old = spark.read.schema(batch.schema).parquet(f"{table_dir}/epoch={prev[-1]}")
-            cur = old.unionByName(batch)
-        keep_last(cur, keys, order_cols).write.mode("overwrite").parquet(f"{table_dir}/epoch={epoch_id}")
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        have = _bucket_epochs(spark, table_dir, epoch_id)
+        newest = {b: have[b][-1] for b in touched if b in have}
+        old = _read_buckets(spark, table_dir, newest, batch.schema)
+        merged = keep_last(old.unionByName(batch), keys, order_cols).withColumn("bucket", bucket)
+        # a bucket's rows come together for its folder, a big bucket's in several files
+        (merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table_dir}/epoch={epoch_id}"))
+        # the version merged from stays until the next merge: a retried epoch needs it
+        _drop_old(spark, table_dir, {b: have[b][:-1] for b in newest})
     return run
 
 
+def _drop_old(spark: SparkSession, table_dir: str, replaced: dict[int, list[int]]) -> None:
+    """Remove bucket folders of epochs that no merge starts from any more."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(table_dir).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for b, epochs in replaced.items():
+        for e in epochs:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{table_dir}/epoch={e}/bucket={b}"), True)
+
+
+def read_upserted(spark: SparkSession, table_dir: str, schema: T.StructType) -> DataFrame:
+    """The content of an upsert table: each bucket's newest committed epoch."""
+    return _read_buckets(spark, table_dir, {b: e[-1] for b, e in _bucket_epochs(spark, table_dir).items()}, schema)
+
+
 def stream_upsert(spark: SparkSession, source_dir: str, schema: T.StructType, keys: list[str],
-                  order_cols: list[str], table_dir: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
+                  order_cols: list[str], table_dir: str, checkpoint: str, files_per_trigger: int = 1,
+                  buckets: int = BUCKETS) -> DataFrame:
     """Run the stream over every file present now (availableNow) and
     return the merged table."""
     src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
            .parquet(source_dir))
-    q = (src.writeStream.foreachBatch(merge_batch(table_dir, keys, order_cols))
+    q = (src.writeStream.foreachBatch(merge_batch(table_dir, keys, order_cols, buckets))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    out = read_latest(spark, table_dir, schema)
-    if out is None:
-        return spark.createDataFrame([], schema)
-    return out
+    return read_upserted(spark, table_dir, schema)
 
 
 def stream_transform(spark: SparkSession, source_dir: str, schema: T.StructType, fn, sink_dir: str,
@@ -83,13 +128,3 @@ def stream_transform(spark: SparkSession, source_dir: str, schema: T.StructType,
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(sink_dir)
-
-
-def stage_files(df: DataFrame, path: str, n_files: int) -> str:
-    """Write a table as ``n_files`` Parquet files for a stream to pick up."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
-    return path
-
-
-def with_event_order(df: DataFrame, ts: str, id_col: str) -> DataFrame:
-    return df.withColumn("_order", F.struct(F.col(ts), F.col(id_col)))
