@@ -162,8 +162,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         w, t = fit_rows([x for x, _ in got], np.array([y for _, y in got], np.int64), len(names), idf)
         yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([t])], names=["w", "t"])
 
-    # one task holds the bounded sample; a few MB of weights come back
-    got = sample.coalesce(1).mapInArrow(train, "w binary, t double").first()
+    # all tasks look for the sample, one learns from it; a few MB of weights come back
+    got = sample.repartition(1).mapInArrow(train, "w binary, t double").first()
     return Model(names, np.frombuffer(got["w"], "<f4").reshape(len(names), -1), idf, got["t"])
 
 

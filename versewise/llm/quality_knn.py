@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         y = np.array([y for _, y in got], np.int8)
         yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (space, x.astype(np.float32), y)], names=["s", "x", "y"])
 
-    got = sample.coalesce(1).mapInArrow(train, "s binary, x binary, y binary").first()
+    got = sample.repartition(1).mapInArrow(train, "s binary, x binary, y binary").first()
     if got is None:
         return nothing
     y = np.frombuffer(got["y"], np.int8).astype(np.float64)
