@@ -25,6 +25,8 @@ from versewise.llm.common import let, pick
 
 K, WINDOW, LONGEST = 5, 16, 32
 LOW = (1 << 31) - 1
+#: Ranges of ids for each shuffle partition: several, so that tasks get like shares.
+RANGES = 8
 
 
 def words(text: Column) -> Column:
@@ -78,8 +80,8 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], suffix: s
     quantiles, are ordered on their own; each range also gets the first row of
     the next, so one shuffle does and no task orders the whole."""
     spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select(F.percentile_approx(key, [i / n for i in range(n - 1, 0, -1)], 20 * n).alias("q")).first()["q"] if n > 1 else None
+    n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.select(F.percentile_approx(key, [i / n for i in range(n - 1, 0, -1)], 10 * n).alias("q")).first()["q"] if n > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
     edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
     part = F.when(F.col(key).isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(edges, lambda e: F.col(key) < e)))
@@ -90,7 +92,7 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], suffix: s
     first = first.select("top", F.coalesce(F.lag("range").over(order), F.max("range").over(Window.partitionBy())).alias("guest"))
     top = F.struct(F.coalesce(key, F.lit(-(1 << 63))), F.col(tie))
     # rows that repeat the first row's id and text are equal to it: any of them may be the guest
-    # (at most as many first rows as shuffle partitions: a bounded broadcast)
+    # (at most RANGES first rows a shuffle partition: a bounded broadcast)
     hosted = ranged.join(F.broadcast(first), top == F.col("top"), "left").drop("top")
     places = F.when(F.col("guest").isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g")))) \
         .otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g")),
