@@ -91,12 +91,6 @@ def word_pattern(words, cls: str) -> str:
     return f"(?<!{cls})(?:{alts})(?!{cls})"
 
 
-def count_words(lower_text: Column, words, cls: str = TOKEN_CLASS) -> Column:
-    """Occurrences of whole words in lower-cased text: one compiled regex
-    scan, no per-token lambda (higher-order functions run interpreted)."""
-    return F.size(F.regexp_extract_all(lower_text, F.lit(word_pattern(words, cls)), 0))
-
-
 def lexicon_hits(lower_text: Column, groups, cls: str = TOKEN_CLASS) -> Column:
     """All whole-word occurrences of any word of any group, in one regex scan
     (a short array: only the hits); per-group counts are then taken from it."""

@@ -1,10 +1,12 @@
 """First/last-wins dedupe and keep-last upserts.
 
 Keeping one row per key is written as ``min_by``/``max_by`` over a struct of
-the row instead of ``row_number()`` over a window: the hash aggregate keeps
-one candidate per key in each map task before the shuffle (partial
-aggregation), so a key that holds a third of all rows sends one row per task
-over the network instead of a third of the table into one sort.
+the row instead of ``row_number()`` over a window: the aggregate keeps one
+candidate per key in each map task before the shuffle (partial aggregation),
+so a key that holds a third of all rows sends one row per task over the network
+instead of a third of the table into one sort. Rows as aggregation values make
+it a sort aggregate: each task sorts its own rows by key before the partial and
+before the final step.
 """
 
 from __future__ import annotations

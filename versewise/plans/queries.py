@@ -65,12 +65,15 @@ def sql_marked(id_col: str = "doc_id", text_col: str = "text") -> str:
 
 def vibe_profile(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", marked_text().alias("t"))
-    toks = X.tokens(X.clean_lyrics(F.col("t")))
-    d = d.select("doc_id", toks.alias("toks"))
+    d = d.select(F.lower(X.clean_lyrics(F.col("t"))).alias("low"))
+    # regex scans of the text rather than a lambda for each token
+    d = d.select(X.tokens("low").alias("toks"), X.token_chars(F.col("low")).alias("chars"),
+                 X.lexicon_hits(F.col("low"), THEMES).alias("hits"))
+    n = F.size("toks")
     feats = d.select(X.word_count(F.col("toks")).alias("wc"),
                      X.unique_word_ratio(F.col("toks")).alias("valence"),
-                     F.least(X.avg_word_len(F.col("toks")) / 10.0, F.lit(1.0)).alias("energy"),
-                     X.theme_scores(F.col("toks"))["kw_love_romance"].alias("kw"))
+                     F.least(F.when(n > 0, F.col("chars") / n).otherwise(F.lit(0.0)) / 10.0, F.lit(1.0)).alias("energy"),
+                     X.theme_scores(F.col("toks"), hits=F.col("hits"))["kw_love_romance"].alias("kw"))
     feats = feats.withColumn("vibe", L.nearest_anchor("valence", "energy"))
     return feats.groupBy("vibe").agg(F.count(F.lit(1)).alias("n_songs"),
                                      r6(F.avg("wc")).alias("mean_word_count"),
@@ -153,7 +156,7 @@ def text_stats(spark, sf):
     t = F.col("toks")
     return d.select("doc_id", X.word_count(t).alias("word_count"),
                     r6(X.unique_word_ratio(t)).alias("unique_word_ratio"),
-                    r6(X.avg_word_len(t)).alias("avg_word_len"),
+                    r6(X.avg_word_len(t, F.lower("c"))).alias("avg_word_len"),
                     F.length("c").alias("clean_len"))
 
 
@@ -236,7 +239,7 @@ def mood_buckets(spark, sf):
                     L.valence_bucket(L.clip01("pred_valence")).alias("pred_valence_label"))
 
 
-QUERY_MODULES = ["queries_joins", "queries_labels", "queries_misc", "queries_features", "queries_signal", "queries_models"]
+QUERY_MODULES = ["queries_sources", "queries_joins", "queries_labels", "queries_misc", "queries_features", "queries_signal", "queries_models"]
 
 
 def _load():

@@ -201,34 +201,6 @@ def feature_cols_for_target(target: str, include_spotify: bool = True) -> list[s
     return cols + [c for c in SPOTIFY_FEATURES if c != drop]
 
 
-def feature_schema(include_spotify: bool = True) -> T.StructType:
-    return T.StructType([T.StructField(c, T.DoubleType(), False)
-                         for c in feature_column_names(include_spotify)])
-
-
-SONG_SCHEMA = T.StructType([
-    T.StructField("title", T.StringType()),
-    T.StructField("artist", T.StringType()),
-    T.StructField("lyrics", T.StringType()),
-    T.StructField("audio_path", T.StringType()),
-    T.StructField("spotify_id", T.StringType()),
-    T.StructField("genius_url", T.StringType()),
-    T.StructField("preview_url", T.StringType()),
-    T.StructField("album", T.StringType()),
-    T.StructField("valence", T.DoubleType()),
-    T.StructField("energy", T.DoubleType()),
-    T.StructField("tempo", T.DoubleType()),
-    T.StructField("danceability", T.DoubleType()),
-    T.StructField("acousticness", T.DoubleType()),
-    T.StructField("instrumentalness", T.DoubleType()),
-    T.StructField("speechiness", T.DoubleType()),
-    T.StructField("liveness", T.DoubleType()),
-    T.StructField("lastfm_tags", T.StringType()),
-    T.StructField("vibe", T.StringType()),
-    T.StructField("fetch_errors", T.StringType()),
-    T.StructField("sources", T.StringType()),
-])
-
 LABELLED_SONG_SCHEMA = T.StructType([
     T.StructField("track_id", T.StringType()),
     T.StructField("title", T.StringType()),

@@ -70,16 +70,6 @@ def read_track_list(spark: SparkSession, path: str) -> DataFrame:
     return t.select("file", "pos", "t.artist", "t.title")
 
 
-def read_existing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """S5 source side: the stored output, or None when absent."""
-    try:
-        return spark.read.format(fmt).load(path)
-    except Exception as exc:  # noqa: BLE001 - path may not exist yet
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
-            return None
-        raise
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Overwrite a table directory."""
     w = df.write.mode("overwrite").format(fmt)
