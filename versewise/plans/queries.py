@@ -239,7 +239,7 @@ def mood_buckets(spark, sf):
                     L.valence_bucket(L.clip01("pred_valence")).alias("pred_valence_label"))
 
 
-QUERY_MODULES = ["queries_sources", "queries_joins", "queries_labels", "queries_misc", "queries_features", "queries_signal", "queries_models"]
+QUERY_MODULES = ["queries_sources", "queries_joins", "queries_labels", "queries_misc", "queries_features", "queries_signal", "queries_models", "queries_jobs"]
 
 
 def _load():
