@@ -71,6 +71,7 @@ def test_track_list_lookup_and_backfill(spark, tmp_dir):
     s = JB.track_list_lookup_job(spark, tracks, table, info, os.path.join(tmp_dir, "sum"))
     assert (s["tracks_requested"], s["processed"], s["spotify_matches"], s["skipped_existing"], s["not_in_csv"]) \
         == (3, 1, 1, 1, 1)
+    assert (s["rows_total"], s["with_music_before"], s["with_music_after"]) == (10, 0, 1)
     row = read_latest(spark, table).filter("title = 'Song 1'").first()
     assert row["spotify_id"] == "sp1" and row["vibe"] == "energetic" and row["sources"] == "genius|spotify"
     lt = spark.createDataFrame([("artist 0", "song 0", LYR, "http://g")],

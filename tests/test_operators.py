@@ -325,3 +325,21 @@ def test_long_signals_take_linear_time(spark):
     t0 = time.time()
     assert len(SG.signal_features(df, "s", f).drop("s").collect()) == 2
     assert time.time() - t0 < 20
+
+
+def test_blank_keys_old_values_and_leaks(spark):
+    from versewise.operators import joins as J
+    from versewise.schema import feature_cols_for_target
+    cat = spark.createDataFrame([("t1", "夜", "歌", 0.5, 0.5, 1)], "track_id string, track_name string, track_artist string, valence double, energy double, pos int")
+    songs = spark.createDataFrame([("海", "誰")], "title string, artist string")
+    prep = J.prepare_catalog(cat, "pos")
+    assert J.merge_with_catalog(songs, prep).first()["spotify_id"] == "t1"
+    assert J.merge_with_catalog(songs, prep, drop_blank_keys=True).first()["spotify_id"] is None
+    row = {"title": "t", "artist": "a", "album": "", "spotify_id": "old", "preview_url": "p", "vibe": "dark", "sources": "", "fetch_errors": "",
+           **{c: 0.4 for c in J.AUDIO_COLS}}
+    info = {f"info_{c}": None for c in ("title", "artist", "album", "spotify_id", "preview_url", *J.AUDIO_COLS)}
+    df = spark.createDataFrame([{**row}]).withColumns({k: F.lit(None).cast("double" if k[5:] in J.AUDIO_COLS else "string") for k in info})
+    df = df.withColumns({"info_sources": F.array().cast("array<string>"), "info_errors": F.array(F.lit("x"))})
+    new, old = J.overlay(df).first(), J.overlay(df, keep_old_on_null=True).first()
+    assert (new["spotify_id"], new["tempo"]) == ("", None) and (old["spotify_id"], old["preview_url"], old["tempo"]) == ("old", "p", 0.4)
+    assert set(feature_cols_for_target("vibe")) - set(feature_cols_for_target("vibe", leak_guard=True)) == {"sp_valence", "sp_energy"}

@@ -89,13 +89,17 @@ def prepare_catalog(catalog: DataFrame, pos_col: str) -> DataFrame:
     return first.select(*ren, *feats, "_merge_key")
 
 
-def merge_with_catalog(songs: DataFrame, catalog_prepared: DataFrame) -> DataFrame:
+def merge_with_catalog(songs: DataFrame, catalog_prepared: DataFrame, drop_blank_keys: bool = False) -> DataFrame:
     """Left join on the normalised artist|title key; catalog columns
-    replace the song's; ``label_source`` and F14 vibe."""
+    replace the song's; ``label_source`` and F14 vibe. With
+    ``drop_blank_keys`` names that normalise to nothing match nothing (T6),
+    which also keeps them from meeting under one key."""
     stale = [c for c in ["spotify_id", "album", *CATALOG_FEATURES, "label_source"] if c in songs.columns]
     left = songs.drop(*stale).withColumn("_merge_key", X.merge_key(
         F.col("artist") if "artist" in songs.columns else F.lit(None),
         F.col("title") if "title" in songs.columns else F.lit(None)))
+    if drop_blank_keys:
+        left = left.withColumn("_merge_key", F.nullif("_merge_key", F.lit("|")))
     merged = left.join(catalog_prepared, "_merge_key", "left").drop("_merge_key")
     merged = merged.withColumn("label_source", F.when(present("spotify_id"), "kaggle").otherwise(""))
     return merged.withColumn("vibe", fill_vibe(merged))
@@ -167,10 +171,11 @@ def lookup_outcomes(tracks: DataFrame, table: DataFrame, pos_col: str,
     return j.drop("_usable", "_music")
 
 
-def overlay(df: DataFrame, prefix: str = "info_", audio_path: Column | None = None) -> DataFrame:
+def overlay(df: DataFrame, prefix: str = "info_", audio_path: Column | None = None,
+            keep_old_on_null: bool = False) -> DataFrame:
     """Lay looked-up columns (``info_*``, NULL when the lookup failed) over
     the row. Title/artist/album coalesce; id, preview and the eight audio
-    columns are replaced even by NULL; vibe recomputed when both labels came
+    columns are replaced even by NULL (unless ``keep_old_on_null``, T15); vibe recomputed when both labels came
     back; sources ordered union; error text rules of X15."""
     p = prefix
     got = L.has_number(f"{p}valence") & L.has_number(f"{p}energy")
@@ -192,6 +197,11 @@ def overlay(df: DataFrame, prefix: str = "info_", audio_path: Column | None = No
     }
     for c in AUDIO_COLS:
         sets[c] = F.col(f"{p}{c}").cast("double")
+    if keep_old_on_null:
+        for c in ("spotify_id", "preview_url"):
+            if c in df.columns:
+                sets[c] = F.coalesce(F.when(present(f"{p}{c}"), F.col(f"{p}{c}")), F.col(c), F.lit(""))
+        sets |= {c: F.coalesce(sets[c], F.col(c)) for c in AUDIO_COLS if c in df.columns}
     if audio_path is not None:
         sets["audio_path"] = F.coalesce(audio_path, F.col("audio_path"))
     out = df.withColumns(sets)

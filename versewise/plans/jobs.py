@@ -150,7 +150,11 @@ def track_list_lookup_job(spark: SparkSession, tracks_path: str, table_dir: str,
     rest = keyed.join(todo, ["artist_key", "title_key"], "left_anti")
     inf = D.keep_first(info, ["artist_key", "title_key"], [F.col("info_spotify_id").isNull(), "info_spotify_id"])
     updated = J.overlay(need.join(inf, ["artist_key", "title_key"], "left")).unionByName(rest, allowMissingColumns=True)
-    SG.write_table(updated.drop("artist_key", "title_key", "_pos"), _next_version(spark, table_dir) + "/")
+    before = M.quality_counters(table, J.has_music_data(table)).first()
+    updated, obs = _observe(updated.drop("artist_key", "title_key", "_pos"), "lookup", rows_total=F.count(F.lit(1)),
+                            with_music_after=F.count_if(J.has_music_data(updated)))
+    SG.write_table(updated, _next_version(spark, table_dir) + "/")
+    counts |= {"with_music_before": before["rows_with_music_data"], **obs.get}
     SG.write_summary(spark, spark.createDataFrame([counts]), summary_path)
     return counts
 
@@ -230,7 +234,7 @@ def evaluation_tables(preds: DataFrame, targets: list[str]) -> dict[str, DataFra
 def train_evaluate_job(spark: SparkSession, data: DataFrame, model_dir: str, train_size: int | None = None,
                        test_size: int | None = None, include_spotify: bool = True, seed: int = 42,
                        cfg: dict | None = None, lexicon=None, profile: str = "default",
-                       audio: DataFrame | None = None) -> dict:
+                       audio: DataFrame | None = None, leak_guard: bool = False) -> dict:
     """M6/M7: labelled songs -> exact split (W6) -> feature table (X25) ->
     per-target models (M1-M4) -> predictions with and without the catalog
     features (F11) -> metric tables (A4-A8, A10), split and feature tables
@@ -256,7 +260,7 @@ def train_evaluate_job(spark: SparkSession, data: DataFrame, model_dir: str, tra
     feats = FT.feature_table(split, "id", "lyrics", audio=audio, include_catalog=include_spotify, lexicon=lexicon, keep=["split"])
     SG.write_table(feats, f"{model_dir}/features", partition_by=["split"])
     feats = spark.read.parquet(f"{model_dir}/features")   # reused by the fits and scorings
-    cols = {t: feature_cols_for_target(t, include_spotify) for t in ("valence", "energy", "tempo", "vibe")}
+    cols = {t: feature_cols_for_target(t, include_spotify, leak_guard) for t in ("valence", "energy", "tempo", "vibe")}
     if "tempo" not in feats.columns:
         cols.pop("tempo")
     train, test = feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "test")

@@ -192,13 +192,17 @@ def feature_column_names(include_spotify: bool = True, n_mfcc: int = N_MFCC) ->
     return cols + list(SPOTIFY_FEATURES) if include_spotify else cols
 
 
-def feature_cols_for_target(target: str, include_spotify: bool = True) -> list[str]:
-    """Per-target inputs without the column that would leak the target."""
+def feature_cols_for_target(target: str, include_spotify: bool = True, leak_guard: bool = False) -> list[str]:
+    """Per-target inputs without the column that would leak the target.
+    ``leak_guard`` also keeps from the vibe, a function of valence and energy,
+    the catalog's valence and energy (T9)."""
     cols = lyrics_feature_names() + audio_feature_names()
     if not include_spotify:
         return cols
-    drop = LEAKING_FEATURE.get(target)
-    return cols + [c for c in SPOTIFY_FEATURES if c != drop]
+    drop = {LEAKING_FEATURE.get(target)}
+    if leak_guard and target == "vibe":
+        drop |= {LEAKING_FEATURE["valence"], LEAKING_FEATURE["energy"]}
+    return cols + [c for c in SPOTIFY_FEATURES if c not in drop]
 
 
 LABELLED_SONG_SCHEMA = T.StructType([
