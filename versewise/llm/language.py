@@ -15,32 +15,49 @@ to learn from, everything is ``und``.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versewise.llm.common import pick, zero_crc
-from versewise.llm.vectors import mixed
 
-BITS = 16
-LONGEST = 4
-LETTER = regex.compile(r"\p{L}")
+BITS = 15
+LONGEST = 3
 UNKNOWN = "und"
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+@functools.cache
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+
+
+def letter_codes(text: str) -> np.ndarray:
+    """Code points of the text in lower case, each run of anything but letters
+    as one space, a space at both ends; a text without a letter gives none."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
+    at = np.nonzero(letters()[codes])[0]
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    place = np.arange(1, len(at) + 1) + np.concatenate([[0], np.cumsum(np.diff(at) > 1)])
+    out = np.full(place[-1] + 2, 32, np.uint64)
+    out[place] = codes[at]
+    return out
 
 
 def ngrams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and counts of the n-grams (1 to LONGEST characters) of a text in
-    lower case, runs of anything but letters as one space."""
-    codes = np.frombuffer((" " + regex.sub(r"[^\p{L}]+", " ", text.lower()).strip() + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-    h, found = np.zeros(len(codes), np.uint64), []
+    """Slots and counts of the runs of 1 to LONGEST of ``letter_codes``."""
+    codes = letter_codes(text)
+    h, count = np.zeros(len(codes), np.uint64), np.zeros(1 << bits, np.int64)
     for n in range(1, LONGEST + 1):
         if len(codes) < n:
             break
-        h = h[:len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1:] + np.uint64(n)
-        found.append((mixed(h) >> np.uint64(64 - bits)).astype(np.int64))
-    count = np.bincount(np.concatenate(found), minlength=1 << bits)
+        h = (h[:len(codes) - n + 1] + codes[n - 1:] + np.uint64(n)) * SPREAD
+        count += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     at = np.nonzero(count)[0]
     return at, count[at]
 
@@ -130,9 +147,9 @@ class Model:
         self.names, self.weights, self.idf, self.temp = names, weights.astype(np.float32), idf, temp
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.names or not LETTER.search(text):
+        at, v = vector(text or "", self.idf) if self.names else ([], [])
+        if not len(at):
             return UNKNOWN, 0.0
-        at, v = vector(text, self.idf)
         p = softmax((self.weights[:, at] @ v + self.weights[:, -1]) / self.temp)
         k = int(p.argmax())
         return self.names[k], float(min(1.0, max(0.0, p[k])))
