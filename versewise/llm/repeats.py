@@ -172,12 +172,13 @@ def marks(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
                                                   *[pa.array(np.concatenate([o[j] for o in out])) for j in range(1, 5)]],
                                                  names=["key", "start", "n", "anchor", "context"])
 
-    # a row for each run; copies within a task are counted at once
+    # a row for each run
     runs = stage(rows.mapInArrow(scan, "key binary, start long, n long, anchor long, context long"), "repeats-runs")
     seen = (runs.groupBy("anchor").agg(F.count("*").alias("total"), F.min("context").alias("lo"), F.max("context").alias("hi"))
             .where("total > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
-    twice = runs.join(seen, "anchor").groupBy("anchor", "context", "key", "start", "n", "differ").agg(F.count("*").alias("copies"))
-    twice = stage(twice, "repeats-shared")
+    # written before copies are counted: a join that no grouping by anchor follows can split a hot anchor
+    twice = stage(runs.join(seen, "anchor"), "repeats-shared")
+    twice = stage(twice.groupBy("anchor", "context", "key", "start", "n", "differ").agg(F.count("*").alias("copies")), "repeats-counted")
     keys = twice.select("key").distinct()
     texts = (rows.select(digest(F.col("text")).alias("key"), F.col("text").cast("binary").alias("raw"))
              .dropDuplicates(["key"]).join(keys, "key", "left_semi"))
