@@ -176,7 +176,9 @@ def marks(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
     runs = stage(rows.mapInArrow(scan, "key binary, start long, n long, anchor long, context long"), "repeats-runs")
     seen = (runs.groupBy("anchor").agg(F.count("*").alias("total"), F.min("context").alias("lo"), F.max("context").alias("hi"))
             .where("total > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
-    # written before copies are counted: a join that no grouping by anchor follows can split a hot anchor
+    # sums are written before they are joined back, and so is the join before copies are counted:
+    # a join of two plain shuffles that no grouping by its key follows can split a hot key
+    seen = stage(seen, "repeats-anchors")
     twice = stage(runs.join(seen, "anchor"), "repeats-shared")
     twice = stage(twice.groupBy("anchor", "context", "key", "start", "n", "differ").agg(F.count("*").alias("copies")), "repeats-counted")
     keys = twice.select("key").distinct()
@@ -234,7 +236,7 @@ def marks(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
     often = each.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
     found = found.unionByName(each.join(often, "string", "left_semi").select("anchor", "context", "a", (F.col("a") + 1).alias("z")))
 
-    times = twice.groupBy("anchor", "context").agg(F.sum("copies").alias("times"))
+    times = stage(twice.groupBy("anchor", "context").agg(F.sum("copies").alias("times")), "repeats-times")
     known = twice.join(times, ["anchor", "context"])
     whole = known.where("times > 1").select("key", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z"))
     parts = (known.where("times = 1").join(found, ["anchor", "context"])

@@ -140,10 +140,10 @@ def order(row) -> tuple:
 def decisions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """payload, its digest and ``keeper``, the page that is the response of all
     records with this payload. The largest id of each digest is summed on the
-    map side; the join back has one row a digest, and a hot digest's pages are
-    split by the adaptive skew join."""
+    map side and written, so that the join back has one row a digest and two plain
+    shuffles, and the adaptive skew join can split a hot digest's pages."""
     p = pages.withColumn("html", F.coalesce("html", F.lit("")).cast("binary")).withColumn("sha1", F.sha1("html"))
-    best = p.groupBy("sha1").agg(F.max("page_id").alias("keeper"))
+    best = stage(p.groupBy("sha1").agg(F.max("page_id").alias("keeper")), "warc-keepers")
     small = F.octet_length("html") < min_bytes
     return (p.join(best, "sha1").withColumn("revisit", ~small & ~F.col("page_id").eqNullSafe(F.col("keeper")))
             .withColumn("digest", base32(F.col("sha1"))).drop("sha1"))
