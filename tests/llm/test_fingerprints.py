@@ -57,6 +57,23 @@ def test_match_guarantee(docs, prose):
     assert a & b
 
 
+def test_short_texts_share_with_their_edited_form(docs):
+    import numpy as np
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), r.integers(4, 8))) for _ in range(5 + i % 46))) for i in range(138)]
+    got = {x["doc_id"]: x for x in fp.edited_comparison(docs(rows)).collect()}
+    assert [i for i, _ in rows if not 0.1 < got[i]["near_edited"] < 1] == []
+
+
+def test_passage_in_unspaced_texts(docs):
+    import numpy as np
+    r = np.random.default_rng(5)
+    run = lambda n: "".join(chr(0x4E00 + x) for x in r.integers(0, 2000, n))
+    common = run(fp.K + fp.WINDOW - 1)
+    a, *others = [set(x["fp"]["hash"]) for x in fp.fingerprints(docs([(i, run(100 + i) + common + run(90)) for i in range(33)])).collect()]
+    assert all(a & b for b in others)
+
+
 def test_single_null_repeated_and_empty(docs):
     one = fp.edited_comparison(docs([(3, "a b c d e f g h i")])).collect()
     assert one[0]["near_next"] == 1.0

@@ -1,13 +1,12 @@
-"""Document fingerprints (1) [native]: winnowing over words.
+"""Document fingerprints (1) [native]: winnowing over characters.
 
-A rolling hash covers each run of ``K`` words; of each window of ``WINDOW``
-successive hashes the smallest is kept, the rightmost of equals, with its
-position (Schleimer, Wilkerson and Aiken 2003). Texts that share ``WINDOW + K
-- 1`` words in a row share a fingerprint entry. Words rather than characters
-are the unit: a fifth of the hashes, and edits of white space don't matter;
-unbroken runs are cut into words of ``LONGEST`` characters. DataFrame functions
-only. Arrays are read by index from lambda variables, so the work is linear in
-the text.
+White space is left out, so its edits don't matter. A hash covers each run of
+``K`` characters; of each window of ``WINDOW`` successive hashes the smallest is
+kept, the rightmost of equals, with its position among the characters kept
+(Schleimer, Wilkerson and Aiken 2003). Texts that share ``WINDOW + K - 1``
+characters in a row, white space aside, share a fingerprint entry, wherever the
+passage stands and with or without spaces. DataFrame functions only. Arrays are
+read by index from lambda variables, so the work is linear in the text.
 
 Nulls, empty texts, repeats: a null or empty text has an empty fingerprint;
 two empty ones are alike (1), an empty one and another aren't (0); a null id
@@ -23,14 +22,16 @@ from pyspark.sql import functions as F
 
 from versewise.llm.common import let, pick
 
-K, WINDOW, LONGEST = 5, 16, 32
+#: LONGEST: characters of a unit.
+K, WINDOW, LONGEST = 8, 8, 1
 LOW = (1 << 31) - 1
 #: Ranges of ids for each shuffle partition: several, so that tasks get like shares.
 RANGES = 8
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]{1,%d})" % LONGEST))
+def characters(text: Column) -> Column:
+    """All but ASCII white space."""
+    return let(F.translate(text, " \t\n\v\f\r", ""), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")))
 
 
 def _window_minima(ranks: Column, window: int) -> Column:
@@ -46,9 +47,9 @@ def _window_minima(ranks: Column, window: int) -> Column:
         .otherwise(F.slice(grown(ranks, 1), 1, F.greatest(full, F.lit(1))))
 
 
-def fingerprint(word_array: Column, k: int = K, window: int = WINDOW) -> Column:
+def fingerprint(units: Column, k: int = K, window: int = WINDOW) -> Column:
     """struct<hash: array<bigint>, pos: array<int>>: the selected hashes and
-    the positions of their first words, in text order."""
+    the positions of their first units, in text order."""
     def chosen(h: Column) -> Column:
         # a hash's low 31 bits over the inverted position: the least is the least hash, rightmost of equals
         ranks = F.transform(h, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(LOW).cast("long")), 32) + (F.lit(LOW).cast("long") - i))
@@ -60,7 +61,7 @@ def fingerprint(word_array: Column, k: int = K, window: int = WINDOW) -> Column:
         starts = F.slice(w, 1, F.greatest(F.size(w) - k + 1, F.least(F.size(w), F.lit(1))))
         return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]))
 
-    return let(word_array, lambda w: let(hashes(w), chosen))
+    return let(units, lambda w: let(hashes(w), chosen))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -74,9 +75,11 @@ def as_text(fp: Column) -> Column:
     return F.array_join(F.transform(fp["hash"], lambda x, i: F.concat(F.lower(F.hex(x)), F.lit("@"), F.get(fp["pos"], i))), " ")
 
 
-def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], suffix: str = "_next") -> DataFrame:
+def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], suffix: str = "_next",
+              made: dict[str, Column] | None = None) -> DataFrame:
     """Adds each row's ``columns`` of the next row in descending order of
-    ``key`` (of the last: the first row's). Ranges of the key, from approximate
+    ``key`` (of the last: the first row's). Columns ``made`` of the rows are
+    added after the shuffle, which doesn't carry them. Ranges of the key, from approximate
     quantiles, are ordered on their own; each range also gets the first row of
     the next, so one shuffle does and no task orders the whole."""
     spark = rows.sparkSession
@@ -98,28 +101,33 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], suffix: s
         .otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("g")),
                            F.struct(F.col("guest").alias("r"), F.lit(True).alias("g"))))
     dealt = hosted.withColumn("place", F.explode(places)).drop("range", "guest")
+    if made:
+        dealt = dealt.repartition("place.r").withColumns(made)
     w = Window.partitionBy("place.r").orderBy("place.g", F.col(key).desc_nulls_last(), F.col(tie).desc())
     nexts = F.lead(F.struct(*columns)).over(w).alias("next")
     out = dealt.select("*", nexts).where(~F.col("place.g"))
-    return out.select(*rows.columns, *[F.col(f"next.{c}").alias(c + suffix) for c in columns])
+    return out.select(*rows.columns, *(made or {}), *[F.col(f"next.{c}").alias(c + suffix) for c in columns])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
     """doc_id, text and ``fp`` (hashes and positions) of each whole text."""
-    d = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    return d.withColumn("fp", fingerprint(words(F.col("text")), k, window))
+    return texts(docs, id_col, text_col).withColumn("fp", fingerprint(characters(F.col("text")), k, window))
+
+
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def edited_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint beside that of its edited text, the last
     third replaced by the beginning of the next document, and the likenesses."""
-    d = fingerprints(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
-    d = with_next(d, "doc_id", "h", ["text", "fp"])
+    d = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    d = with_next(d, "doc_id", "h", ["text", "fp"], made={"fp": fingerprint(characters(F.col("text")))})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - third), F.substr("text_next", F.lit(1), third))
     d = d.select("doc_id", n.cast("long").alias("n_chars"), "fp", F.col("fp_next.hash").alias("next"), edited.alias("edited"))
-    d = d.withColumn("fp2", fingerprint(words(F.col("edited"))))
+    d = d.withColumn("fp2", fingerprint(characters(F.col("edited"))))
     return d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                     as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("fp2")).alias("edited_fingerprint"),
                     likeness(F.col("fp.hash"), F.col("fp2.hash")).alias("near_edited"),
