@@ -89,3 +89,10 @@ def test_quality_of_nothing(spark, docs):
     # labels of no document
     one = spark.createDataFrame([(7, 1)], "doc_id long, quality int")
     assert [r["score"] for r in quality_knn.score(docs([(1, "x")]), quality_knn.fit(docs([(1, "x")]), one, F.lit(True))).collect()] == [1.0]
+
+
+def test_ngrams_of_up_to_four_characters():
+    at, n = language.ngrams("abcdefg")  # 9 characters with the spaces around
+    assert n.sum() == 9 + 8 + 7 + 6
+    many = " ".join(chr(0x4E00 + i) for i in range(20_000))
+    assert language.ngrams(many)[0].max() >= 1 << 15

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from versewise.llm.common import pick, zero_crc
 
-BITS = 15
-LONGEST = 3
+BITS = 16
+LONGEST = 4
 UNKNOWN = "und"
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
