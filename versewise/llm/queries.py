@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versewise.llm import fingerprints, language, mixing, near_dups, packing, quality_knn, quality_rules, repeats, token_store, warc
+from versewise.llm import (exact_dups, fingerprints, language, mixing, near_dups, packing, periodic, quality_knn, quality_rules,
+                           repeats, search, token_store, warc)
 from versewise.llm.common import documents
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +68,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(pages, min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.periodic_runs(periodic.with_planted(documents(spark, sf_dir))))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dups.duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_fingerprints": (op1_fingerprints, None),
     "op2_token_ids": (op2_token_ids, None),
@@ -79,6 +92,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_mixing": (op8_mixing, mixing.MIX_SQL),
     "op9_quality_classifier": (op9_quality_classifier, None),
     "op10_warc": (op10_warc, warc.ARCHIVE_SQL),
+    "op11_lexical_search": (op11_lexical_search, search.SEARCH_SQL),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_exact_dedup": (op13_exact_dedup, exact_dups.EXACT_SQL),
 }
 
 
