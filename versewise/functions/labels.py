@@ -29,19 +29,16 @@ def has_number(c) -> Column:
 def nearest_anchor(valence, energy, anchors=VIBE_ANCHORS) -> Column:
     """Name of the closest (valence, energy) anchor; the first anchor wins
     ties. A theta join against the anchor table written as the least of eight
-    distances and the first anchor that has it: plain doubles, no row key, no
+    (distance, place, name): each distance is computed once, no row key, no
     shuffle. NULL or NaN input gives NULL.
 
     Each input appears in every distance term: pass column references (put a
     computed input in its own projection first), not long expressions."""
     v, e = _col(valence).cast("double"), _col(energy).cast("double")
-    dist = [_dist(v, e, av, ae) for _, av, ae in anchors]
-    best = F.least(*dist)
-    name = None
-    for (label, _, _), d in zip(anchors, dist):
-        name = F.when(d == best, label) if name is None else name.when(d == best, label)
+    best = F.least(*[F.struct(_dist(v, e, av, ae).alias("d"), F.lit(i).alias("i"), F.lit(label).alias("name"))
+                     for i, (label, av, ae) in enumerate(anchors)])
     bad = v.isNull() | e.isNull() | F.isnan(v) | F.isnan(e)
-    return F.when(~bad, name)
+    return F.when(~bad, best["name"])
 
 
 def bucket(c, names=ENERGY_BUCKETS, low: float = LOW_CUT, high: float = HIGH_CUT) -> Column:

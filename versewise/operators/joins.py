@@ -252,40 +252,71 @@ def backfill_lyrics(songs: DataFrame, lyrics_table: DataFrame) -> DataFrame:
     return need.unionByName(keep).drop("_need")
 
 
+def title_tokens(c) -> Column:
+    """The distinct words of a title (runs of ``[a-z0-9]``, lower-cased), sorted."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("([a-z0-9]+)"))
+    return F.array_sort(F.array_distinct(words))
+
+
+def share_join(asked: DataFrame, known: DataFrame, share: float = 0.5, list_rows: int = 10_000) -> DataFrame:
+    """Set-similarity join within a group: for each of ``asked`` (group, tokens)
+    the id of the ``known`` (group, tokens, id) that holds most of its tokens,
+    at least ``share`` of them; the smallest id among equals. Rows without a
+    partner are left out.
+
+    Both sides are reduced to one row a (group, token set). ``known`` is indexed
+    by token; a set is looked up by its prefix alone: ordered by frequency in
+    the group, the rarest n - t + 1 of its n tokens, one of which any set with t
+    tokens in common holds. Candidates are then verified by their overlap. A
+    list of more than ``list_rows`` sets is dealt into parts, and the sets that
+    look it up go to each of them."""
+    sets = known.filter(F.size("tokens") > 0).groupBy("group", "tokens").agg(F.min("id").alias("id"))
+    index = sets.select("group", "tokens", "id", F.explode("tokens").alias("token"))
+    lists = index.groupBy("group", "token").agg(F.count(F.lit(1)).alias("rows"))
+    one = asked.filter(F.size("tokens") > 0).select("group", "tokens").distinct()
+    freq = (one.select("group", "tokens", F.explode("tokens").alias("token")).join(lists, ["group", "token"], "left")
+            .groupBy("group", "tokens").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "token"))).alias("rare")))
+    least = F.ceil(F.size("tokens") * share - 1e-9).cast("int")
+    prefix = freq.select("group", "tokens", least.alias("least"), F.explode(F.slice("rare", 1, F.size("tokens") - F.greatest(least, F.lit(1)) + 1)).alias("p"))
+    parts = lambda rows: F.ceil(rows / list_rows).cast("int")
+    looked = (prefix.filter("p.rows > 0").select("group", "tokens", "least", F.col("p.token").alias("token"),
+                                                 F.explode(F.sequence(F.lit(0), parts(F.col("p.rows")) - 1)).alias("part")))
+    dealt = (index.withColumnRenamed("tokens", "has").join(lists, ["group", "token"])
+             .withColumn("part", F.pmod(F.xxhash64("id"), parts(F.col("rows"))).cast("int")).drop("rows"))
+    pairs = looked.join(dealt, ["group", "token", "part"]).withColumn("shared", F.size(F.array_intersect("tokens", "has")))
+    return (pairs.filter((F.col("shared") >= F.col("least")) & (F.col("shared") > 0)).groupBy("group", "tokens")
+            .agg(F.min_by("id", F.struct(-F.col("shared"), "id")).alias("id")))
+
+
 def best_match(queries: DataFrame, catalog: DataFrame, id_col: str = "track_id", query_id: str = "q_id",
-               drop_blank_keys: bool = True) -> DataFrame:
+               drop_blank_keys: bool = True, share: float = 0.5) -> DataFrame:
     """J6 re-aimed to a catalog table: stage 1 = exact (title, artist) key,
-    stage 2 = title key alone, stage 3 = most title tokens in common among the
-    artist's rows; in each stage the catalog row with the smallest id wins.
+    stage 2 = title key alone, stage 3 = most title words in common among the
+    artist's rows, at least ``share`` of those asked for; in each stage the
+    catalog row with the smallest id wins.
 
     Catalog sides of stages 1 and 2 are reduced to one row per key first, so
-    the joins emit a row per query. Stage 3 is for what is left: a query meets
-    the catalog rows of its artist that hold its rarest title token, so
-    nothing is compared all with all. ``drop_blank_keys``: names that
-    normalise to nothing match nothing."""
-    cat = catalog.select(F.col(id_col).alias("match_id"),
+    the joins emit a row per query. Stage 3 is for what is left and looks up the
+    rare words of a title only (:func:`share_join`). ``drop_blank_keys``: names
+    that normalise to nothing match nothing."""
+    cat = catalog.select(F.col(id_col).alias("match_id"), title_tokens("name").alias("_w"),
                          X.normalize_key("name").alias("_t"), X.normalize_key("artist").alias("_a"))
-    q = queries.withColumns({"_t": X.normalize_key("title"), "_a": X.normalize_key("artist")})
+    q = queries.withColumns({"_t": X.normalize_key("title"), "_a": X.normalize_key("artist"), "_w": title_tokens("title")})
     if drop_blank_keys:
         cat = cat.filter("_t != ''")
         q = q.withColumn("_t", F.nullif("_t", F.lit("")))
-    strict = keep_first(cat, ["_t", "_a"], ["match_id"]).withColumnRenamed("match_id", "_m1")
-    loose = keep_first(cat.drop("_a"), ["_t"], ["match_id"]).withColumnRenamed("match_id", "_m2")
+    strict = keep_first(cat.drop("_w"), ["_t", "_a"], ["match_id"]).withColumnRenamed("match_id", "_m1")
+    loose = keep_first(cat.drop("_a", "_w"), ["_t"], ["match_id"]).withColumnRenamed("match_id", "_m2")
     q = q.join(strict, ["_t", "_a"], "left").join(loose, ["_t"], "left")
 
-    split = F.array_distinct(F.split("_t", " "))
-    words = cat.filter("_a != ''").select("match_id", "_a", split.alias("_w"))
-    by_word = words.select("match_id", "_a", "_w", F.explode("_w").alias("_tok"))
-    rare = by_word.groupBy("_a", "_tok").agg(F.count(F.lit(1)).alias("_n"))
-    asked = q.filter("_m1 IS NULL AND _m2 IS NULL AND _a != ''").select(F.col(query_id).alias("_q"), "_a", split.alias("_qw"))
-    seen = asked.select("_q", "_a", "_qw", F.explode("_qw").alias("_tok")).join(rare, ["_a", "_tok"])
-    one = seen.groupBy("_q", "_a", "_qw").agg(F.min_by("_tok", F.struct("_n", "_tok")).alias("_tok"))
-    found = (one.join(by_word, ["_a", "_tok"]).withColumn("_shared", F.size(F.array_intersect("_w", "_qw")))
-             .groupBy("_q").agg(F.min_by("match_id", F.struct(-F.col("_shared"), "match_id")).alias("_m3")))
-    q = q.join(found, q[query_id] == found["_q"], "left").drop("_q")
-    stage = F.when(F.col("_m1").isNotNull(), 1).when(F.col("_m2").isNotNull(), 2).when(F.col("_m3").isNotNull(), 3)
-    return (q.withColumns({"match_id": F.coalesce("_m1", "_m2", "_m3"), "match_stage": stage})
-            .drop("_t", "_a", "_m1", "_m2", "_m3"))
+    left = q.filter("_m1 IS NULL AND _m2 IS NULL AND _a != ''").select(F.col("_a").alias("group"), F.col("_w").alias("tokens"))
+    rows = cat.filter("_a != ''").select(F.col("_a").alias("group"), F.col("_w").alias("tokens"), F.col("match_id").alias("id"))
+    found = share_join(left, rows, share).select(F.col("group").alias("_a"), F.col("tokens").alias("_w"), F.col("id").alias("_m3"))
+    q = q.join(found, ["_a", "_w"], "left")
+    stage = (F.when(F.col("_m1").isNotNull(), 1).when(F.col("_m2").isNotNull(), 2)
+             .when(F.col("_m3").isNotNull() & F.col("_t").isNotNull(), 3))
+    return (q.withColumns({"match_id": F.coalesce("_m1", "_m2", F.when(F.col("_t").isNotNull(), F.col("_m3"))), "match_stage": stage})
+            .drop("_t", "_a", "_w", "_m1", "_m2", "_m3"))
 
 
 def multi_lookup(songs: DataFrame, lyrics: DataFrame | None, features: DataFrame | None,

@@ -517,21 +517,19 @@ def _asked_title(col: str) -> str:
 
 
 @query("best_match", f"""
-WITH q AS (SELECT p_partkey, nullif({S.norm_key(_asked_title('p_name'))}, '') AS t,
-                  {S.norm_key("CASE WHEN p_size > 25 THEN p_brand ELSE 'Unknown' END")} AS a FROM part),
-     cat AS (SELECT p_partkey AS id, {S.norm_key('p_name')} AS t, {S.norm_key('p_brand')} AS a FROM part),
+WITH asked AS (SELECT p_partkey, {_asked_title('p_name')} AS title, CASE WHEN p_size > 25 THEN p_brand ELSE 'Unknown' END AS artist FROM part),
+     q AS (SELECT p_partkey, nullif({S.norm_key('title')}, '') AS t, {S.norm_key('artist')} AS a,
+                  list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS words FROM asked),
+     cat AS (SELECT p_partkey AS id, {S.norm_key('p_name')} AS t, {S.norm_key('p_brand')} AS a,
+                    list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS words FROM part),
      s1 AS (SELECT t, a, min(id) AS id FROM cat GROUP BY t, a),
      s2 AS (SELECT t, min(id) AS id FROM cat GROUP BY t),
      m AS (SELECT q.*, s1.id AS m1, s2.id AS m2 FROM q LEFT JOIN s1 ON s1.t = q.t AND s1.a = q.a LEFT JOIN s2 ON s2.t = q.t),
-     w AS (SELECT DISTINCT id, a, t, unnest(string_split(t, ' ')) AS tok FROM cat),
-     n AS (SELECT a, tok, count(*) AS n FROM w GROUP BY a, tok),
-     left_over AS (SELECT DISTINCT p_partkey, a, t, unnest(string_split(t, ' ')) AS tok FROM m
-                   WHERE m1 IS NULL AND m2 IS NULL AND a <> '' AND t IS NOT NULL),
-     r AS (SELECT p_partkey, a, t, tok FROM left_over JOIN n USING (a, tok)
-           QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY n, tok) = 1),
-     s3 AS (SELECT r.p_partkey, w.id FROM r JOIN w ON w.a = r.a AND w.tok = r.tok
-            QUALIFY row_number() OVER (PARTITION BY r.p_partkey ORDER BY
-              len(list_intersect(string_split(r.t, ' '), string_split(w.t, ' '))) DESC, w.id) = 1)
+     -- what is left meets every row of its artist
+     pairs AS (SELECT m.p_partkey, cat.id, len(m.words) AS n, len(list_intersect(m.words, cat.words)) AS shared
+               FROM m JOIN cat ON cat.a = m.a WHERE m1 IS NULL AND m2 IS NULL AND m.t IS NOT NULL AND m.a <> ''),
+     s3 AS (SELECT p_partkey, id FROM pairs WHERE shared > 0 AND 2 * shared >= n
+            QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY shared DESC, id) = 1)
 SELECT m.p_partkey, coalesce(m1, m2, s3.id) AS match_id,
        CASE WHEN m1 IS NOT NULL THEN 1 WHEN m2 IS NOT NULL THEN 2 WHEN s3.id IS NOT NULL THEN 3 END AS match_stage
 FROM m LEFT JOIN s3 ON s3.p_partkey = m.p_partkey
@@ -539,7 +537,7 @@ FROM m LEFT JOIN s3 ON s3.p_partkey = m.p_partkey
 def best_match(spark, sf):
     """requests = part names, some "(Remastered)" or without a letter, with
     the brand (large sizes) or "Unknown" as artist; catalog = part. Stage 1
-    exact name+artist, stage 2 name only, stage 3 tokens in common."""
+    exact name+artist, stage 2 name only, stage 3 most words in common."""
     p = table(spark, sf, "part")
     qs = p.select("p_partkey", F.expr(_asked_title("p_name")).alias("title"),
                   F.when(F.col("p_size") > 25, F.col("p_brand")).otherwise(F.lit("Unknown")).alias("artist"))
