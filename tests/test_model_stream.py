@@ -36,6 +36,7 @@ def test_train_score_save_load(spark):
     MD.save_models(models, path, {"feature_columns": feats})
     loaded, meta = MD.load_models(path)
     assert set(loaded) == set(models) and meta == {"feature_columns": feats}
+    assert MD.rounds_used(loaded) == {t: 3 for t in feats}
     out = MD.score(df.select("id", "a", "b"), loaded, feats, catalog_used=True).collect()
     assert len(out) == 80 and all(0.0 <= r["score_valence"] <= 1.0 for r in out)
     assert {r["valence_label"] for r in out} <= {"negative", "neutral", "positive"}
@@ -54,6 +55,33 @@ def test_unlabelled_and_unseen_rows_are_scored(spark):
         assert len(out) == 80 and {r["vibe_out"] for r in out} <= {"calm", "loud"}
 
 
+def test_models_are_versions_and_a_damaged_one_is_an_error(spark, tmp_dir):
+    import glob
+    path = os.path.join(tmp_dir, "m")
+    assert MD.load_models(path) == ({}, {})
+    df = songs(spark)
+    models = MD.train_models(df, {"valence": ["a", "b"], "vibe": ["a", "b"]}, dict(CFG, n_estimators=1))
+    assert set(models) == {"valence"}  # no vibes, and no energy to derive them from
+    MD.save_models(models, path, {"n": 1})
+    second = MD.save_models(models, path, {"n": 2})
+    assert second.endswith("version=2") and MD.load_models(path)[1] == {"n": 2}
+    os.remove(os.path.join(second, "metadata", "_SUCCESS"))           # a version that was never committed
+    loaded, meta = MD.load_models(path)
+    assert meta == {"n": 1} and set(loaded) == {"valence"}
+    for f in glob.glob(os.path.join(path, "version=1", "valence_model", "stages", "2_*", "data", "*.parquet")):
+        open(f, "r+b").truncate(10)
+    with pytest.raises(Exception):
+        MD.load_models(path)
+
+
+def test_a_split_for_validation_stops_the_trees(spark):
+    df = songs(spark, 300).withColumns({"valence": F.rand(1), "vibe": F.when(F.rand(2) < 0.5, "x").otherwise("y")})
+    cfg = dict(CFG, n_estimators=40)
+    models = MD.train_models(df, {"valence": ["a", "b"], "vibe": ["a", "b"]}, cfg, validation_pct=30)
+    used = MD.rounds_used(models)
+    assert 1 <= used["valence"] < 40 and 1 <= used["vibe"] < 40
+
+
 def test_rule_fallback(spark):
     df = spark.createDataFrame([(0.6, 120.0, 0.05)], "vader_compound double, tempo_bpm double, rms_mean double")
     r = MD.score(df, {}).first()

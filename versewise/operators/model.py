@@ -1,10 +1,10 @@
 """Training and batch scoring with Spark ML.
 
 Regressors are ``VectorAssembler -> StandardScaler -> GBTRegressor``; the
-8-class vibe model is ``OneVsRest(GBTClassifier)`` (Spark's boosted trees
-are binary), with class scores = softmax of the per-class margins. Tree
-fitting is distributed by Spark ML; scoring is a ``transform`` on a table,
-not a per-song call.
+8-class vibe model is one multinomial booster over Spark ML regression trees
+(see ``boosting``). With a share of the rows kept for validation the number of
+trees is an upper bound: fitting stops when they no longer gain. Tree fitting is
+distributed by Spark ML; scoring is a ``transform`` on a table, not a per-song call.
 """
 
 from __future__ import annotations
@@ -12,17 +12,19 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest
-from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versewise.functions import labels as L
+from versewise.operators import boosting
 from versewise.schema import MIN_LABELS_TO_TRAIN, MODEL_DEFAULTS, SMALL_MODEL_CAPS
+from versewise.session import checkpoint_dir
 
+#: Column that marks rows for validation while a model is fitted.
+VALIDATION = "_validation"
 
 PROFILES = ("default", "small")
 
@@ -47,31 +49,31 @@ def _front(features: list[str], prefix: str):
     return [va, sc]
 
 
-def make_regressor(features: list[str], label: str, cfg: dict, prefix: str) -> Pipeline:
-    """M1: scaled boosted-tree regressor predicting ``pred_<label>``."""
+def make_regressor(features: list[str], label: str, cfg: dict, prefix: str, validation: bool = False) -> Pipeline:
+    """M1: scaled boosted-tree regressor predicting ``pred_<label>``. With
+    ``validation`` the rows marked in ``VALIDATION`` tell when to stop."""
     gbt = GBTRegressor(featuresCol=f"{prefix}_x", labelCol=label, predictionCol=f"pred_{label}",
                        maxIter=cfg["n_estimators"], maxDepth=cfg["max_depth"], stepSize=cfg["learning_rate"],
-                       seed=cfg["random_state"])
+                       seed=cfg["random_state"], cacheNodeIds=cfg["max_depth"] > 5, checkpointInterval=boosting.CHECKPOINT)
+    if validation:
+        gbt = gbt.setValidationIndicatorCol(VALIDATION)
     return Pipeline(stages=[*_front(features, prefix), gbt])
 
 
-def fit_classifier(train: DataFrame, features: list[str], label: str, cfg: dict, prefix: str) -> PipelineModel:
-    """M2: scaling, one-vs-rest boosted trees, index -> label. The label index
-    is fitted apart and only its labels go into the model, so that scoring
-    needs no label column and keeps every row."""
-    index = StringIndexer(inputCol=label, outputCol=f"{prefix}_y", stringOrderType="alphabetAsc").fit(train)
-    gbt = GBTClassifier(maxIter=cfg["n_estimators"], maxDepth=cfg["max_depth"], stepSize=cfg["learning_rate"],
-                        seed=cfg["random_state"])
-    # the default raw-score column is kept: renaming it fails in OneVsRest
-    ovr = OneVsRest(classifier=gbt, featuresCol=f"{prefix}_x", labelCol=f"{prefix}_y",
-                    predictionCol=f"{prefix}_pred", parallelism=cfg.get("parallelism", 4))
-    back = IndexToString(inputCol=f"{prefix}_pred", outputCol=f"pred_{label}", labels=index.labels)
-    return Pipeline(stages=[*_front(features, prefix), ovr, back]).fit(index.transform(train))
+def fit_classifier(train: DataFrame, features: list[str], label: str, cfg: dict, validation: bool = False) -> boosting.BoostedClasses:
+    """M2: the multinomial booster over the classes of ``label``."""
+    return boosting.fit(train, features, label, cfg["n_estimators"], cfg["max_depth"], cfg["learning_rate"], cfg["random_state"],
+                        VALIDATION if validation else None, parallelism=cfg.get("parallelism", 8))
 
 
-def class_names(model: PipelineModel) -> list[str]:
+def class_names(model: boosting.BoostedClasses) -> list[str]:
     """Class names of a fitted vibe model in the order of its scores."""
-    return list(model.stages[-1].getLabels())
+    return list(model.classes)
+
+
+def rounds_used(models: dict) -> dict[str, int]:
+    """Boosting rounds of each fitted model."""
+    return {t: len(m.rounds) if t == "vibe" else int(m.stages[-1].getNumTrees) for t, m in models.items()}
 
 
 def label_counts(df: DataFrame, targets: list[str]) -> dict[str, int]:
@@ -81,48 +83,43 @@ def label_counts(df: DataFrame, targets: list[str]) -> dict[str, int]:
 
 
 def train_models(train: DataFrame, feature_cols: dict[str, list[str]], cfg: dict | None = None,
-                 profile: str = "default") -> dict[str, PipelineModel]:
+                 profile: str = "default", validation_pct: int = 0) -> dict[str, PipelineModel | boosting.BoostedClasses]:
     """M4: fit a regressor per numeric target and the vibe classifier, each
     only with >= 10 labels, each on its own labelled rows (T22). When vibes
     are scarce, or the column is absent, but both regressions have labels,
-    vibe is derived by J8."""
+    vibe is derived by J8. ``validation_pct`` of the rows, by the hash of their
+    features, tell each model when to stop; with 0 all trees are grown."""
+    checkpoint_dir(train.sparkSession)  # long fits write their state there
     numeric = [t for t in feature_cols if t != "vibe" and t in train.columns]
     if "vibe" in feature_cols and "vibe" not in train.columns:
         train = train.withColumn("vibe", F.lit(None).cast("string"))
     # every tree level is a pass over the input: keep it (memory, spilling
     # to disk; a lost block is recomputed from its lineage)
-    train = train.withColumns({t: F.when(L.has_number(t), F.col(t)) for t in numeric}).persist(StorageLevel.MEMORY_AND_DISK)
+    train = train.withColumns({t: F.when(L.has_number(t), F.col(t)) for t in numeric})
+    every = sorted({c for cols in feature_cols.values() for c in cols})
+    held = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in every]), F.lit(100)) < validation_pct
+    train = train.withColumn(VALIDATION, held).persist(StorageLevel.MEMORY_AND_DISK)
     counts = label_counts(train, [t for t in feature_cols if t in train.columns])
     cfg = model_config(cfg, profile)
-    models: dict[str, PipelineModel] = {}
+    models: dict[str, PipelineModel | boosting.BoostedClasses] = {}
     for t in numeric:
         if counts[t] >= MIN_LABELS_TO_TRAIN:
-            models[t] = make_regressor(feature_cols[t], t, cfg, t).fit(train.filter(F.col(t).isNotNull()))
+            models[t] = make_regressor(feature_cols[t], t, cfg, t, validation_pct > 0).fit(train.filter(F.col(t).isNotNull()))
     if "vibe" in feature_cols:
         tr, labelled = train, counts["vibe"]
         if labelled < MIN_LABELS_TO_TRAIN and "valence" in models and "energy" in models:
             tr = train.withColumn("vibe", L.nearest_anchor("valence", "energy"))
             labelled = tr.filter(F.col("vibe").isNotNull()).count()
         if labelled >= MIN_LABELS_TO_TRAIN:
-            models["vibe"] = fit_classifier(tr.filter(F.col("vibe").isNotNull()), feature_cols["vibe"], "vibe", cfg, "vibe")
+            models["vibe"] = fit_classifier(tr.filter(F.col("vibe").isNotNull()), feature_cols["vibe"], "vibe", cfg, validation_pct > 0)
     train.unpersist()
     return models
 
 
-def softmax_scores(raw: Column, classes: list[str]) -> Column:
-    """Class scores as a map: softmax of the one-vs-rest margins, whose order
-    is that of ``classes`` (see ``class_names``)."""
-    arr = vector_to_array(raw)
-    mx = F.array_max(arr)
-    ex = F.transform(arr, lambda x: F.exp(x - mx))
-    tot = F.aggregate(ex, F.lit(0.0), lambda a, x: a + x)
-    return F.map_from_arrays(F.array(*[F.lit(c) for c in classes]), F.transform(ex, lambda x: x / tot))
-
-
 NUMERIC_TARGETS = ("valence", "energy", "tempo")
 
 
-def score(df: DataFrame, models: dict[str, PipelineModel], feature_cols: dict[str, list[str]] | None = None,
+def score(df: DataFrame, models: dict, feature_cols: dict[str, list[str]] | None = None,
           catalog_used: bool = False, audio_used: bool = False) -> DataFrame:
     """M5: batch scoring with fallbacks (X18 rule scores, J8 vibe), labels
     (X13), clipping and rounding (X14), sorted class scores (O3) and the flags
@@ -141,8 +138,8 @@ def score(df: DataFrame, models: dict[str, PipelineModel], feature_cols: dict[st
     e = L.clip01("pred_energy") if "energy" in models else L.rule_energy(num("tempo_bpm"), num("rms_mean"))
     out = out.withColumns({"_v": v, "_e": e})
     if "vibe" in models:
-        out = models["vibe"].transform(out).withColumnRenamed("rawPrediction", "vibe_raw_scores")
-        scores = softmax_scores(F.col("vibe_raw_scores"), class_names(models["vibe"]))
+        out = models["vibe"].transform(out, "pred_vibe", "vibe_p")
+        scores = F.map_from_arrays(F.array(*[F.lit(c) for c in class_names(models["vibe"])]), F.col("vibe_p"))
         out = out.withColumns({"vibe_out": F.col("pred_vibe"), "vibe_scores": L.sorted_scores(scores)})
     else:
         nv = L.nearest_anchor("_v", "_e")
@@ -157,32 +154,49 @@ def score(df: DataFrame, models: dict[str, PipelineModel], feature_cols: dict[st
     })
     if "tempo" in models:
         res = res.withColumns({"score_tempo": F.round("pred_tempo", 3), "raw_tempo": F.col("pred_tempo")})
-    drop = [c for c in res.columns if c in ("vibe_raw", "vibe_x", "vibe_pred", "vibe_raw_scores")] + ["_v", "_e"]
+    drop = [c for c in res.columns if c == "vibe_p"] + ["_v", "_e"]
     return res.drop(*drop)
 
 
-def save_models(models: dict[str, PipelineModel], path: str, meta: dict) -> None:
-    """One Spark ML directory per target plus a JSON metadata table."""
-    for t, m in models.items():
-        m.write().overwrite().save(f"{path}/{t}_model")
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite") \
-        .text(f"{path}/metadata")
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions under ``path``: those whose metadata, written last, is complete."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName() for st in fs.listStatus(root)] if fs.exists(root) else []
+    found = [int(n.split("=", 1)[1]) for n in names if n.startswith("version=") and n.split("=", 1)[1].isdigit()]
+    return sorted(v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/version={v}/metadata/_SUCCESS")))
 
 
-def load_models(path: str, targets=(*NUMERIC_TARGETS, "vibe")) -> tuple[dict[str, PipelineModel], dict]:
-    """A missing model comes back absent, so scoring falls back to rules."""
-    from pyspark.sql import SparkSession
+def save_models(models: dict, path: str, meta: dict) -> str:
+    """A new version of the models: a folder a target and, last, a JSON
+    metadata table that names them, whose presence commits the version. Earlier
+    versions stay. The folder of the version is returned."""
+    spark = SparkSession.getActiveSession()
+    version = f"{path}/version={max(_versions(spark, path), default=0) + 1}"
+    for t, m in models.items():
+        if isinstance(m, boosting.BoostedClasses):
+            spark.createDataFrame([(m.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{version}/{t}_model")
+        else:
+            m.write().overwrite().save(f"{version}/{t}_model")
+    spark.createDataFrame([(json.dumps({"meta": meta, "models": sorted(models)}),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{version}/metadata")
+    return version
+
+
+def load_models(path: str, targets=(*NUMERIC_TARGETS, "vibe")) -> tuple[dict, dict]:
+    """The newest committed version. A target that it doesn't name is
+    absent, so scoring falls back to rules; one that it names but that can't be
+    read is an error, never a fallback."""
     spark = SparkSession.getActiveSession()
+    versions = _versions(spark, path)
+    if not versions:
+        return {}, {}
+    version = f"{path}/version={versions[-1]}"
+    about = json.loads(spark.read.text(f"{version}/metadata").first()[0])
     models = {}
     for t in targets:
-        try:
-            models[t] = PipelineModel.load(f"{path}/{t}_model")
-        except Exception:  # noqa: BLE001 - absent model -> rule fallback
-            continue
-    try:
-        meta = json.loads(spark.read.text(f"{path}/metadata").first()[0])
-    except Exception:  # noqa: BLE001
-        meta = {}
-    return models, meta
+        if t in about["models"]:
+            models[t] = (boosting.BoostedClasses.from_json(spark.read.text(f"{version}/{t}_model").first()[0]) if t == "vibe"
+                         else PipelineModel.load(f"{version}/{t}_model"))
+    return models, about["meta"]

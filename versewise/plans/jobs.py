@@ -234,7 +234,7 @@ def evaluation_tables(preds: DataFrame, targets: list[str]) -> dict[str, DataFra
 def train_evaluate_job(spark: SparkSession, data: DataFrame, model_dir: str, train_size: int | None = None,
                        test_size: int | None = None, include_spotify: bool = True, seed: int = 42,
                        cfg: dict | None = None, lexicon=None, profile: str = "default",
-                       audio: DataFrame | None = None, leak_guard: bool = False) -> dict:
+                       audio: DataFrame | None = None, leak_guard: bool = False, validation_pct: int = 0) -> dict:
     """M6/M7: labelled songs -> exact split (W6) -> feature table (X25) ->
     per-target models (M1-M4) -> predictions with and without the catalog
     features (F11) -> metric tables (A4-A8, A10), split and feature tables
@@ -264,7 +264,7 @@ def train_evaluate_job(spark: SparkSession, data: DataFrame, model_dir: str, tra
     if "tempo" not in feats.columns:
         cols.pop("tempo")
     train, test = feats.filter(F.col("split") == "train"), feats.filter(F.col("split") == "test")
-    models = MD.train_models(train, cols, cfg, profile)
+    models = MD.train_models(train, cols, cfg, profile, validation_pct)
     variants = _variants(test, models, cols, include_spotify)
     targets = ["valence", "energy", *(["tempo"] if "tempo" in models else [])]
     preds = variants.select("id", "variant", "vibe", *targets, *[F.col(f"raw_{t}").alias(f"pred_{t}") for t in targets],
@@ -275,8 +275,8 @@ def train_evaluate_job(spark: SparkSession, data: DataFrame, model_dir: str, tra
     for name, t in tables.items():
         SG.write_table(t, f"{model_dir}/{name}")
     MD.save_models(models, model_dir, {"feature_columns": cols, "include_spotify_features": include_spotify,
-                                      "model_config_used": MD.model_config(cfg, profile)})
-    out = {"train_songs": train_size, "test_songs": test_size}
+                                      "model_config_used": MD.model_config(cfg, profile), "rounds": MD.rounds_used(models)})
+    out = {"train_songs": train_size, "test_songs": test_size} | {f"{t}_rounds": n for t, n in MD.rounds_used(models).items()}
     for r in tables["regression"].collect():
         out[f"{r['target']}_mae_{r['variant']}"] = r["mae"]
         out[f"{r['target']}_r2_{r['variant']}"] = r["r2"]
@@ -286,7 +286,7 @@ def train_evaluate_job(spark: SparkSession, data: DataFrame, model_dir: str, tra
 
 
 def train_job(spark: SparkSession, csv_path: str, model_dir: str, cfg: dict | None = None, lexicon=None,
-              profile: str = "default", test_pct: int = 20, seed: int = 42) -> dict:
+              profile: str = "default", test_pct: int = 20, seed: int = 42, validation_pct: int = 0) -> dict:
     """M8: a labelled CSV -> feature table -> models for every target with
     enough labels (M4), fitted on 80 % and reported on the held-out rest ->
     saved models (S15)."""
@@ -305,8 +305,9 @@ def train_job(spark: SparkSession, csv_path: str, model_dir: str, cfg: dict | No
     SG.write_table(feats, f"{model_dir}/features", partition_by=["split"])
     feats = spark.read.parquet(f"{model_dir}/features")
     cols = {t: feature_cols_for_target(t) for t in ("valence", "energy", "vibe") if t == "vibe" or t in feats.columns}
-    models = MD.train_models(feats.filter("split = 'train'"), cols, cfg, profile)
-    MD.save_models(models, model_dir, {"feature_columns": cols, "model_config_used": MD.model_config(cfg, profile)})
+    models = MD.train_models(feats.filter("split = 'train'"), cols, cfg, profile, validation_pct)
+    MD.save_models(models, model_dir, {"feature_columns": cols, "model_config_used": MD.model_config(cfg, profile),
+                                      "rounds": MD.rounds_used(models)})
     test = feats.filter("split = 'test'")
     out = {"samples": feats.count(), "models": sorted(models)}
     scored = MD.score(test, models, cols)
