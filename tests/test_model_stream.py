@@ -109,19 +109,44 @@ def test_a_batch_rewrites_touched_buckets_only(spark, tmp_dir):
     table = os.path.join(tmp_dir, "table")
     merge = ST.merge_batch(table, ["k"], ["pos"], buckets=8)
     first = spark.createDataFrame([(i, 1, "a") for i in range(100)], schema)
+    log = ST.SnapshotLog(spark, table)
+    assert log.newest() == (-1, {}) and ST.read_upserted(spark, table, first.schema).collect() == []
+    merge(first.limit(0), 0)                                            # a batch without rows makes no version
     merge(first, 0)
-    before = ST._bucket_epochs(spark, table)
-    assert set(before) == set(range(8)) and all(e == [0] for e in before.values())
+    epoch, before = log.newest()
+    assert epoch == 0 and set(before) == set(range(8))
     merge(spark.createDataFrame([(5, 2, "new")], schema), 1)
-    after = ST._bucket_epochs(spark, table)
-    assert sum(e == [0, 1] for e in after.values()) == 1 and sum(e == [0] for e in after.values()) == 7
-    merge(spark.createDataFrame([(5, 2, "new")], schema), 1)       # a retried epoch changes nothing
-    merge(spark.createDataFrame([(5, 3, "new")], schema), 2)
-    assert [0, 1] not in ST._bucket_epochs(spark, table).values() and [1, 2] in ST._bucket_epochs(spark, table).values()
+    after = log.newest()[1]
+    assert sum(after[b] != before[b] for b in range(8)) == 1
+    merge(spark.createDataFrame([(5, 9, "retried")], schema), 1)       # an epoch that was committed isn't merged again
+    assert log.newest() == (1, after)
     got = {r["k"]: r["v"] for r in ST.read_upserted(spark, table, first.schema).collect()}
     assert len(got) == 100 and got[5] == "new" and got[6] == "a"
 
 
+def test_a_reader_sees_one_version_while_merges_go_on(spark, tmp_dir):
+    schema = "k int, pos int, v string"
+    table = os.path.join(tmp_dir, "table")
+    merge = ST.merge_batch(table, ["k"], ["pos"], buckets=4, retain=2)
+    every = lambda e: spark.createDataFrame([(i, e, f"v{e}") for i in range(50)], schema)
+    merge(every(0), 0)
+    reader = ST.read_upserted(spark, table, every(0).schema)             # resolved now, read later
+    merge(every(1), 1)
+    assert {r["v"] for r in reader.collect()} == {"v0"}
+    between = ST.read_upserted(spark, table, every(0).schema)
+    merge(every(2).filter("k < 3"), 2)
+    assert {r["v"] for r in between.collect()} == {"v1"} and between.count() == 50
+    assert {r["v"] for r in ST.read_upserted(spark, table, every(0).schema, epoch=1).collect()} == {"v1"}
+    log = ST.SnapshotLog(spark, table)
+    assert log.epochs() == [1, 2]
+    # what no retained manifest names is gone, and so is what an attempt left behind
+    os.makedirs(os.path.join(table, "data", "2-dead", "bucket=0"))
+    merge(every(3), 3)
+    named = {f for e in log.epochs() for f in log.read(e).values()}
+    on_disk = {f"data/{d}/{b}" for d in os.listdir(os.path.join(table, "data")) for b in os.listdir(os.path.join(table, "data", d)) if b.startswith("bucket=")}
+    assert on_disk == named and {r["v"] for r in ST.read_upserted(spark, table, every(0).schema).collect()} == {"v3"}
+
+
 def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
     from versewise import session
 

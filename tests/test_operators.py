@@ -189,8 +189,7 @@ def test_feature_table_order(spark):
 def test_text_functions_stay_in_jvm(spark):
     df = spark.createDataFrame([(1, "some words")], "id int, lyrics string")
     plan = FT.lyrics_features(df, "lyrics")._jdf.queryExecution().executedPlan().toString()
-    # one Arrow UDF (sentiment); the rest stays in the JVM
-    assert plan.count("ArrowEvalPython") == 1 and "BatchEvalPython" not in plan
+    assert "Python" not in plan
 
 
 def test_nearest_anchor_has_no_exchange(spark):
@@ -207,6 +206,68 @@ def test_keep_first_aggregates_before_shuffle(spark):
     assert ["partial" in ln for ln in lines] == [False, False, True] and "Exchange" in lines[1] and "SortAggregate" in lines[0]
 
 
+def plain_sentiment(toks, lex, negators, boosters):
+    """The look-back rule token by token."""
+    s = pos = neg = 0.0
+    hits = 0
+    for i, t in enumerate(toks or []):
+        v = lex.get(t, 0.0)
+        if not v:
+            continue
+        before = toks[max(0, i - 3):i][::-1]
+        v += (1 if v > 0 else -1) * sum(boosters.get(p, 0.0) * f for p, f in zip(before, (1.0, 0.95, 0.9)))
+        if set(before) & set(negators):
+            v *= -0.74
+        hits, s, pos, neg = hits + (v != 0), s + v, pos + (v + 1 if v > 0 else 0), neg + (v - 1 if v < 0 else 0)
+    total = pos + abs(neg) + len(toks or []) - hits
+    share = [round(abs(x / total), 3) if total > 0 else 0.0 for x in (pos, neg, len(toks or []) - hits)]
+    return (round(s / (s * s + 15) ** 0.5, 4) + 0.0, *share)
+
+
+def test_sentiment_against_a_plain_look_back(spark):
+    import random
+    r = random.Random(3)
+    lex = {"love": 3.2, "lov": -1.0, "loves": 1.1, "sad": -2.1, "sadly": -1.7, "don't": -0.4, "so": 0.9, "zero": 0.0, "fine": 0.293, "ok": -0.293, "a b": 5.0}
+    boosters = {k: v for k, v in FT.DEFAULT_BOOSTERS.items() if k not in lex}
+    words = [*lex, "not", "never", "very", "slightly", "such", "x", "lo", "lovesick", "night", "'", "without", "barely"]
+    words.remove("a b")
+    rows = [(i, [r.choice(words[:int(2 + r.random() * len(words))]) for _ in range(r.randint(0, 25))]) for i in range(300)] + [(900, None), (901, []), (902, ["love"] * 5000)]
+    df = spark.createDataFrame(rows, "id int, toks array<string>")
+    got = {x["id"]: tuple(x[1:]) for x in FT.with_sentiment(df, "toks", lex).drop("toks").collect()}
+    for i, toks in rows:
+        assert got[i] == pytest.approx(plain_sentiment(toks, lex, FT.DEFAULT_NEGATORS, boosters), abs=1.1e-3), (i, toks)
+    none = FT.with_sentiment(df, "toks", {}).filter("id = 902").first()
+    assert (none["vader_compound"], none["vader_neu"]) == (0.0, 1.0)
+
+
+def test_words_pattern_is_the_words():
+    import re
+    words = ["a", "ab", "abc", "b'c", "b.c", "x", "xyz"]
+    p = re.compile(FT.words_pattern(words))
+    assert [w for w in [*words, "", "abcd", "bxc", "xy", "b"] if p.fullmatch(w)] == words
+
+
+def test_share_join_against_all_pairs(spark):
+    import random
+    from versewise.operators import joins as J
+    r = random.Random(5)
+    words = [f"w{int(20 * r.random() ** 2)}" for _ in range(60)]
+    title = lambda k: sorted({r.choice(words) for _ in range(r.randint(0, k))})
+    known = [(i, r.choice("ab"), title(7)) for i in range(300)]
+    asked = [(r.choice("abc"), title(6)) for _ in range(200)]
+    k = spark.createDataFrame(known, "id int, group string, tokens array<string>")
+    a = spark.createDataFrame(asked, "group string, tokens array<string>")
+    for share in (0.3, 0.5, 0.8, 1.0):
+        want = {}
+        for g, t in asked:
+            rows = [(-len(set(t) & set(u)), i) for i, h, u in known if h == g and set(t) & set(u) and len(set(t) & set(u)) >= share * len(t) - 1e-9]
+            if rows:
+                want[g, tuple(t)] = min(rows)[1]
+        for rows in (10_000, 5):  # lists whole and in parts
+            got = {(x["group"], tuple(x["tokens"])): x["id"] for x in J.share_join(a, k, share, rows).collect()}
+            assert got == want
+
+
 def test_tokens_helper_words(spark):
     assert X.word_pattern(["a", "ab"], X.TOKEN_CLASS).startswith("(?<![a-z'])(?:ab|a)")
 

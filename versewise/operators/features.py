@@ -2,9 +2,8 @@
 (X1-X7, W5, A12, X24, X25, F11-F13).
 
 Every text feature is a Column expression over the row's own text, so the
-whole feature table is one narrow projection (no shuffle, whole-stage
-codegen). Python runs only in the optional model scorer slot of X7, in
-Arrow batches.
+whole feature table is one narrow projection (no shuffle, no Python).
+Python runs only in the optional model scorer slot of X7, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -35,8 +34,8 @@ DEFAULT_NEGATORS = ["not", "no", "never", "nothing", "nobody", "none", "nor", "n
 DEFAULT_BOOSTERS = {"absolutely": BOOST, "completely": BOOST, "extremely": BOOST, "really": BOOST, "so": BOOST,
                     "such": BOOST, "totally": BOOST, "very": BOOST, "almost": -BOOST, "barely": -BOOST,
                     "hardly": -BOOST, "partly": -BOOST, "slightly": -BOOST, "somewhat": -BOOST}
-#: Words a lexicon may have: it goes to every task, so its size is checked.
-MAX_LEXICON_WORDS = 1_000_000
+#: Words a lexicon may have: it is part of the plan, so its size is checked.
+MAX_LEXICON_WORDS = 100_000
 
 
 def lexicon_dict(lexicon) -> dict[str, float]:
@@ -50,42 +49,97 @@ def lexicon_dict(lexicon) -> dict[str, float]:
     return {k: float(v) for k, v in lexicon.items()}
 
 
-def sentiment_sums(lexicon: dict[str, float], negators=DEFAULT_NEGATORS, boosters=None):
-    """Arrow UDF over token arrays: sum of valences, positive and negative
-    sums (each hit counts one more), number of neutral tokens. A token costs
-    one hash look-up, whatever the size of the lexicon."""
-    lex = {k: v for k, v in lexicon.items() if v}
-    neg = frozenset(negators)
+def words_pattern(words) -> str:
+    """A regex for any of the words that shares their beginnings, so that a
+    text position costs a step a letter and not one a word."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for ch in w:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        # the longer word first; the boundary after it decides
+        ways = [("" if ch.isalnum() else "\\") + ch + pattern(sub) for ch, sub in sorted(node.items()) if ch]
+        if not ways:
+            return ""
+        body = ways[0] if len(ways) == 1 else "|".join(ways)
+        return f"(?:{body})?" if "" in node else f"(?:{body})" if len(ways) > 1 else body
+
+    return pattern(tree)
+
+
+def looked_up(word: Column, table: dict[str, float]) -> Column:
+    """Value of a word of ``table``: a binary search in its sorted words, as a
+    map column is searched from its beginning."""
+    words = sorted(table, key=lambda w: w.encode())
+    keys, values = F.array(*[F.lit(w) for w in words]), F.array(*[F.lit(table[w]) for w in words])
+    steps = F.array(*[F.lit(1 << b) for b in range(len(words).bit_length() - 1, -1, -1)])
+    # how many words are not above it; beyond the last one get() is null and the step isn't taken
+    upto = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(F.get(keys, at + s - 1) <= word, s).otherwise(F.lit(0)))
+    return F.get(values, upto - 1)
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, as a lambda's variable."""
+    return F.transform(F.array(value), body)[0]
+
+
+def sentiment_sums(toks: Column, lexicon: dict[str, float], negators=DEFAULT_NEGATORS, boosters=None) -> Column:
+    """struct<s, pos, neg, neu>: sum of valences, positive and negative sums
+    (each hit counts one more), number of neutral tokens.
+
+    The tokens, joined by spaces, are cut at the lexicon's words by one regex;
+    each word found looks back on the three tokens before it, which are in the
+    pieces since the third word before it. So lambdas run a word found, not a
+    token. A token holds no space."""
+    lex = {k: v for k, v in lexicon.items() if v and k and " " not in k}
     boost = {k: v for k, v in (DEFAULT_BOOSTERS if boosters is None else boosters).items() if k not in lexicon}
-
-    def one(toks) -> tuple[float, float, float, float]:
-        total = up = down = 0.0
-        hits = 0
-        toks = [] if toks is None else toks
-        for i, t in enumerate(toks):
-            v = lex.get(t)
-            if v is None:
-                continue
-            before = toks[max(0, i - 3):i][::-1]
-            sign = 1.0 if v > 0 else -1.0
-            v += sign * sum(boost.get(p, 0.0) * f for p, f in zip(before, BOOST_FADE))
-            if any(p in neg for p in before):
-                v *= NEGATION_SCALAR
-            if v == 0:
-                continue
-            hits += 1
-            total += v
-            if v > 0:
-                up += v + 1
-            else:
-                down += v - 1
-        return total, up, down, float(len(toks) - hits)
-
-    @F.pandas_udf("s double, pos double, neg double, neu double")
-    def sums(toks: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in toks], columns=["s", "pos", "neg", "neu"])
-
-    return sums
+    n = F.size(F.coalesce(toks, F.array().cast("array<string>"))).cast("double")
+    if not lex:
+        return F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), n.alias("neu"))
+    found = f"(?<![^ ])(?:{words_pattern(lex)})(?![^ ])"
+    joined = F.coalesce(F.array_join(toks, " "), F.lit(""))
+
+    def valence(word: Column, before: Column) -> Column:
+        def boosted(v: Column) -> Column:
+            up = F.lit(0.0)
+            for k, fade in enumerate(BOOST_FADE):
+                up = up + (F.coalesce(looked_up_exactly(F.get(before, F.size(before) - 1 - k), boost), F.lit(0.0)) * F.lit(fade))
+            return v + F.signum(v) * up
+        negated = F.arrays_overlap(before, F.array(*[F.lit(w) for w in negators])) if negators else F.lit(False)
+        return _once(looked_up(word, lex), lambda v: boosted(v) * F.when(negated, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0)))
+
+    def sums(hits: Column, gaps: Column) -> Column:
+        def part(a: Column, i: Column) -> Column:
+            return F.coalesce(F.get(a, i), F.lit(""))
+
+        def before(j: Column) -> Column:
+            text = F.concat(part(hits, j - 3), part(gaps, j - 2), part(hits, j - 2), part(gaps, j - 1), part(hits, j - 1), part(gaps, j))
+            return F.split(F.substring_index(F.trim(text), " ", -3), " ")
+
+        values = F.transform(hits, lambda h, j: _once(before(j), lambda b: valence(h, b)))
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0.0).alias("hits"))
+        return F.aggregate(values, zero, lambda a, v: F.struct(
+            (a["s"] + v).alias("s"), (a["pos"] + F.when(v > 0, v + 1).otherwise(F.lit(0.0))).alias("pos"),
+            (a["neg"] + F.when(v < 0, v - 1).otherwise(F.lit(0.0))).alias("neg"),
+            (a["hits"] + F.when(v != 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("hits")))
+
+    def all_of(text: Column) -> Column:
+        cut = F.struct(F.regexp_extract_all(text, F.lit(found), 0).alias("hits"), F.split(text, found, -1).alias("gaps"))
+        return _once(cut, lambda c: sums(c["hits"], c["gaps"]))
+
+    total = _once(joined, all_of)
+    return _once(total, lambda r: F.struct(r["s"].alias("s"), r["pos"].alias("pos"), r["neg"].alias("neg"), (n - r["hits"]).alias("neu")))
+
+
+def looked_up_exactly(word: Column, table: dict[str, float]) -> Column:
+    """Value of a word in a short table, null if it isn't there."""
+    out = F.lit(None).cast("double")
+    for value in sorted(set(table.values())):
+        out = F.when(word.isin(*[w for w, v in table.items() if v == value]), F.lit(value)).otherwise(out)
+    return out
 
 
 def sentiment_scores(sums: str) -> dict[str, Column]:
@@ -105,8 +159,8 @@ def sentiment_scores(sums: str) -> dict[str, Column]:
 def with_sentiment(df: DataFrame, toks: str, lexicon, negators=DEFAULT_NEGATORS, boosters=None) -> DataFrame:
     """X6b as columns, one way for every lexicon size: no shuffle, no id, and
     streams take it too."""
-    sums = sentiment_sums(lexicon_dict(lexicon), negators, boosters)
-    return df.withColumn("_sent", sums(F.col(toks))).withColumns(sentiment_scores("_sent")).drop("_sent")
+    sums = sentiment_sums(F.col(toks), lexicon_dict(lexicon), negators, boosters)
+    return df.withColumn("_sent", sums).withColumns(sentiment_scores("_sent")).drop("_sent")
 
 
 def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon=None, on_empty: str = "error") -> DataFrame:
@@ -120,7 +174,7 @@ def lyrics_features(df: DataFrame, text_col: str = "lyrics", lexicon=None, on_em
     df = df.withColumn("_clean", clean)
     empty = F.length("_clean") == 0
     if on_empty == "error":
-        df = df.withColumn("_clean", F.when(empty, F.raise_error(F.lit("Lyrics text is empty")))
+        df = df.withColumn("_clean", F.when(empty, F.raise_error(F.lit("a row has no words left after cleaning")))
                            .otherwise(F.col("_clean")))
     elif on_empty == "drop":
         df = df.filter(~empty)

@@ -63,7 +63,7 @@ def filter_complete_rows(df: DataFrame, require_audio_file: bool = False,
     """usable lyrics and music data."""
     missing = {"artist", "title"} - set(df.columns)
     if missing:
-        raise ValueError("Dataset must include 'artist' and 'title' columns")
+        raise ValueError(f"complete rows need names; missing: {sorted(missing)}")
     return df.filter(X.has_usable_lyrics("lyrics")
                      & has_music_data(df, require_audio_file, audio_exists))
 
