@@ -148,6 +148,23 @@ def resume_pending(wanted: DataFrame, existing: DataFrame) -> DataFrame:
         .drop("artist_key", "title_key")
 
 
+def store_tracks(df: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """The rows with both names as a table bucketed and sorted by track key
+    (``artist_key``, ``title_key``), under ``path``: what joins it by that key
+    reads it as it lies."""
+    rows = with_track_key(df.filter(F.col("artist").isNotNull() & F.col("title").isNotNull()))
+    (rows.repartition(buckets, "artist_key", "title_key").write.bucketBy(buckets, "artist_key", "title_key")
+     .sortBy("artist_key", "title_key").option("path", path).mode("overwrite").saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+def resume_from_store(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """J2 against a table of :func:`store_tracks`: only the wanted rows are
+    shuffled, to the stored table's buckets. An anti join needs no distinct keys."""
+    return (with_track_key(wanted).join(stored.select("artist_key", "title_key"), ["artist_key", "title_key"], "left_anti")
+            .drop("artist_key", "title_key"))
+
+
 def lookup_outcomes(tracks: DataFrame, table: DataFrame, pos_col: str,
                     info: DataFrame | None = None, skip_existing: bool = True) -> DataFrame:
     """Each listed track against the last stored row per key:

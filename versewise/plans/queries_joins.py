@@ -9,7 +9,8 @@ from versewise.functions import text as X
 from versewise.operators import dedupe as D
 from versewise.operators import joins as J
 from versewise.plans import sqltext as S
-from versewise.plans.queries import query, r6
+from versewise.plans.queries import REGISTRY, query, r6
+from versewise.session import scratch_path
 from versewise.sources.tables import catalog_from_part, table
 
 # --------------------------------------------------------------------------
@@ -187,6 +188,13 @@ def resume_anti(spark, sf):
     return J.resume_pending(_wanted(spark, sf), _stored(spark, sf))
 
 
+@query("resume_bucketed", REGISTRY["resume_anti"][1])
+def resume_bucketed(spark, sf):
+    """J2 + S5 on a stored table bucketed by track key."""
+    path = scratch_path(spark, "stored-tracks")
+    return J.resume_from_store(_wanted(spark, sf), J.store_tracks(_stored(spark, sf), "tracks_" + path.rsplit("-", 1)[1], path, 16))
+
+
 @query("fetch_summary", f"""
 WITH w AS (SELECT c_custkey, {_tk('c_mktsegment', 'c_name')} FROM customer),
      e AS (SELECT DISTINCT {_tk('artist', 'title')} FROM ({STORED_SQL})),

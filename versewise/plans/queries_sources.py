@@ -37,6 +37,32 @@ def songs_csv(spark, sf):
                        r6(F.col("valence").cast("double")).alias("valence"))
 
 
+@query("song_rejects", """
+WITH r AS (SELECT c_custkey, round(c_acctbal, 2) AS valence,
+                  CASE WHEN c_custkey % 7 = 0 THEN 'wrong number' WHEN c_custkey % 11 = 0 THEN 'too many' WHEN c_custkey % 13 = 0 THEN 'too few'
+                       WHEN c_custkey % 3 = 0 THEN 'missing' ELSE 'good' END AS kind FROM customer)
+SELECT kind NOT IN ('good', 'missing') AS rejected, count(*) AS n, count(CASE WHEN kind = 'good' THEN 1 END) AS with_valence,
+       sum(c_custkey)::BIGINT AS ids, round(sum(CASE WHEN kind = 'good' THEN valence ELSE 0 END)::DOUBLE, 2) AS valence FROM r GROUP BY 1
+""")
+def song_rejects(spark, sf):
+    """A CSV in which some rows have a cell too many or too few or a cell
+    that is no number; every row is a song or a reject."""
+    k, bal = F.col("c_custkey"), F.round("c_acctbal", 2).cast("decimal(12,2)").cast("string")
+    head = F.concat_ws(",", k, F.concat(F.lit('"'), "c_name", F.lit(', the\n""first""\"')))
+    line = (F.when(k % 7 == 0, F.concat_ws(",", head, F.lit("n.a. yet"))).when(k % 11 == 0, F.concat_ws(",", head, bal, F.lit("x")))
+            .when(k % 13 == 0, head).when(k % 3 == 0, F.concat_ws(",", head, F.lit("NaN"))).otherwise(F.concat_ws(",", head, bal)))
+    path = scratch_path(spark, "csv-lines")
+    rows = table(spark, sf, "customer").select(line.alias("value"))
+    rows.write.option("lineSep", "\n").text(path)
+    schema = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("title", T.StringType()), T.StructField("valence", T.DoubleType())])
+    good, bad = SG.read_song_csv_checked(spark, path, schema, header=False)
+    key = F.regexp_extract("line", "^([0-9]+),", 1).cast("long")
+    every = good.select(F.lit(False).alias("rejected"), "c_custkey", "valence").unionByName(
+        bad.select(F.lit(True).alias("rejected"), key.alias("c_custkey"), F.lit(None).cast("double").alias("valence")))
+    return every.groupBy("rejected").agg(F.count(F.lit(1)).alias("n"), F.count("valence").alias("with_valence"), F.sum("c_custkey").alias("ids"),
+                                         F.round(F.coalesce(F.sum("valence"), F.lit(0.0)), 2).alias("valence"))
+
+
 @query("split_tables", """
 SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang
 """)

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from versewise.functions import text as X
+from versewise.session import stage_table
 
 # pandas-style missing spellings a CSV may carry (T1); callers may keep
 # "NA" or "None" as real names by passing their own list.
@@ -31,6 +32,29 @@ def read_song_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     return df.withColumns(fix)
 
 
+def read_song_csv_checked(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                          na_tokens: list[str] | None = None, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1 with a channel for rows that don't fit: (songs, rejects). A row with
+    too few or too many cells, or with a cell that isn't of its column's type,
+    goes to ``rejects`` as ``line``, its text; every row of the files is in one
+    of the two. Without a schema all columns are text, named by the header. The
+    rows are parsed once and written."""
+    toks = CSV_NA_TOKENS if na_tokens is None else na_tokens
+    r = spark.read.option("header", header).option("multiLine", True).option("escape", '"')
+    wanted = schema or r.csv(path).schema
+    # numbers are read as text first: a spelling of "missing" isn't an error
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields] + [T.StructField("_line", T.StringType())])
+    rows = stage_table(r.schema(text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path), "csv-rows")
+    cells = {f.name: F.when(~F.col(f"`{f.name}`").isin(*toks), F.col(f"`{f.name}`")) for f in wanted.fields}
+    typed = {f.name: cells[f.name] if isinstance(f.dataType, T.StringType) else cells[f.name].try_cast(f.dataType) for f in wanted.fields}
+    wrong = F.col("_line").isNotNull()
+    for f in wanted.fields:
+        wrong = wrong | (cells[f.name].isNotNull() & typed[f.name].isNull())
+    line = F.coalesce(F.col("_line"), F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in wanted.fields])))
+    return (rows.filter(~wrong).select(*[typed[f.name].alias(f.name) for f in wanted.fields]),
+            rows.filter(wrong).select(line.alias("line")))
+
+
 def require_columns(df: DataFrame, required, what: str = "Dataset") -> None:
     """Raise when a required column is absent (no job runs)."""
     missing = set(required) - set(df.columns)
@@ -62,11 +86,26 @@ def parse_track_line(line: Column) -> Column:
     return F.when(ok, F.struct(artist.alias("artist"), title.alias("title")))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: file, pos (from 0 in each file),
+    value. Files are read in splits, as large as the session makes them; a split's
+    lines are counted, the counts summed up along the file, and a line's place is
+    the sum before its split and its place in it. Row numbers are consecutive
+    within a task, so no line moves; the lines are written first, so that all
+    steps see the same splits."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                         F.monotonically_increasing_id().alias("row"), "value")
+    lines = stage_table(lines, "lines")
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    # a row a split: the window holds a file's splits, not its lines
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    starts = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("row") + F.col("shift")).alias("pos"), "value")
+
+
 def read_track_list(spark: SparkSession, path: str) -> DataFrame:
     """One track per line with its (file, line) position."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
-    lines = lines.withColumn("pos", F.col("pos").cast("long"))
-    t = lines.select("file", "pos", parse_track_line(F.col("value")).alias("t")).filter("t IS NOT NULL")
+    t = numbered_lines(spark, path).select("file", "pos", parse_track_line(F.col("value")).alias("t")).filter("t IS NOT NULL")
     return t.select("file", "pos", "t.artist", "t.title")
 
 
