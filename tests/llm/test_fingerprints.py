@@ -14,12 +14,18 @@ def winnow(text, k=fp.K, window=fp.WINDOW):
     w = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % fp.LONGEST, text)
     if not w:
         return [], []
-    hashes = []
-    for i in range(max(1, len(w) - k + 1)):
-        seed = 42
-        for x in w[i:i + k]:
-            seed = xxhash.xxh64_intdigest(x.encode(), seed=seed)
-        hashes.append(signed(seed))
+    def rolled(i, span):
+        # of 1, 2, 4, .. characters; what stands beyond the end adds nothing
+        if i >= len(w):
+            return None
+        if span == 1:
+            return xxhash.xxh64_intdigest(w[i].encode(), seed=42)
+        h = 42
+        for x in (rolled(i, span // 2), rolled(i + span // 2, span // 2)):
+            h = h if x is None else xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=h)
+        return h
+
+    hashes = [signed(rolled(i, k)) for i in range(max(1, len(w) - k + 1))]
     at = []
     for i in range(max(1, len(hashes) - window + 1)):
         part = hashes[i:i + window]
@@ -33,8 +39,14 @@ def alike(a, b):
     return len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
 
 
+def written(hashes, at):
+    return " ".join(f"{h & (1 << 64) - 1:x}+{p - before}" for h, p, before in zip(hashes, at, [0, *at]))
+
+
 def test_against_plain_winnowing(docs, prose):
     rows = [(i * 7 % 40, prose(n, i)) for i, n in enumerate([0, 1, 3, 5, 6, 15, 16, 20, 21, 40, 200, 900])]
+    rows += [(60 + i, prose(n, 60 + i)) for i, n in enumerate([400, 2, 60, 3, 11, 12, 13, 14, 30, 9, 10])]
+    rows += [(80 + i, "x" * n) for i, n in enumerate([200, 43, 44, 45, 46, 47, 14, 15, 16, 30])] + [(95, "a \t b" * 500), (96, "語" * 9000), (97, prose(20_000, 97))]
     rows += [(50, None), (51, ""), (52, "ä" * 100), (53, prose(200, 10)), (54, "a a a a a a a a a a a a a a a a a a a a a a a a")]
     text = {i: t or "" for i, t in rows}
     order = sorted(text, reverse=True)
@@ -43,10 +55,10 @@ def test_against_plain_winnowing(docs, prose):
     for i, x in text.items():
         follow = text[order[(order.index(i) + 1) % len(order)]]
         edited = x[:len(x) - len(x) // 3] + follow[:len(x) // 3]
-        (a, at), (b, _), (c, _) = winnow(x), winnow(edited), winnow(follow)
+        (a, at), (b, bt), (c, _) = winnow(x), winnow(edited), winnow(follow)
         r = got[i]
         assert r["n_chars"] == len(x) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert r["fingerprint"] == " ".join(f"{h & (1 << 64) - 1:x}@{p}" for h, p in zip(a, at))
+        assert r["fingerprint"] == written(a, at) and r["edited_fingerprint"] == written(b, bt)
         assert r["near_edited"] == alike(a, b) and r["near_next"] == alike(a, c)
 
 
@@ -82,6 +94,14 @@ def test_single_null_repeated_and_empty(docs):
     assert fp.edited_comparison(docs([])).collect() == []
 
 
+def test_ranges_by_binary_search(spark):
+    from pyspark.sql import functions as F
+    for n in (0, 1, 2, 3, 7, 8, 100):
+        cuts = sorted({x * 37 % 211 for x in range(n)}, reverse=True)
+        got = spark.range(-1, 213).select("id", fp.range_of(F.col("id"), cuts).alias("r")).collect()
+        assert all(r["r"] == sum(r["id"] < c for c in cuts) for r in got)
+
+
 def test_no_python_in_the_plan(docs):
     plan = fp.edited_comparison(docs([(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -6,7 +6,10 @@ kept, the rightmost of equals, with its position among the characters kept
 (Schleimer, Wilkerson and Aiken 2003). Texts that share ``WINDOW + K - 1``
 characters in a row, white space aside, share a fingerprint entry, wherever the
 passage stands and with or without spaces. DataFrame functions only. Arrays are
-read by index from lambda variables, so the work is linear in the text.
+read by index from lambda variables, so the work is linear in the text. A hash
+of K characters is rolled up by doubling, from those of 1, 2 and 4, so that a
+position costs log2(K) steps. The edited text's fingerprint is put together from
+those of its two parts and of what crosses their seam.
 
 Nulls, empty texts, repeats: a null or empty text has an empty fingerprint;
 two empty ones are alike (1), an empty one and another aren't (0); a null id
@@ -29,9 +32,13 @@ LOW = (1 << 31) - 1
 RANGES = 8
 
 
+def without_space(text: Column) -> Column:
+    return F.translate(text, " \t\n\v\f\r", "")
+
+
 def characters(text: Column) -> Column:
     """All but ASCII white space."""
-    return let(F.translate(text, " \t\n\v\f\r", ""), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")))
+    return let(without_space(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")))
 
 
 def _window_minima(ranks: Column, window: int) -> Column:
@@ -57,11 +64,39 @@ def fingerprint(units: Column, k: int = K, window: int = WINDOW) -> Column:
         pos = F.transform(low, lambda x: (F.lit(LOW).cast("long") - x.bitwiseAND(F.lit((1 << 32) - 1))).cast("int"))
         return let(pos, lambda p: F.struct(F.transform(p, lambda i: F.get(h, i)).alias("hash"), p.alias("pos")))
 
-    def hashes(w: Column) -> Column:
-        starts = F.slice(w, 1, F.greatest(F.size(w) - k + 1, F.least(F.size(w), F.lit(1))))
-        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, k)]))
+    def rolled(h: Column, span: int) -> Column:
+        # hashes of runs of ``span`` units to those of k; what stands beyond the end is null and adds nothing
+        if span == k:
+            return F.slice(h, 1, F.greatest(F.size(h) - k + 1, F.least(F.size(h), F.lit(1))))
+        step = min(span, k - span)
+        return let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))), lambda g: rolled(g, span + step))
+
+    return let(F.transform(units, lambda x: F.xxhash64(x)), lambda h: let(rolled(h, 1), chosen))
+
+
+def seamed(fp: Column, text: Column, fp_next: Column, text_next: Column) -> Column:
+    """The fingerprint of ``text`` followed by ``text_next``, beginnings (white
+    space left out, ``K + WINDOW - 1`` characters at least) of two texts whose
+    fingerprints are given. A window lies in one of the beginnings, or in the
+    characters beside the seam. Windows select ever later positions, so what those
+    up to some window select are the entries up to the one that it selects."""
+    reach = K + WINDOW - 1
 
-    return let(units, lambda w: let(hashes(w), chosen))
+    def of(piece: Column) -> Column:
+        return fingerprint(F.split(piece, ""))
+
+    def joined(seam: Column, end: Column, n: Column) -> Column:
+        first = F.array_position(fp["pos"], F.get(seam["pos"], F.lit(0)) + n - reach).cast("int")
+        last = F.array_position(fp_next["pos"], F.get(end["pos"], F.lit(0)) + F.length(text_next) - reach).cast("int")
+        def moved(pos: Column, by: Column) -> Column:
+            return F.transform(pos, lambda x: x + by)
+        parts = [(fp, F.lit(1), first, F.lit(0)), (seam, F.lit(2), F.size(seam["pos"]) - 1, n - reach), (fp_next, F.lit(2), last - 1, n)]
+        return F.struct(F.concat(*[F.slice(p["hash"], a, m) for p, a, m, _ in parts]).alias("hash"),
+                        F.concat(*[moved(F.slice(p["pos"], a, m), by) for p, a, m, by in parts]).alias("pos"))
+
+    seam = of(F.concat(F.right(text, F.lit(reach)), F.left(text_next, F.lit(reach))))
+    end = of(F.right(text_next, F.lit(reach)))
+    return let(F.struct(seam.alias("seam"), end.alias("end"), F.length(text).alias("n")), lambda x: joined(x["seam"], x["end"], x["n"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -71,8 +106,22 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(fp: Column) -> Column:
-    """``hash@position`` of each entry, the hash in hex."""
-    return F.array_join(F.transform(fp["hash"], lambda x, i: F.concat(F.lower(F.hex(x)), F.lit("@"), F.get(fp["pos"], i))), " ")
+    """``hash+step`` of each entry: the hash in hex, and how far its position
+    is from that of the entry before (the first's from the text's start)."""
+    def entry(x: Column, i: Column) -> Column:
+        return F.concat(F.lower(F.hex(x)), F.lit("+"), F.get(fp["pos"], i) - F.coalesce(F.get(fp["pos"], i - 1), F.lit(0)))
+    return F.array_join(F.transform(fp["hash"], entry), " ")
+
+
+def range_of(key: Column, cuts: list[int]) -> Column:
+    """How many of the descending ``cuts`` are above the key: a binary search,
+    whose steps are halves of the number of cuts."""
+    if not cuts:
+        return F.lit(0)
+    edges = F.array(*[F.lit(c).cast("long") for c in cuts])
+    steps = F.array(*[F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)])
+    # beyond the last cut get() is null, and the step isn't taken
+    return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when(key < F.get(edges, at + s - 1), s).otherwise(F.lit(0)))
 
 
 def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], suffix: str = "_next",
@@ -86,8 +135,7 @@ def with_next(rows: DataFrame, key: str, tie: str, columns: list[str], suffix: s
     n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx(key, [i / n for i in range(n - 1, 0, -1)], 10 * n).alias("q")).first()["q"] if n > 1 else None
     cuts = sorted(set(cuts or []), reverse=True)
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    part = F.when(F.col(key).isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(edges, lambda e: F.col(key) < e)))
+    part = F.when(F.col(key).isNull(), F.lit(len(cuts))).otherwise(range_of(F.col(key), cuts))
     ranged = rows.withColumn("range", part)
     # the first row of each range that has rows (one a range), and the range before it, which is the last for the first
     first = ranged.groupBy("range").agg(F.max(F.struct(F.coalesce(key, F.lit(-(1 << 63))), F.col(tie))).alias("top"))
@@ -125,9 +173,13 @@ def edited_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     d = with_next(d, "doc_id", "h", ["text", "fp"], made={"fp": fingerprint(characters(F.col("text")))})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substr("text", F.lit(1), n - third), F.substr("text_next", F.lit(1), third))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), "fp", F.col("fp_next.hash").alias("next"), edited.alias("edited"))
-    d = d.withColumn("fp2", fingerprint(characters(F.col("edited"))))
+    d = d.withColumns({"head": F.substr("text", F.lit(1), n - third), "tail": F.substr("text_next", F.lit(1), third)})
+    d = d.withColumns({"head_units": without_space(F.col("head")), "tail_units": without_space(F.col("tail"))})
+    edited = F.concat("head", "tail")
+    long = F.least(F.length("head_units"), F.length("tail_units")) >= K + WINDOW - 1
+    fp2 = F.when(long, seamed(F.col("fp"), F.col("head_units"), F.col("fp_next"), F.col("tail_units"))) \
+        .otherwise(fingerprint(characters(edited)))
+    d = d.select("doc_id", n.cast("long").alias("n_chars"), "fp", F.col("fp_next.hash").alias("next"), edited.alias("edited"), fp2.alias("fp2"))
     return d.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                     as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("fp2")).alias("edited_fingerprint"),
                     likeness(F.col("fp.hash"), F.col("fp2.hash")).alias("near_edited"),
