@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from versewise.llm import exact_dups as X
+from versewise.llm import common, exact_dups as X
 
 
 def brute(rows):
@@ -40,7 +40,7 @@ def test_against_plain_groups(docs, prose, monkeypatch, run):
 def test_every_number_of_rounds_and_a_join_without_broadcast(docs, prose, monkeypatch):
     rows = corpus(prose)
     monkeypatch.setattr(X, "PLACE", 10)
-    monkeypatch.setattr(X, "HOT", 1)
+    monkeypatch.setattr(common, "HOT", 1)
     assert Counter(tuple(r) for r in X.duplicates(docs(rows).repartition(13)).collect()) == brute(rows)
 
 

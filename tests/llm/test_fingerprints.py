@@ -14,18 +14,15 @@ def winnow(text, k=fp.K, window=fp.WINDOW):
     w = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % fp.LONGEST, text)
     if not w:
         return [], []
-    def rolled(i, span):
-        # of 1, 2, 4, .. characters; what stands beyond the end adds nothing
-        if i >= len(w):
-            return None
-        if span == 1:
-            return xxhash.xxh64_intdigest(w[i].encode(), seed=42)
+    def chain(parts):
+        # what stands beyond the end adds nothing
         h = 42
-        for x in (rolled(i, span // 2), rolled(i + span // 2, span // 2)):
-            h = h if x is None else xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=h)
+        for x in parts:
+            h = xxhash.xxh64_intdigest(x, seed=h)
         return h
 
-    hashes = [signed(rolled(i, k)) for i in range(max(1, len(w) - k + 1))]
+    pairs = [chain(x.encode() for x in w[i:i + 2]) for i in range(len(w))]
+    hashes = [signed(chain(p.to_bytes(8, "little") for p in pairs[i:i + k - 1:2])) for i in range(max(1, len(w) - k + 1))]
     at = []
     for i in range(max(1, len(hashes) - window + 1)):
         part = hashes[i:i + window]

@@ -63,8 +63,8 @@ def test_against_every_string(docs, prose, monkeypatch, hot):
     if hot == 1:
         every = repeats.marks
         monkeypatch.setattr(repeats, "marks", lambda docs, text_col, length: every(docs, text_col, length, hot=1))
-    got = Counter(tuple(r) for r in repeats.repeats(d).collect())
-    assert got == brute(rows)
+    got = repeats.repeats(d).collect()
+    assert Counter(tuple(r)[:5] for r in got) == brute(rows) and all(r["n_kept"] == r["n_bytes"] - r["n_removed"] for r in got)
 
 
 def test_cut_texts(docs, prose):

@@ -31,6 +31,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Keys that hold more than 1 / HOT of the rows, of which there are fewer than HOT, are joined by broadcast.
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, sums: DataFrame, on: list[str], count: str, total: int, hot: int | None = None) -> DataFrame:
+    """``rows`` joined with ``sums``, one row a key, in which ``count`` says how
+    many of the ``total`` rows the key has. The few hot keys meet their rows where
+    those are; the others are shuffled, and none of them makes a large part. Both
+    are read twice: they should be staged. ``count`` is never null."""
+    most = F.col(count) * (hot or HOT) > total
+    near = rows.join(F.broadcast(sums.where(most)), on, "left")
+    rest = near.where(F.col(count).isNull()).select(*rows.columns).join(sums.where(~most), on)
+    return near.where(F.col(count).isNotNull()).unionByName(rest)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder named in spark.checkpoint.dir.
     Only a local master, as in tests, may leave that setting empty."""

@@ -33,13 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versewise.llm.common import pick, stage
+from versewise.llm.common import join_counted, pick, stage
 
 FAN = 8
 #: Entries sorted at once by a task; entries of a place.
 RUN, PLACE = 1 << 18, 1 << 17
-#: Groups of more than 1 / HOT of all rows, of which there are fewer than HOT, are joined by broadcast.
-HOT = 1000
 ENTRY = np.dtype([("digest", ">u8"), ("rest", "V24"), ("null", "?"), ("id", "<i8"), ("row", "<i8"), ("n", "<i8")])
 
 #: The first 16 of an entry: digest, rest, null, id, row, n.
@@ -146,11 +144,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     while FAN ** rounds < places:
         rounds += 1
     groups = stage(tree_merge(d, rounds), "exact-groups")
-    # fewer than HOT groups can hold more than 1 / HOT of the rows each: a bounded broadcast
-    hot = F.col("group_size") * HOT > total
-    near = d.join(F.broadcast(groups.where(hot)), "sha", "left")
-    rest = near.where("keep_row IS NULL").select("row", "doc_id", "sha").join(groups.where(~hot), "sha")
-    every = near.where("keep_row IS NOT NULL").unionByName(rest)
+    every = join_counted(d, groups, ["sha"], "group_size", total)
     return every.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"),
                         F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -6,10 +6,10 @@ kept, the rightmost of equals, with its position among the characters kept
 (Schleimer, Wilkerson and Aiken 2003). Texts that share ``WINDOW + K - 1``
 characters in a row, white space aside, share a fingerprint entry, wherever the
 passage stands and with or without spaces. DataFrame functions only. Arrays are
-read by index from lambda variables, so the work is linear in the text. A hash
-of K characters is rolled up by doubling, from those of 1, 2 and 4, so that a
-position costs log2(K) steps. The edited text's fingerprint is put together from
-those of its two parts and of what crosses their seam.
+read by index from lambda variables, so the work is linear in the text. The hash
+of K characters is rolled up from those of pairs, which its neighbours share, and
+the minimum of a window from those of three. The edited text's fingerprint is put
+together from those of its two parts and of what crosses their seam.
 
 Nulls, empty texts, repeats: a null or empty text has an empty fingerprint;
 two empty ones are alike (1), an empty one and another aren't (0); a null id
@@ -41,37 +41,46 @@ def characters(text: Column) -> Column:
     return let(without_space(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")))
 
 
+def _spread(size: int, part: int) -> list[int]:
+    """Offsets of parts that cover a stretch of the given size."""
+    return [*range(0, size - part, part), size - part]
+
+
 def _window_minima(ranks: Column, window: int) -> Column:
-    """Minimum of each full window, or of the whole if it is shorter: doubling
-    spans first, then two spans that cover the window."""
-    def grown(a: Column, span: int) -> Column:
-        if span == window:
-            return a
-        step = min(span, window - span)
-        return let(F.transform(a, lambda x, i: F.least(x, F.get(a, i + step))), lambda b: grown(b, span + step))
+    """Minimum of each full window, or of the whole if it is shorter: of three
+    first, then of those that cover the window. Beyond the end get() is null."""
+    few = min(3, window)
+
+    def least(a: Column, offsets: list[int], count: Column) -> Column:
+        return F.transform(F.slice(a, 1, count), lambda x, i: F.least(x, *[F.get(a, i + d) for d in offsets[1:]])) if len(offsets) > 1 else F.slice(a, 1, count)
+
     full = F.size(ranks) - window + 1
-    return F.when(full < 1, F.when(F.size(ranks) > 0, F.array(F.array_min(ranks))).otherwise(F.array().cast("array<bigint>"))) \
-        .otherwise(F.slice(grown(ranks, 1), 1, F.greatest(full, F.lit(1))))
+    covered = let(least(ranks, list(range(few)), F.size(ranks)), lambda a: least(a, _spread(window, few), F.greatest(full, F.lit(1))))
+    return F.when(full < 1, F.when(F.size(ranks) > 0, F.array(F.array_min(ranks))).otherwise(F.array().cast("array<bigint>"))).otherwise(covered)
 
 
 def fingerprint(units: Column, k: int = K, window: int = WINDOW) -> Column:
     """struct<hash: array<bigint>, pos: array<int>>: the selected hashes and
     the positions of their first units, in text order."""
-    def chosen(h: Column) -> Column:
+    pair = min(2, k)
+
+    def hashed(pairs: Column, x: Column, i: Column) -> Column:
+        # of k units from unit i on; what stands beyond the end is null and adds nothing
+        return F.xxhash64(x, *[F.get(pairs, i + d) for d in _spread(k, pair)[1:]])
+
+    def rank(h: Column, i: Column) -> Column:
         # a hash's low 31 bits over the inverted position: the least is the least hash, rightmost of equals
-        ranks = F.transform(h, lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(LOW).cast("long")), 32) + (F.lit(LOW).cast("long") - i))
+        return F.shiftleft(h.bitwiseAND(F.lit(LOW).cast("long")), 32) + (F.lit(LOW).cast("long") - i)
+
+    def chosen(pairs: Column) -> Column:
+        starts = F.slice(pairs, 1, F.greatest(F.size(pairs) - k + 1, F.least(F.size(pairs), F.lit(1))))
+        ranks = F.transform(starts, lambda x, i: rank(hashed(pairs, x, i), i))
         low = let(ranks, lambda r: F.array_distinct(_window_minima(r, window)))
         pos = F.transform(low, lambda x: (F.lit(LOW).cast("long") - x.bitwiseAND(F.lit((1 << 32) - 1))).cast("int"))
-        return let(pos, lambda p: F.struct(F.transform(p, lambda i: F.get(h, i)).alias("hash"), p.alias("pos")))
-
-    def rolled(h: Column, span: int) -> Column:
-        # hashes of runs of ``span`` units to those of k; what stands beyond the end is null and adds nothing
-        if span == k:
-            return F.slice(h, 1, F.greatest(F.size(h) - k + 1, F.least(F.size(h), F.lit(1))))
-        step = min(span, k - span)
-        return let(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))), lambda g: rolled(g, span + step))
+        # ranks hold a part of the hash only: the whole one is made again for the few selected
+        return let(pos, lambda p: F.struct(F.transform(p, lambda i: hashed(pairs, F.get(pairs, i), i)).alias("hash"), p.alias("pos")))
 
-    return let(F.transform(units, lambda x: F.xxhash64(x)), lambda h: let(rolled(h, 1), chosen))
+    return let(units, lambda w: let(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + 1)] * (pair - 1))), chosen))
 
 
 def seamed(fp: Column, text: Column, fp_next: Column, text_next: Column) -> Column:

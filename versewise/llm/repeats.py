@@ -10,8 +10,10 @@ whole; only anchors with different contexts need their text. Their contexts are
 sorted in batches by two-stage sorting (Itoh and Tanaka 1999): suffixes smaller
 than their successors are sorted directly, the rest are induced by a scan of
 the buckets, and neighbours whose common prefix has LENGTH bytes are repeats.
-An anchor with more than ``HOT`` contexts is dealt further, by the hash of each
-string, and counted by Spark.
+An anchor with more than ``HOT`` contexts, as of a passage that very many texts
+share, would be one sorting task without bound, whatever its suffixes are dealt
+by: equal strings must meet, and any of them may be shared by all contexts. Its
+strings are dealt by their own hash and counted by Spark, with partial sums.
 
 Results depend on a text's content alone, so texts are known by a digest and
 copies are handled once.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versewise.llm.common import pick, stage
+from versewise.llm.common import join_counted, pick, stage
 from versewise.llm.vectors import prefix_sums, span_hash
 
 LENGTH, GRAM = 400, 32
@@ -175,11 +177,11 @@ def marks(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
     # a row for each run
     runs = stage(rows.mapInArrow(scan, "key binary, start long, n long, anchor long, context long"), "repeats-runs")
     seen = (runs.groupBy("anchor").agg(F.count("*").alias("total"), F.min("context").alias("lo"), F.max("context").alias("hi"))
-            .where("total > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("differ")))
+            .where("total > 1").select("anchor", "total", (F.col("lo") != F.col("hi")).alias("differ")))
     # sums are written before they are joined back, and so is the join before copies are counted:
     # a join of two plain shuffles that no grouping by its key follows can split a hot key
     seen = stage(seen, "repeats-anchors")
-    twice = stage(runs.join(seen, "anchor"), "repeats-shared")
+    twice = stage(join_counted(runs, seen, ["anchor"], "total", runs.count()).drop("total"), "repeats-shared")
     twice = stage(twice.groupBy("anchor", "context", "key", "start", "n", "differ").agg(F.count("*").alias("copies")), "repeats-counted")
     keys = twice.select("key").distinct()
     texts = (rows.select(digest(F.col("text")).alias("key"), F.col("text").cast("binary").alias("raw"))
@@ -236,8 +238,9 @@ def marks(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
     often = each.groupBy("string").agg(F.count("*").alias("times")).where("times > 1").select("string")
     found = found.unionByName(each.join(often, "string", "left_semi").select("anchor", "context", "a", (F.col("a") + 1).alias("z")))
 
-    times = stage(twice.groupBy("anchor", "context").agg(F.sum("copies").alias("times")), "repeats-times")
-    known = twice.join(times, ["anchor", "context"])
+    times = stage(twice.groupBy("anchor", "context").agg(F.sum("copies").alias("times"), F.count("*").alias("rows")), "repeats-times")
+    found = stage(found, "repeats-found")
+    known = join_counted(twice, times, ["anchor", "context"], "rows", twice.count()).drop("rows")
     whole = known.where("times > 1").select("key", F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z"))
     parts = (known.where("times = 1").join(found, ["anchor", "context"])
              .select("key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z")))
@@ -245,7 +248,8 @@ def marks(docs: DataFrame, text_col: str = "text", length: int = LENGTH, hot: in
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what remains."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what remains,
+    which has n_kept bytes."""
     texts, found = marks(docs, text_col, length)
 
     def measure(batches):
@@ -269,7 +273,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                                                              F.sha2(text.cast("binary"), 256).alias("whole"))
     return every.join(lost, "key", "left").select(
         "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("rest", "whole").alias("kept_sha256"))
+        F.coalesce("rest", "whole").alias("kept_sha256"), (F.col("n_bytes") - F.coalesce("n_removed", F.lit(0))).alias("n_kept"))
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = LENGTH) -> DataFrame:
