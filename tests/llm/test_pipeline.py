@@ -41,7 +41,7 @@ def test_one_of_each_class_stays(steps):
 
 
 def test_repeats_are_cut(steps):
-    want = {i: (n, lost) for i, n, lost, _, _ in repeats([(r["doc_id"], r["text"]) for r in steps[2]])}
+    want = {i: (n, lost) for i, n, lost, _, _ in repeats([(r["doc_id"], r["text"]) for r in steps[2]], corpus_pipeline.PASSAGE_BYTES)}
     for r in steps[3]:
         n, lost = want[r["doc_id"]]
         assert n - lost <= len(r["text"].encode()) <= n - lost + 6 * (lost > 0) * 10 and r["n_chars"] == len(r["text"])
