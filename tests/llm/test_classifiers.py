@@ -65,6 +65,75 @@ def test_neighbours_are_exact(docs):
     assert model.scores(["a", "b"]) == pytest.approx([0.8 ** 4 / (0.6 ** 4 + 0.8 ** 4), 0.7])
 
 
+def test_votes_against_a_plain_search(spark):
+    """The query's scores from the same vectors: every cosine on its own, the nearest by sorting."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_knn.fit(docs, labels, ~language.held_out(5, 0))
+    text = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r["score"] for r in queries.op9_quality_classifier(spark, SF).collect()}
+    assert set(got) == set(text)
+    known = model.vectors.astype(np.float64)
+    for i in sorted(text)[::7]:
+        at, v = quality_knn.vector(text[i], model.idf)
+        x = v @ model.space[at].astype(np.float64) if len(at) else np.zeros(known.shape[1])
+        length = np.sqrt((x * x).sum())
+        near = sorted(((float(k @ x / length), y) for k, y in zip(known, model.labels)), reverse=True) if length else []
+        voters = [(c, y) for c, y in near if c >= near[14][0] - 1e-6]
+        total = sum(max(c, 0) ** 4 for c, _ in voters)
+        want = sum(max(c, 0) ** 4 * y for c, y in voters) / total if total else model.prior
+        assert got[i] == pytest.approx(want, abs=0.02), i
+
+
+def test_all_of_the_last_rank_vote():
+    eye = np.eye(4, dtype=np.float32)
+    model = quality_knn.Model(np.ones(1), np.zeros((1, 4), np.float32), eye[[0, 0, 0, 1]], np.array([1, 0, 0, 1.0]), 0.5, 1)
+    model.project = lambda texts: eye[:1]
+    assert model.scores(["x"])[0] == pytest.approx(1 / 3)
+
+
+def test_language_against_a_plain_learner():
+    """FTRL-proximal one coordinate at a time."""
+    import math
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["der", "und", "ein", "the", "and", "one"][3 * (k % 2):][:3], 6)) for k in range(24)]
+    labels, idf = np.array([k % 2 for k in range(24)]), np.ones(1 << language.BITS)
+    w, _ = language.fit_rows(texts, labels, 2, idf, epochs=2)
+    z, n = [{}, {}], [{}, {}]
+    alpha, beta, l1, l2, bias = 0.5, 1.0, 0.02, 0.01, 1 << language.BITS
+
+    def weight(c, i):
+        x = z[c].get(i, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(n[c].get(i, 0.0))) / alpha + l2)
+    for e in range(2):
+        for k in np.random.default_rng(e).permutation(np.arange(24)):
+            at, v = language.vector(texts[k], idf)
+            x = [*zip(at.tolist(), v.tolist()), (bias, 1.0)]
+            out = [sum(weight(c, i) * a for i, a in x) for c in (0, 1)]
+            top = max(out)
+            p = [math.exp(o - top) for o in out]
+            p = [q / sum(p) for q in p]
+            now = [{i: weight(c, i) for i, _ in x} for c in (0, 1)]
+            for c in (0, 1):
+                for i, a in x:
+                    g = (p[c] - (labels[k] == c)) * a
+                    old = n[c].get(i, 0.0)
+                    z[c][i] = z[c].get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * now[c][i]
+                    n[c][i] = old + g * g
+    for c in (0, 1):
+        plain = np.zeros(bias + 1)
+        for i in z[c]:
+            plain[i] = weight(c, i)
+        assert np.abs(plain - w[c]).max() < 1e-9
+
+
+def test_very_long_texts_are_scored(spark, docs, prose):
+    long = prose(120_000, 3)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    rows = [(i, prose(40, i) if i % 2 else prose(40, i).upper()) for i in range(20)] + [(50, long), (51, long.upper())]
+    got = {r["doc_id"]: r["score"] for r in quality_knn.score(docs(rows), quality_knn.fit(docs(rows), lab, F.lit(True))).collect()}
+    assert got[50] > 0.5 > got[51]
+
+
 def test_latent_space_is_the_svd():
     x = np.random.default_rng(1).standard_normal((40, 8)).astype(np.float32) @ np.random.default_rng(2).standard_normal((8, 60)).astype(np.float32)
     v = quality_knn.latent(x, 8)

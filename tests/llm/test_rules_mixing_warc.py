@@ -134,12 +134,22 @@ def test_history_is_in_global_order(pages, spark):
     from versewise.llm.common import pick, scratch
     rows = [(i, "http://hot.example.com/" if i % 3 else f"http://x{i % 13}.example.org/{i % 7}", str(i % 19)) for i in range(300)]
     p = pick(pages(rows), page_id="page_id", url="url", html="html", timestamp="page_id")
-    index = warc.merge_runs(warc.write_archives(p, scratch(spark, "warc"), per_range=40))
+    index = warc.merge_runs(warc.write_archives(p, scratch(spark, "warc")), per_range=40)
     got = [(r["url_key"], r["timestamp"], r["page_id"]) for r in sorted(index.collect(), key=lambda r: (r["range"], r["position"]))]
     assert got == sorted((warc.url_key(u), i, i) for i, u, _ in rows)
     assert index.select("range").distinct().count() > 3
 
 
+def test_very_long_rows(docs, pages, prose):
+    long = prose(150_000, 1)
+    got = warc.archive(pages([(1, "u", long), (2, "v", "x"), (3, "w", long)])).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in got) == [(1, len(long), "revisit"), (2, 1, "response"), (3, len(long), "response")]
+    r = quality_rules.judge(quality_rules.ledger(docs([(1, long)]))).first()
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == plain_rules(long)
+    sizes = {x["doc_id"]: (x["size"], x["taken"]) for x in mixing.mix(docs([(1, long, "en", "a"), (2, "few words", "en", "b")])).collect()}
+    assert sizes[1][0] == 150_000 and sizes[2][0] == 2
+
+
 def test_min_bytes_and_nothing(pages):
     got = warc.archive(pages([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")]), min_bytes=3).collect()
     assert sorted((r["page_id"], r["record_type"]) for r in got) == [(1, "response"), (2, "response"), (3, "revisit"), (4, "response")]

@@ -14,7 +14,9 @@ together from those of its two parts and of what crosses their seam.
 Nulls, empty texts, repeats: a null or empty text has an empty fingerprint;
 two empty ones are alike (1), an empty one and another aren't (0); a null id
 comes last in descending order; rows that share an id are ordered by the hash
-of their text and give a row each; an empty table gives no rows. The next of a
+of their text and give a row each; of equal hashes in a window the rightmost
+counts; very long texts are hashed whole; extra columns, whatever their names,
+are not read; an empty table gives no rows. The next of a
 single document is itself.
 """
 

@@ -7,7 +7,8 @@ n-gram document frequencies are counted over all of them, on Spark; the model
 is fitted on at most about ``per_class`` of them a language, chosen by hash,
 whole texts. Prediction uses the text alone.
 
-Nulls, empty texts, repeats: a null text, or one without a letter, is ``und``
+Nulls, empty texts, ties, repeats: of equally likely languages the first by name
+is predicted; very long texts count whole; extra columns are not read; a null text, or one without a letter, is ``und``
 with score 0; a null label isn't learnt; a null id counts as an empty one in
 the choice of rows; repeated rows are each learnt and predicted; with nothing
 to learn from, everything is ``und``.

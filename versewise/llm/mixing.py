@@ -8,8 +8,9 @@ one's.
 
 Nulls, empty texts, repeats: a null or empty text has size 0 and is taken 0
 times; the null source is a source, last in order; a null id hashes like an
-empty one; rows that share an id are taken or left together; an empty table
-gives no rows.
+empty one; rows that share an id, or its hash, are taken or left together; very
+long texts are counted whole; extra columns, whatever their names, are not read
+by ``mix``; an empty table gives no rows.
 """
 
 from __future__ import annotations

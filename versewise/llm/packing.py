@@ -8,8 +8,10 @@ made on the driver in bounded memory; pieces then find their places by their
 rank among the pieces of their length.
 
 Nulls, empty texts, repeats: a null or empty text is a piece of the end id
-alone; null ids and repeated rows are packed like others, each once; an empty
-table gives no rows.
+alone; null ids and repeated rows are packed like others, each once; pieces of
+one length are equal to the plan, and take their places by rank; very long texts
+are cut into pieces and lose nothing; extra columns, whatever their names, are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -92,8 +94,8 @@ def exact_fill(count: np.ndarray, length: int, capacity: int, most: int) -> tupl
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, number of such sequences). Exact fills use up
     short pieces that best fit could have spread, so plans with at most three,
-    two, one and no filling parts are made; the one of fewest sequences counts."""
-    return min((plan_with(histogram, capacity, most) for most in (3, 2, 1, 0)), key=lambda made: sum(n for _, n in made))
+    two and one filling parts are made; the one of fewest sequences counts."""
+    return min((plan_with(histogram, capacity, most) for most in (3, 2, 1)), key=lambda made: sum(n for _, n in made))
 
 
 def plan_with(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:

@@ -10,7 +10,8 @@ rows) and are its labelled vectors: both are broadcast, bounded by that
 parameter. Every text is projected; its cosines with all labelled vectors are
 exact products of blocks, and the nearest vote with their similarity.
 
-Nulls, empty texts, repeats: a null or empty text gets the share of label 1
+Nulls, empty texts, ties, repeats: all labelled vectors as near as the last
+neighbour vote; very long texts count whole; extra columns are not read; a null or empty text gets the share of label 1
 among the labelled rows; labels that are null or of no document are not
 learnt; of several labels of an id the largest counts; repeated rows are each
 scored; with no labels every score is 0.5.
@@ -129,11 +130,12 @@ class Model:
         if not len(self.labels):
             return np.full(len(texts), self.prior)
         near = self.project(texts) @ self.vectors.T
-        k = min(self.neighbours, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(near, top, 1), 0.0).astype(np.float64) ** 4
+        k = near.shape[1] - min(self.neighbours, near.shape[1])
+        least = np.partition(near, k, axis=1)[:, k:k + 1]
+        # all that are as near as the last neighbour vote
+        w = np.where(near >= least, np.maximum(near, 0.0).astype(np.float64) ** 4, 0.0)
         total = w.sum(1)
-        vote = (w * self.labels[top]).sum(1) / np.where(total > 0, total, 1)
+        vote = (w @ self.labels) / np.where(total > 0, total, 1)
         return np.clip(np.where(total > 0, vote, self.prior), 0, 1)
 
 

@@ -7,8 +7,9 @@ are those in 5-word windows that the text holds twice or more; windows are
 compared by a 64-bit hash.
 
 Nulls, empty texts, repeats: a null or empty text has no words, fails
-``too_short`` and isn't kept; null ids and repeated rows give a row each; an
-empty table gives no rows.
+``too_short`` and isn't kept; null ids and repeated rows give a row each; very
+long texts are measured whole; limits are met or not, so there are no ties; extra
+columns, whatever their names, are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

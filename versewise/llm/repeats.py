@@ -20,7 +20,9 @@ copies are handled once.
 
 Nulls, empty texts, repeats: a null or empty text has no bytes and loses none;
 null ids are kept; repeated rows are copies of each other, and lose everything
-from LENGTH bytes on; an empty table gives no rows.
+from LENGTH bytes on; of equally small grams the rightmost is the anchor; very
+long texts are read whole, in segments that overlap; extra columns, whatever
+their names, are not read (``without_repeats`` keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations

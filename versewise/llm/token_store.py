@@ -15,7 +15,10 @@ the sum of those before it in the manifest.
 
 Nulls, empty texts, repeats: a null or empty text is a document of the end id
 alone; null ids come first; rows that share an id are all kept, in the order of
-their texts' hashes. An empty table gives an empty store.
+their texts' hashes. Very long texts are stored whole; extra columns, whatever
+their names, are not read. An empty table gives an empty store. The running sum
+of ids is over the manifest, a row for some 16 million ids: at 10^14 ids 6
+million narrow rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ back through that index by archive and offset.
 Of records with equal payloads of at least ``min_bytes`` the one with the
 largest page id is a response and the others are revisits of it.
 
-Nulls, empty texts, repeats: a null html is an empty payload; a null url has
+Nulls, empty texts, ties, repeats: a null html is an empty payload; captures of
+one key, time and page are in the order of their runs; very long pages are
+written and read whole; extra columns are not read; a null url has
 the empty key; a null page id is smaller than any other; rows that repeat a
 page id and payload are each written, and are responses if that id is the
 largest; an empty table gives no records.
@@ -20,23 +22,23 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import os
 import zlib
 from urllib.parse import urlsplit
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versewise.llm.common import filesystem, let, pick, scratch, stage
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-CAPTURE = pa.schema([("range", pa.int64()), ("run", pa.string()), ("seq", pa.int64()), ("url_key", pa.string()),
+CAPTURE = pa.schema([("run", pa.string()), ("seq", pa.int64()), ("url_key", pa.string()),
                      ("timestamp", pa.int64()), ("page_id", pa.int64()), ("record_type", pa.string()),
                      ("payload_digest", pa.string()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
-CAPTURE_SQL = ("range long, run string, seq long, url_key string, timestamp long, page_id long, record_type string, "
+CAPTURE_SQL = ("run string, seq long, url_key string, timestamp long, page_id long, record_type string, "
                "payload_digest string, path string, offset long, length long")
 
 
@@ -149,23 +151,9 @@ def decisions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
             .withColumn("digest", base32(F.col("sha1"))).drop("sha1"))
 
 
-def splitters(pages: DataFrame, per_range: int, sample: int = 4096) -> list[tuple]:
-    """Edges of the key ranges, from a sample of about ``sample`` captures
-    (those with the smallest hashes; it only balances the ranges): about
-    ``per_range`` each."""
-    n = pages.count()
-    unit = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) / float(1 << 30)
-    rows = pages.select("url", "timestamp", "page_id").where(unit < sample / max(n, 1)).collect()
-    keys = sorted((url_key(r["url"]), int(r["timestamp"]), r["page_id"]) for r in rows) if n > per_range else []
-    ranges = min(len(keys), -(-n // per_range))
-    return [keys[len(keys) * i // ranges] for i in range(1, ranges)]
-
-
-def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, per_range: int = 20_000) -> DataFrame:
+def write_archives(pages: DataFrame, out: str, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` (page_id, url, html, timestamp in seconds) as archives
     under the folder ``out``; the captures of the sorted runs (staged)."""
-    edges = [order(e) for e in splitters(pages, per_range)]
-
     def write(batches):
         fs, base = filesystem(out)
         fs.create_dir(base, recursive=True)
@@ -184,34 +172,36 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 0, per_range: in
             return
         part.close()
         found.sort(key=order)
-        where = np.zeros(len(found), np.int64)
-        k = 0
-        for i, f in enumerate(found):
-            while k < len(edges) and edges[k] <= order(f):
-                k += 1
-            where[i] = k
         yield pa.RecordBatch.from_arrays(
-            [pa.array(where), pa.array([run] * len(found)), pa.array(range(len(found)), pa.int64()),
-             *[pa.array(x, f.type) for x, f in zip(zip(*found), list(CAPTURE)[3:])]], schema=CAPTURE)
+            [pa.array([run] * len(found)), pa.array(range(len(found)), pa.int64()),
+             *[pa.array(x, f.type) for x, f in zip(zip(*found), list(CAPTURE)[2:])]], schema=CAPTURE)
 
     rows = decisions(pages, min_bytes).select("page_id", "url", "html", "timestamp", "digest", "keeper", "revisit")
     return stage(rows.mapInArrow(write, CAPTURE_SQL), "warc-runs")
 
 
-def merge_runs(captures: DataFrame) -> DataFrame:
-    """Captures with ``position``, their place in their range; range and
-    position order the whole history. A range holds about as many captures as
-    its splitters foresee, whatever the number of runs or of captures of a URL."""
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "seq"], kind="stable").reset_index(drop=True)
-        ids = [None if pd.isna(x) else int(x) for x in pdf["page_id"]]
-        rows = list(zip(pdf["url_key"], pdf["timestamp"].tolist(), ids, range(len(pdf))))
-        cut = [0, *(np.nonzero(pdf["run"].to_numpy()[1:] != pdf["run"].to_numpy()[:-1])[0] + 1).tolist(), len(pdf)]
-        merged = loser_tree_merge([rows[a:z] for a, z in zip(cut, cut[1:])], order)
-        pdf = pdf.iloc[[r[3] for r in merged]].reset_index(drop=True)
-        return pdf.assign(page_id=pdf["page_id"].astype("Int64"), position=np.arange(len(pdf)))[[*CAPTURE.names, "position"]]
-
-    return captures.groupBy("range").applyInPandas(merge, CAPTURE_SQL + ", position long")
+def merge_runs(captures: DataFrame, per_range: int = 100_000) -> DataFrame:
+    """Captures with ``range`` and ``position``, their place in it; the two
+    order the whole history. Spark deals the captures to ranges of (URL key,
+    timestamp, page id), as many as there are lots of ``per_range`` captures,
+    by edges that it samples from all partitions; so a range holds about as many,
+    whatever the number of runs, of captures or of those of one URL."""
+    def merge(batches):
+        rows = [r for b in batches for r in zip(*[b[c].to_pylist() for c in CAPTURE.names])]
+        if not rows:
+            return
+        # sorted by run and place in it
+        cut = [0, *(k for k in range(1, len(rows)) if rows[k][0] != rows[k - 1][0]), len(rows)]
+        merged = loser_tree_merge([rows[a:z] for a, z in zip(cut, cut[1:])], lambda r: (*order(r[2:5]), r[0], r[1]))
+        part = TaskContext.get().partitionId()
+        for k, lot in enumerate(iter(lambda: list(itertools.islice(merged, 10_000)), [])):
+            cols = [*zip(*lot), [part] * len(lot), range(10_000 * k, 10_000 * k + len(lot))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out)], schema=out)
+
+    out = pa.schema([*CAPTURE, ("range", pa.int64()), ("position", pa.int64())])
+    ranges = max(1, -(-captures.count() // per_range))
+    dealt = captures.repartitionByRange(ranges, "url_key", "timestamp", "page_id").sortWithinPartitions("run", "seq")
+    return dealt.mapInArrow(merge, CAPTURE_SQL + ", range long, position long")
 
 
 def read_records(index: DataFrame) -> DataFrame:
