@@ -104,3 +104,59 @@ def test_tags_default_to_all_and_album_fills_empty_only(spark):
 def test_a_repeated_artist_takes_the_last_list(spark):
     d = spark.createDataFrame([(1, "A", ["x", "y"]), (2, "B", ["x"]), (3, "A", ["z"])], "pos int, artist string, titles array<string>")
     assert sorted((r["pos"], r["line"]) for r in SG.track_map(d).collect()) == [(1, "A - z"), (2, "B - x")]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_dir):
+    import os
+    from versewise.sources import songs as SG
+    lines = [f"Artist {i} - Song {i}" if i % 10 else "# note" for i in range(20_000)]
+    for name, some in (("a.txt", lines), ("b.txt", lines[:5]), ("c.txt", [])):
+        with open(os.path.join(tmp_dir, name), "w", newline="") as f:
+            f.write("\r\n".join(some) if name == "b.txt" else "".join(x + "\n" for x in some))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes",)}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(32 << 10))
+        assert spark.read.text(tmp_dir).rdd.getNumPartitions() > 8  # a file is read by several tasks
+        got = SG.numbered_lines(spark, tmp_dir).collect()
+        tracks = SG.read_track_list(spark, tmp_dir).filter("file LIKE '%a.txt'").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    by = {}
+    for r in got:
+        by.setdefault(os.path.basename(r["file"]), {})[r["pos"]] = r["value"]
+    assert by == {"a.txt": dict(enumerate(lines)), "b.txt": dict(enumerate(lines[:5]))}
+    assert tracks == 18_000
+
+
+def test_rows_that_do_not_fit_are_rejects(spark, tmp_dir):
+    import os
+    from pyspark.sql import types as T
+    from versewise.sources import songs as SG
+    with open(os.path.join(tmp_dir, "songs.csv"), "w") as f:
+        f.write('id,lyrics,valence\n1,"two\nlines, ""quoted""",0.5\n2,short,NaN\n3,x,high\n4,y\n5,z,0.1,more\n,,\n')
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("lyrics", T.StringType()), T.StructField("valence", T.DoubleType())])
+    good, bad = SG.read_song_csv_checked(spark, tmp_dir, schema)
+    rows = [tuple(r) for r in good.collect()]
+    assert sorted(rows, key=repr) == sorted([(1, 'two\nlines, "quoted"', 0.5), (2, "short", None), (None, None, None)], key=repr)
+    assert sorted(r["line"].split(",")[0] for r in bad.collect()) == ["3", "4", "5"]
+    every, none = SG.read_song_csv_checked(spark, tmp_dir)
+    assert (every.columns, every.count(), none.count()) == (["id", "lyrics", "valence"], 4, 2)
+
+
+def test_a_bucketed_store_is_not_shuffled(spark, tmp_dir):
+    import os
+    from versewise.operators import joins as J
+    stored = spark.createDataFrame([(f"A{i}", f" t{i} ", "x") for i in range(50)] + [(None, "t", "x")], "artist string, title string, lyrics string")
+    wanted = spark.createDataFrame([(i, f"a{i}", f"T{i}") for i in range(40, 60)], "pos int, artist string, title string")
+    table = J.store_tracks(stored, "stored_tracks_test", os.path.join(tmp_dir, "stored"), 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = J.resume_from_store(wanted, table)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "LeftAnti" in plan
+        assert sorted(r["pos"] for r in out.collect()) == list(range(50, 60))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE stored_tracks_test")
