@@ -37,7 +37,9 @@ def alike(a, b):
 
 
 def written(hashes, at):
-    return " ".join(f"{h & (1 << 64) - 1:x}+{p - before}" for h, p, before in zip(hashes, at, [0, *at]))
+    if not at:
+        return ""
+    return " ".join(f"{h & (1 << 64) - 1:X}" for h in hashes) + ";" + " ".join(str(p - q) for p, q in zip(at, [0, *at]))
 
 
 def test_against_plain_winnowing(docs, prose):

@@ -117,11 +117,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(fp: Column) -> Column:
-    """``hash+step`` of each entry: the hash in hex, and how far its position
-    is from that of the entry before (the first's from the text's start)."""
-    def entry(x: Column, i: Column) -> Column:
-        return F.concat(F.lower(F.hex(x)), F.lit("+"), F.get(fp["pos"], i) - F.coalesce(F.get(fp["pos"], i - 1), F.lit(0)))
-    return F.array_join(F.transform(fp["hash"], entry), " ")
+    """The hashes in hex, ``;`` and the steps from each position to the next
+    (the first's from the text's start); empty if there are none."""
+    before = F.concat(F.array(F.lit(0)), fp["pos"])  # one longer: the last is paired with null
+    steps = F.slice(F.zip_with(fp["pos"], before, lambda p, q: p - q), 1, F.size(fp["pos"]))
+    text = F.concat_ws(";", F.array_join(F.transform(fp["hash"], F.hex), " "), F.array_join(steps.cast("array<string>"), " "))
+    return F.when(F.size(fp["pos"]) > 0, text).otherwise(F.lit(""))
 
 
 def range_of(key: Column, cuts: list[int]) -> Column:

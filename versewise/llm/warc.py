@@ -27,6 +27,7 @@ import os
 import zlib
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
