@@ -105,7 +105,7 @@ def test_language_against_a_plain_learner():
         x = z[c].get(i, 0.0)
         return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(n[c].get(i, 0.0))) / alpha + l2)
     for e in range(2):
-        for k in np.random.default_rng(e).permutation(np.arange(24)):
+        for k in np.random.default_rng(e).permutation(np.random.default_rng(0).permutation(24)):
             at, v = language.vector(texts[k], idf)
             x = [*zip(at.tolist(), v.tolist()), (bias, 1.0)]
             out = [sum(weight(c, i) * a for i, a in x) for c in (0, 1)]
