@@ -404,3 +404,26 @@ def test_blank_keys_old_values_and_leaks(spark):
     new, old = J.overlay(df).first(), J.overlay(df, keep_old_on_null=True).first()
     assert (new["spotify_id"], new["tempo"]) == ("", None) and (old["spotify_id"], old["preview_url"], old["tempo"]) == ("old", "p", 0.4)
     assert set(feature_cols_for_target("vibe")) - set(feature_cols_for_target("vibe", leak_guard=True)) == {"sp_valence", "sp_energy"}
+
+
+def test_chunk_classifier_against_plain_logits(spark):
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+    rows = [(i, ("love light sweet " if i % 2 else "dark cold rain ") * 3 + f"w{i}", "joy" if i % 2 else "sadness") for i in range(40)] + [(90, None, "joy"), (91, "x", None)]
+    df = spark.createDataFrame(rows, "id int, t string, y string")
+    m = FT.fit_text_model(df, "t", "y", bits=10, iterations=20)
+    texts = [(1, "love, LIGHT! " * 4 + "dark"), (2, " " * 30), (3, None), (4, "cold rain"), (5, "Sweet " * 50)]
+    got = {r["id"]: (r["n_chunks"], r["emo_joy"], r["emo_sadness"]) for r in
+           FT.chunk_classifier_scores(spark.createDataFrame(texts, "id int, t string"), "t", "id", 20, m).collect()}
+    import re
+    lr, slot = m.stages[2], HashingTF(numFeatures=1 << 10)
+    w, b = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
+    for i, t in texts:
+        chunks = [(t or "")[k:k + 20] for k in range(0, max(len(t or ""), 1), 20)]
+        total = np.zeros(2)
+        for c in chunks:
+            if c.strip():
+                x = b + sum((w[:, slot.indexOf(word)] for word in re.findall(r"\w+", c.lower())), np.zeros(2))
+                total += np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        assert got[i] == (len(chunks), *(pytest.approx(v) for v in total / len(chunks)))
+    assert got[1][1] > 0.5 and got[4][2] > 0.5

@@ -11,6 +11,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import HashingTF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -259,15 +263,48 @@ def _sum_fields(h: Column) -> Column:
     return total
 
 
+def char_chunks(df: DataFrame, text_col: str, id_col: str, max_chars: int) -> DataFrame:
+    """W5 by characters: id and ``chunk``, a row each; a NULL text is one blank chunk."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(max_chars))
+    return df.select(id_col, F.explode(F.transform(starts, lambda s: F.substring(text, s, max_chars))).alias("chunk"))
+
+
+def fit_text_model(train: DataFrame, text_col: str, label_col: str, bits: int = 16, reg: float = 1e-3,
+                   iterations: int = 50) -> PipelineModel:
+    """A classifier of texts for the chunk scores: counts of lower-cased
+    words in 2^bits hashed slots, multinomial logistic regression, fitted by
+    Spark. Rows without a text or label aren't learnt. Saved and loaded like any
+    Spark ML model; its last stage holds the labels."""
+    rows = train.select(F.col(text_col).alias("chunk"), F.col(label_col).cast("string").alias("_label")).dropna()
+    index = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(rows)
+    words = RegexTokenizer(inputCol="chunk", outputCol="_words", pattern="[\\p{L}\\p{N}_]+", gaps=False)
+    slots = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=1 << bits)
+    lr = LogisticRegression(featuresCol="_tf", labelCol="_y", probabilityCol="_p", predictionCol="_k", rawPredictionCol="_raw",
+                            family="multinomial", regParam=reg, maxIter=iterations)
+    back = IndexToString(inputCol="_k", outputCol="_best", labels=index.labels)
+    fitted = Pipeline(stages=[words, slots, lr]).fit(index.transform(rows))
+    return PipelineModel([*fitted.stages, back])
+
+
+def chunk_classifier_scores(df: DataFrame, text_col: str, id_col: str, max_chars: int, model: PipelineModel) -> DataFrame:
+    """X7 with a model of :func:`fit_text_model`, A12: the mean of each label's
+    probability over all character chunks (blank ones score 0 but count), as
+    ``emo_<label>``. The model stays in the JVM."""
+    scored = model.transform(char_chunks(df, text_col, id_col, max_chars)).withColumn("_p", vector_to_array("_p"))
+    full = F.length(X.strip("chunk")) > 0
+    labels = model.stages[-1].getLabels()
+    return scored.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_chunks"), *[
+        F.avg(F.when(full, F.col("_p")[k]).otherwise(F.lit(0.0))).alias(f"emo_{name}") for k, name in enumerate(labels)])
+
+
 def chunk_model_scores(df: DataFrame, text_col: str, id_col: str, max_chars: int,
                        load: Callable[[], Callable[[list[str]], list[dict[str, float]]]]) -> DataFrame:
     """X7 with a pluggable model: character chunks (W5) are exploded, scored in
     Arrow batches and averaged per id over all chunks (blank chunks score 0
     but count; a NULL text is one blank chunk). ``load`` runs once a task and
     returns the scorer, so a model isn't sent with the plan."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(max_chars))
-    chunks = df.select(id_col, F.explode(F.transform(starts, lambda s: F.substring(text, s, max_chars))).alias("chunk"))
+    chunks = char_chunks(df, text_col, id_col, max_chars)
     names = [f"emo_{e}" for e in EMOTION_LABELS]
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType)] +
                           [T.StructField(n, T.DoubleType()) for n in names])

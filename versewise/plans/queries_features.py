@@ -3,6 +3,7 @@ feature table (X6b, W5, X7, A12, A9, X24, X25, F12, F13)."""
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from versewise.functions import text as X
@@ -11,6 +12,7 @@ from versewise.plans import sqltext as S
 from versewise.plans.queries import marked_text, query, r6, sql_marked
 from versewise.schema import (EMOTION_LABELS, EMOTION_RULES, SPOTIFY_FEATURES, THEMES,
                               audio_feature_names, lyrics_feature_names)
+from versewise.session import scratch_path
 from versewise.sources.tables import table
 
 # Test lexicon over tokens that occur in the tables (the invented prose has
@@ -107,6 +109,29 @@ def chunk_model(spark, sf):
                       r6(F.col("emo_joy")).alias("emo_joy"), r6(F.col("emo_fear")).alias("emo_fear"))
 
 
+@query("chunk_classifier", """
+WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN NULL ELSE text END AS x FROM conversations),
+c AS (SELECT conv_id, turn, substr(coalesce(x, ''), 1 + 100 * unnest(range(0, greatest((length(coalesce(x, '')) + 99) // 100, 1))), 100) AS ch FROM t),
+s AS (SELECT conv_id, turn, trim(ch, ' ' || chr(9) || chr(10) || chr(13)) <> '' AS full_ FROM c)
+SELECT conv_id, turn, count(*) AS n_chunks, round(avg(CASE WHEN full_ THEN 1 ELSE 0 END), 6) AS total, true AS known FROM s GROUP BY conv_id, turn
+""")
+def chunk_classifier(spark, sf):
+    """X7 with a fitted classifier: who says a turn, learnt from the words of
+    other turns, saved to the shared folder, loaded and applied to
+    100-character chunks. A turn's scores add up to its share of chunks with text."""
+    d = table(spark, sf, "conversations")
+    path = scratch_path(spark, "text-model")
+    FT.fit_text_model(d.filter("conv_id % 2 = 0"), "text", "role", iterations=10).write().save(path)
+    model = PipelineModel.load(path)
+    rows = d.select(F.to_json(F.struct("conv_id", "turn")).alias("id"), F.when(F.col("turn") % 5 != 4, F.col("text")).alias("t"))
+    out = FT.chunk_classifier_scores(rows, "t", "id", 100, model)
+    names = [c for c in out.columns if c.startswith("emo_")]
+    key = F.from_json("id", "conv_id long, turn long")
+    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
+    return out.select(key["conv_id"].alias("conv_id"), key["turn"].alias("turn"), "n_chunks", r6(total).alias("total"),
+                      F.lit(len(names) > 1).alias("known"))
+
+
 @query("chunk_mean", _chunk_sql())
 def chunk_mean(spark, sf):
     """W5 + X7 (rule scorer) + A12: 64-word chunks of the whole text, label
