@@ -40,6 +40,8 @@ DEFAULT_BOOSTERS = {"absolutely": BOOST, "completely": BOOST, "extremely": BOOST
                     "hardly": -BOOST, "partly": -BOOST, "slightly": -BOOST, "somewhat": -BOOST}
 #: Words a lexicon may have: it is part of the plan, so its size is checked.
 MAX_LEXICON_WORDS = 100_000
+#: Words of a lexicon up to which a word's value is found by comparison, not by search.
+FEW_WORDS = 100
 
 
 def lexicon_dict(lexicon) -> dict[str, float]:
@@ -96,45 +98,52 @@ def sentiment_sums(toks: Column, lexicon: dict[str, float], negators=DEFAULT_NEG
 
     The tokens, joined by spaces, are cut at the lexicon's words by one regex;
     each word found looks back on the three tokens before it, which are in the
-    pieces since the third word before it. So lambdas run a word found, not a
-    token. A token holds no space."""
+    pieces since the third word before it, if one of those turns or strengthens
+    it. So lambdas run a word found, not a token. A token holds no space."""
     lex = {k: v for k, v in lexicon.items() if v and k and " " not in k}
     boost = {k: v for k, v in (DEFAULT_BOOSTERS if boosters is None else boosters).items() if k not in lexicon}
     n = F.size(F.coalesce(toks, F.array().cast("array<string>"))).cast("double")
     if not lex:
         return F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), n.alias("neu"))
-    found = f"(?<![^ ])(?:{words_pattern(lex)})(?![^ ])"
+    def any_of(words) -> str:
+        return f"(?<![^ ])(?:{words_pattern(words)})(?![^ ])"
+
+    found, turned = any_of(lex), any_of([w for w in [*negators, *boost] if w and " " not in w])
     joined = F.coalesce(F.array_join(toks, " "), F.lit(""))
+    plain = (lambda w: looked_up_exactly(w, lex)) if len(lex) <= FEW_WORDS else (lambda w: looked_up(w, lex))
 
-    def valence(word: Column, before: Column) -> Column:
-        def boosted(v: Column) -> Column:
-            up = F.lit(0.0)
-            for k, fade in enumerate(BOOST_FADE):
-                up = up + (F.coalesce(looked_up_exactly(F.get(before, F.size(before) - 1 - k), boost), F.lit(0.0)) * F.lit(fade))
-            return v + F.signum(v) * up
+    def changed(v: Column, before: Column) -> Column:
+        # by the three tokens before it, the nearest last
+        up = F.lit(0.0)
+        for k, fade in enumerate(BOOST_FADE):
+            up = up + (F.coalesce(looked_up_exactly(F.get(before, F.size(before) - 1 - k), boost), F.lit(0.0)) * F.lit(fade))
         negated = F.arrays_overlap(before, F.array(*[F.lit(w) for w in negators])) if negators else F.lit(False)
-        return _once(looked_up(word, lex), lambda v: boosted(v) * F.when(negated, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0)))
+        return (v + F.signum(v) * up) * F.when(negated, F.lit(NEGATION_SCALAR)).otherwise(F.lit(1.0))
 
-    def sums(hits: Column, gaps: Column) -> Column:
+    def turned_values(hits: Column, gaps: Column) -> Column:
         def part(a: Column, i: Column) -> Column:
             return F.coalesce(F.get(a, i), F.lit(""))
 
-        def before(j: Column) -> Column:
+        def value(word: Column, j: Column) -> Column:
             text = F.concat(part(hits, j - 3), part(gaps, j - 2), part(hits, j - 2), part(gaps, j - 1), part(hits, j - 1), part(gaps, j))
-            return F.split(F.substring_index(F.trim(text), " ", -3), " ")
+            return _once(F.substring_index(F.trim(text), " ", -3), lambda last: F.when(
+                last.rlike(turned), _once(plain(word), lambda v: changed(v, F.split(last, " ")))).otherwise(plain(word)))
 
-        values = F.transform(hits, lambda h, j: _once(before(j), lambda b: valence(h, b)))
-        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0.0).alias("hits"))
-        return F.aggregate(values, zero, lambda a, v: F.struct(
-            (a["s"] + v).alias("s"), (a["pos"] + F.when(v > 0, v + 1).otherwise(F.lit(0.0))).alias("pos"),
-            (a["neg"] + F.when(v < 0, v - 1).otherwise(F.lit(0.0))).alias("neg"),
-            (a["hits"] + F.when(v != 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("hits")))
+        return F.transform(hits, value)
 
-    def all_of(text: Column) -> Column:
+    def values(text: Column) -> Column:
+        # texts without a negator or booster, most of them, need no look-back
         cut = F.struct(F.regexp_extract_all(text, F.lit(found), 0).alias("hits"), F.split(text, found, -1).alias("gaps"))
-        return _once(cut, lambda c: sums(c["hits"], c["gaps"]))
-
-    total = _once(joined, all_of)
+        alone = F.transform(F.regexp_extract_all(text, F.lit(found), 0), lambda w: plain(w))
+        if not negators and not boost:
+            return alone
+        return F.when(text.rlike(turned), _once(cut, lambda c: turned_values(c["hits"], c["gaps"]))).otherwise(alone)
+
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(0.0).alias("hits"))
+    total = F.aggregate(_once(joined, values), zero, lambda a, v: F.struct(
+        (a["s"] + v).alias("s"), (a["pos"] + F.when(v > 0, v + 1).otherwise(F.lit(0.0))).alias("pos"),
+        (a["neg"] + F.when(v < 0, v - 1).otherwise(F.lit(0.0))).alias("neg"),
+        (a["hits"] + F.when(v != 0, F.lit(1.0)).otherwise(F.lit(0.0))).alias("hits")))
     return _once(total, lambda r: F.struct(r["s"].alias("s"), r["pos"].alias("pos"), r["neg"].alias("neg"), (n - r["hits"]).alias("neu")))
 
 
