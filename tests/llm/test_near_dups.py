@@ -162,6 +162,34 @@ def test_pairs_in_a_large_bucket_are_found(docs, prose, monkeypatch, share):
     assert all(got[i] == i for i, _ in rows if i not in {p + 1 for p in pairs})
 
 
+def test_links_that_hang_on_a_passage_are_found(docs, monkeypatch):
+    """Texts of a large bucket that are linked though they have but two lone words in common beside the passage."""
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    passage = [f"p{x}" for x in range(78)]
+    rows = [(0, " ".join(passage + [f"lead{x}" for x in range(120)]))]
+    for k in range(30):
+        own = [f"a{k}x{x}" for x in range(22)]
+        other = [w if x in (6, 15) else f"b{k}x{x}" for x, w in enumerate(own)]
+        rows += [(2 * k + 1, " ".join(passage + own)), (2 * k + 2, " ".join(passage + other))]
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.classes(docs(rows)).collect()}
+    assert got == brute(rows) and all(got[2 * k + 2] == 2 * k + 1 for k in range(30))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=60), st.lists(st.tuples(st.integers(0, 60), st.integers(0, 2), st.integers(0, 30)), max_size=14),
+       st.dictionaries(st.integers(0, 30), st.integers(1, 50)))
+def test_prefixes_of_linked_texts_meet(a, edits, often):
+    """Whatever is known of the words' numbers."""
+    b = list(a)
+    for at, kind, w in edits:
+        b[at:at + (kind > 0)] = [w] * (kind < 2)
+    a, b = np.array(a, np.uint64), np.array(b, np.uint64)
+    known = {int(near_dups.labelled(np.array([w], np.uint64), 1)[0]): n for w, n in often.items()}
+    words, times = np.array(sorted(known), np.uint64), np.array([known[w] for w in sorted(known)], np.int64)
+    if len(b) and near_dups.linked([(a, b)])[0]:
+        assert len(np.intersect1d(near_dups.prefix(a, words, times), near_dups.prefix(b, words, times)))
+
+
 def test_remains_have_what_the_head_lacks():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 1 << 62, 50).astype(np.uint64), r.integers(0, 1 << 62, 40).astype(np.uint64)

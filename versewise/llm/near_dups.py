@@ -27,8 +27,12 @@ nodes, and those whose remains share one of ``AGAIN`` sketches of a single word
 pair are candidates still. Texts that are linked though they share such a passage
 are alike beside it: if it makes up a part p of them, 1 - 0.2 / (1 - p) of the
 rest is unedited. Each node makes ``AGAIN`` rows, whatever the size of its
-bucket, and each round takes out what was common; what is too large after
-``ROUNDS`` of them is dealt into blocks, any two of which are compared.
+bucket, and each round takes out what was common, for ``ROUNDS`` of them. That
+is a sample that joins most classes at little cost. What large buckets then hold
+of several classes is compared by an exact filter (prefix filtering, Chaudhuri et
+al. 2006): linked texts of n words or more have all but n / 5 of them in common,
+so in any one order of the words they share one of the first n / 5 + 1 of each;
+words that few of the texts have come first. No pair of a large bucket is left out.
 
 Nulls, empty texts, repeats: a text without words is a class of its own; a
 document with a null id has a null class and isn't compared; rows that share an
@@ -57,6 +61,9 @@ SHINGLES, SHORT = (2, 3), 32
 BLOCK, BLOCK_WORDS, COUNTS = 2048, 1 << 22, 1024
 #: Sketches of what is left of a node of a large bucket, and how often such buckets are dealt anew.
 AGAIN, ROUNDS = 32, 6
+#: Words known as frequent when those of a text are put in order: of a task, of all tasks. They tell
+#: how many nodes share a word of a prefix, never which pairs are found.
+FREQUENT, KNOWN = 4096, 1 << 15
 FAR = np.int32(1 << 29)
 LAST = np.uint64((1 << 64) - 1)
 _RANDOM = np.random.default_rng(3)
@@ -75,6 +82,12 @@ def occurrences(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(words: np.ndarray, shingle: int) -> np.ndarray:
+    """The shingles, each told apart from its equals by its occurrence."""
+    kmers = windows(words, shingle)
+    return mixed(kmers + mixed(occurrences(kmers) + np.uint64(1)))
+
+
 def sketches(words: np.ndarray) -> np.ndarray:
     """``SKETCHES`` 64-bit numbers for each length of shingles that the text has:
     each of the picked shingles in text order."""
@@ -84,8 +97,7 @@ def sketches(words: np.ndarray) -> np.ndarray:
 
 
 def sketches_of(words: np.ndarray, shingle: int) -> np.ndarray:
-    kmers = windows(words, shingle)
-    label = mixed(kmers + mixed(occurrences(kmers) + np.uint64(1)))
+    label = labelled(words, shingle)
     picks, n = min(PICKS, len(label)), len(label)
     chosen = np.empty((SKETCHES, picks), np.int64)
     step = max(1, (1 << 21) // n)  # bounds the block of a very long text
@@ -335,11 +347,84 @@ def word_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return nodes.select("bucket", "node").join(one, "node").select("bucket", "node", "words").mapInArrow(pairs, "bucket long, node long, kmers binary")
 
 
+def prefix(words: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Of the words, labelled by their occurrence, one more than a link may leave
+    out: first those that aren't ``known`` (sorted), then those of the fewest ``times``."""
+    own = labelled(words, 1)
+    at = np.searchsorted(known, own)
+    hit = np.append(known, LAST)[at] == own
+    order = np.lexsort((own, np.where(hit, np.append(times, 0)[at], 0)))
+    return own[order[:int(len(own) * (1 - SIMILAR) + 1e-9) + 1]]
+
+
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled words, sorted, and in about how many texts they are: the most
+    frequent of each task's, added up; at most ``KNOWN``."""
+    def count(batches):
+        words, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            own = [labelled(np.frombuffer(w, "<u4").astype(np.uint64), 1) for w in b["words"].to_pylist()]
+            one, n = np.unique(np.concatenate(own), return_counts=True) if own else (words[:0], times[:0])
+            words, at = np.unique(np.concatenate([words, one]), return_inverse=True)
+            times = np.bincount(at, np.concatenate([times, n])).astype(np.int64)
+            top = np.argsort(-times, kind="stable")[:1 << 20]
+            words, times = words[top], times[top]
+        top = np.argsort(-times, kind="stable")[:FREQUENT]
+        top = top[times[top] > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(words[top].view(np.int64)), pa.array(times[top])], names=["word", "n"])
+
+    rows = texts.select("words").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")) \
+        .orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
+    words, times = np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(words)
+    return words[order], times[order]
+
+
+def prefix_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, label) of different labels: all that are
+    linked and few others. With a word that is the first that two texts share, at
+    most what stands after it is in common beside it."""
+    mine = stage(texts.join(nodes, "node").select("node", "label", "n", "words"), "omh-large")
+    known, times = frequent(mine)
+    schema = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("picks", pa.list_(pa.int64()))])
+
+    def cut(batches):
+        for b in batches:
+            picks = [prefix(np.frombuffer(w, "<u4").astype(np.uint64), known, times).view(np.int64) for w in b["words"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["node"], b["label"], b["n"], pa.array(picks, schema.field("picks").type)], schema=schema)
+
+    rows = stage(mine.mapInArrow(cut, "node long, label long, n long, picks array<long>").select("node", "label", "n", F.posexplode("picks").alias("at", "word")),
+                 "omh-prefixes")
+    shared = rows.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo != hi")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = stage(rows.join(shared.select("word", blocks.alias("blocks")), "word"), "omh-prefixes")
+    # a word that very many nodes share is dealt into blocks, any two of which meet once
+    block, other = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.select("word", "node", "label", "n", "at", block.alias("block"), other.alias("other"))
+    x, y = rows.alias("x"), rows.alias("y")
+    longer = F.greatest("x.n", "y.n")
+    least = longer - F.floor(longer * (1 - SIMILAR) + 1e-9)  # words in common of linked texts
+    near = F.least("x.n", "y.n") >= least
+    after = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
+    met = (F.col("x.word") == F.col("y.word")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
+    return (x.join(y, met & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near & (after >= least))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+
+
+def several(left: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are in several classes, with their labels."""
+    now = left.drop("label").join(labels, "node")
+    still = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    return now.join(still, "bucket")
+
+
 def compare_open(left: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
     """``labels`` after the links of ``left`` (bucket, node, size, label): those
     between nodes of different labels in a bucket."""
     found = compare_blocks(left.where(F.col("size") <= BLOCK), texts)
     large = left.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        return merged(labels, stage(found, "omh-links"), "omh")
     kmers = None
     for _ in range(ROUNDS):
         if large.isEmpty():
@@ -351,14 +436,14 @@ def compare_open(left: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFr
             head = stage(large.groupBy("bucket").agg(F.min("node").alias("a")), "omh-heads")
             pairs = large.join(head, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
             labels = merged(labels, stage(verify(pairs, texts), "omh-links"), "omh")
-            large = large.drop("label").join(labels, "node")
-            still = large.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-            large = stage(large.join(still, "bucket"), "omh-large")
+            large = stage(several(large, labels), "omh-large")
         new, kmers = dealt_anew(large.select("bucket", "node", "label"), kmers)
         found = found.unionByName(compare_blocks(new.where(F.col("size") <= BLOCK), texts))
         large, kmers = new.where(F.col("size") > BLOCK), stage(kmers, "omh-remains")
-    found = found.unionByName(compare_blocks(large, texts))
-    return merged(labels, stage(found, "omh-links"), "omh")
+    labels = merged(labels, stage(found, "omh-links"), "omh")
+    # the rounds go by samples: what they left apart is compared by a filter that leaves out no link
+    rest = stage(several(left.where(F.col("size") > BLOCK), labels).select("node", "label").distinct(), "omh-rest")
+    return merged(labels, stage(verify(prefix_pairs(rest, texts), texts), "omh-links"), "omh")
 
 
 def compare_blocks(left: DataFrame, texts: DataFrame) -> DataFrame:
