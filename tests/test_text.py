@@ -103,3 +103,16 @@ def test_provenance_union_keeps_order(spark):
     df = spark.createDataFrame([("genius||lastfm",)], "v string")
     new = F.array(F.lit("spotify"), F.lit("genius"), F.lit("spotify"))
     assert df.select(X.provenance_union("v", new)).first()[0] == "genius|lastfm|spotify"
+
+
+def test_lexicon_hits_are_those_of_the_plain_pattern(spark):
+    """The pattern looks ahead for first letters; what it finds is what whole words are."""
+    import re
+    groups = [("a", ["dance", "dan", "don't"]), ("b", ["fly", "flying"])]
+    texts = ["dance dan dancer don't don't.", "a fly flying, flyings 'fly fly_ éfly", "", "no hit"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    for cls in (X.TOKEN_CLASS, X.WORD_CLASS):
+        plain = re.compile(X.word_pattern(["dance", "dan", "don't", "fly", "flying"], cls.replace(r"\p{L}\p{N}_", r"\w")))
+        hits = d.select(X.lexicon_hits(F.col("t"), groups, cls).alias("h"))
+        assert [r["h"] for r in hits.collect()] == [plain.findall(t) for t in texts]
+        assert X.first_letters(["fly", "dan"]) == "(?=[df])"
