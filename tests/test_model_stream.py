@@ -164,3 +164,12 @@ def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
         sparkContext, conf = Context(), Conf()
     with pytest.raises(ValueError):
         session.checkpoint_dir(Session())
+
+
+def test_fits_keep_the_columns_they_read(spark, monkeypatch):
+    """Neither ids nor texts of the training rows are kept between the passes."""
+    seen = []
+    monkeypatch.setattr(MD, "fit_classifier", lambda tr, *_: seen.append(tr.columns))
+    df = songs(spark).withColumns({"vibe": F.when(F.col("id") % 2 == 0, "x").otherwise("y"), "lyrics": F.lit("la")})
+    MD.train_models(df, {"vibe": ["a", "b"]}, CFG)
+    assert sorted(seen[0]) == sorted(["a", "b", "vibe", MD.VALIDATION])
