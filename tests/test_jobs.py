@@ -141,3 +141,22 @@ def test_enrich_job(spark, tmp_dir):
     s = JB.enrich_job(spark, table, info, os.path.join(tmp_dir, "sum"))
     assert (s["rows_total"], s["spotify_before"], s["spotify_after"]) == (10, 0, 1)
     assert read_latest(spark, table).filter("spotify_id = 'sp1'").count() == 1
+
+
+def test_training_parses_its_csv_once(spark, tmp_dir, monkeypatch):
+    import os
+
+    from versewise.plans import jobs
+    path, seen = os.path.join(tmp_dir, "songs"), []
+    spark.createDataFrame([("1", "la la", "0.5", "0.5")], "track_id string, lyrics string, valence string, energy string").write.csv(path, header=True)
+
+    def split(df, *_, **__):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        raise StopIteration
+
+    monkeypatch.setattr(jobs.SM, "stratified_split", split)
+    try:
+        jobs.train_job(spark, path, os.path.join(tmp_dir, "m"))
+    except StopIteration:
+        pass
+    assert "parquet" in seen[0] and "csv" not in seen[0].lower().replace(tmp_dir.lower(), "")
