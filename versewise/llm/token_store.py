@@ -36,6 +36,8 @@ from versewise.llm.encode import encoder
 
 MAGIC = b"VWIDS001"
 BLOCK = 4096
+#: Blocks that are collected before they are packed.
+LOT = 16
 MANIFEST = "path string, first_id long, first_hash long, n_docs long, n_ids long"
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                   ("ids_crc32", pa.int64())])
@@ -65,7 +67,7 @@ class ShardWriter:
 
     def __init__(self, bits: int, block: int):
         self.bits, self.block = bits, block
-        self.docs, self.starts, self.tail = [], [0], np.zeros(0, "<u4")
+        self.docs, self.starts, self.held, self.n_held = [], [0], [], 0
         self.chunks, self.offsets, self.at = [MAGIC + np.array([bits, block], "<u4").tobytes()], [], 16
 
     def _put(self, ids: np.ndarray) -> None:
@@ -77,15 +79,21 @@ class ShardWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.starts.append(self.starts[-1] + len(ids))
-        todo = np.concatenate([self.tail, ids])
-        whole = len(todo) - len(todo) % self.block
-        for i in range(0, whole, self.block):
-            self._put(todo[i:i + self.block])
-        self.tail = todo[whole:]
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= LOT * self.block:
+            self._put_held(self.n_held - self.n_held % self.block)
+
+    def _put_held(self, upto: int) -> None:
+        """Pack the first ``upto`` of the ids held, and keep the rest."""
+        todo = np.concatenate(self.held)
+        for i in range(0, upto, self.block):
+            self._put(todo[i:min(i + self.block, upto)])
+        self.held, self.n_held = [todo[upto:]], len(todo) - upto
 
     def render(self) -> list[bytes]:
-        if len(self.tail):
-            self._put(self.tail)
+        if self.n_held:
+            self._put_held(self.n_held)
         footer = [np.array([*self.offsets, self.at], "<u8"), np.array([d or 0 for d in self.docs], "<i8"),
                   np.array([d is None for d in self.docs], np.uint8), np.array(self.starts, "<u8")]
         trailer = np.array([self.at, len(self.offsets), len(self.docs), self.starts[-1]], "<u8")
@@ -154,7 +162,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_col
     def write(batches):
         enc, shard, first = encoder(tokenizer), None, None
         bits = bits_for(max(enc.vocab_size, end_id + 1))
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], "<u4").tobytes()
 
         def close():
             name = f"{'null' if first[0] is None else first[0]}-{first[1] & (2**64 - 1):016x}.ids"
@@ -171,7 +179,7 @@ def write_ids(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, id_col
                 for i, raw in enumerate(got, at):
                     if shard is None:
                         shard, first = ShardWriter(bits, block), (ids[i], hashes[i])
-                    shard.add(ids[i], np.concatenate([np.frombuffer(raw, "<u4"), end]))
+                    shard.add(ids[i], np.frombuffer(raw + end, "<u4"))
                     if shard.starts[-1] >= shard_ids:
                         yield close()
                         shard = None
